@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,18 +34,21 @@ def query(name: str, *covers: str, sql: str | None = None) -> Callable[[Run], Ru
     return register
 
 
+_MODULES = (
+    "curation_queries",
+    "fitting_queries",
+    "graph_queries",
+    "growth_queries",
+    "judging_queries",
+    "source_queries",
+    "stream_queries",
+    "uncertainty_queries",
+    "variant_queries",
+)
+
+
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries and return the catalogue."""
-    from rankwell.plans import (  # noqa: F401
-        curation_queries,
-        fitting_queries,
-        graph_queries,
-        growth_queries,
-        judging_queries,
-        source_queries,
-        stream_queries,
-        uncertainty_queries,
-        variant_queries,
-    )
-
+    for module in _MODULES:
+        import_module(f"rankwell.plans.{module}")
     return QUERIES
