@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Brackets and separators inside a finished bracket group are swapped for
 # private-use characters, so the next level sees the group as one word.
 _PLAIN = "()+* "
-_HIDDEN = ""
+_HIDDEN = "\ue000\ue001\ue002\ue003\ue004"
 _INNERMOST = r"\([^()]*\)"
 
 
@@ -48,14 +48,18 @@ def _fold_innermost(text: Column) -> Column:
     return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(groups, folded), ""))
 
 
+def _bind(text: Column, step) -> Column:
+    """Apply ``step`` to a value computed once, not once per mention in the tree."""
+    return F.element_at(F.transform(F.array(text), step), 1)
+
+
 def normalize_expr(text: Column, depth: int = 4) -> Column:
     """Order and spacing of factors and terms do not matter; names, powers and logs do.
 
     NULL when brackets nest deeper than ``depth`` levels or do not match; see
     :func:`expr_rejected`.
     """
-    folded = _folded(text, depth)
-    return F.when(~folded.rlike("[()]"), _flat(folded))
+    return _bind(_folded(text, depth), lambda t: F.when(~t.rlike("[()]"), _flat(t)))
 
 
 def expr_rejected(text: Column, depth: int = 4) -> Column:
@@ -63,10 +67,14 @@ def expr_rejected(text: Column, depth: int = 4) -> Column:
 
 
 def _folded(text: Column, depth: int) -> Column:
-    inner = F.trim(text)
-    wrapped = inner.startswith("O(") & inner.endswith(")")
-    inner = F.when(wrapped, F.substring(inner, F.lit(3), F.length(inner) - 3)).otherwise(inner)
-    inner = F.regexp_replace(inner, r"\b(log|sqrt)\s+([A-Za-z_]\w*)", r"$1($2)")
+    def strip(t: Column) -> Column:
+        wrapped = t.startswith("O(") & t.endswith(")")
+        bare = F.when(wrapped, F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(t)
+        return F.regexp_replace(bare, r"\b(log|sqrt)\s+([A-Za-z_]\w*)", r"$1($2)")
+
+    inner = _bind(F.trim(text), strip)
     for _ in range(depth):
-        inner = _fold_innermost(inner)
+        inner = _bind(
+            inner, lambda t: F.when(t.contains("("), _fold_innermost(t)).otherwise(t)
+        )
     return inner

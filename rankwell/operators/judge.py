@@ -15,7 +15,6 @@ from rankwell.functions.expressions import normalize_expr
 from rankwell.functions.ordinal import class_array, ordinal_distance
 from rankwell.functions.stats import laplace, share, wilson_high, wilson_low
 
-COUNT = F.count(F.lit(1))
 #: Rows needed before a challenger may answer a slice, and the reasons.
 MIN_ROWS = 20
 PROMOTED = "model's interval is above the engine's"
@@ -25,6 +24,10 @@ SERVED_LEVELS = ("certain", "assumed")
 ALL_LEVELS = ("certain", "assumed", "unknown")
 
 
+def rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def hit(answer: Column, label: Column) -> Column:
     return F.coalesce(answer == label, F.lit(False))
 
@@ -34,7 +37,7 @@ def confusion_counts(
     frame: DataFrame, by: Sequence[str] = (), label: str = "label", answer: str = "answer"
 ) -> DataFrame:
     """(by, label, answer, n): at most k*k rows per group, the base of every metric."""
-    return frame.groupBy(*by, label, answer).agg(COUNT.alias("n"))
+    return frame.groupBy(*by, label, answer).agg(rows().alias("n"))
 
 
 def class_scores(confusion: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -54,12 +57,12 @@ def class_scores(confusion: DataFrame, classes: Sequence[str], by: Sequence[str]
                            zero.alias("tp")),
     )
     # every group carries the whole class list, so absent classes count as 0
-    rows = confusion.select(*by, F.inline(roles)).unionByName(
+    cells = confusion.select(*by, F.inline(roles)).unionByName(
         confusion.select(*by).distinct().select(*by, F.inline(grid))
     )
     total = F.col("support") + F.col("predicted")
     return (
-        rows.filter(F.col("class").isin(*classes))
+        cells.filter(F.col("class").isin(*classes))
         .groupBy(*by, "class")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
         .withColumn("f1", F.when(total > 0, 2 * F.col("tp") / total).otherwise(0.0))
@@ -108,7 +111,7 @@ def confusion_matrix(
 ) -> DataFrame:
     """One row per true class of the full list, one column per predicted class."""
     scored = frame.filter(F.col("label").isNotNull() & F.col("answer").isNotNull())
-    wide = scored.groupBy(*by, "label").pivot("answer", list(classes)).agg(COUNT)
+    wide = scored.groupBy(*by, "label").pivot("answer", list(classes)).agg(rows())
     if not by:
         grid = frame.sparkSession.createDataFrame([(c,) for c in classes], "label string")
         wide = grid.join(wide, "label", "left")
@@ -130,7 +133,7 @@ def tally(answers: DataFrame, by: Sequence[str]) -> DataFrame:
         .groupBy(*by)
         .agg(
             F.count_if(hit(F.col("answer"), F.col("label"))).alias("correct"),
-            COUNT.alias("total"),
+            rows().alias("total"),
         )
     )
 
@@ -258,7 +261,7 @@ def certainty_levels(cases: DataFrame, levels: Sequence[str] = SERVED_LEVELS) ->
     """
     counted = _by_dimension(cases).filter(F.col("certainty").isin(*levels)).groupBy(
         "certainty", "dimension"
-    ).agg(F.count_if("right").alias("correct"), COUNT.alias("total"))
+    ).agg(F.count_if("right").alias("correct"), rows().alias("total"))
     grid = cases.sparkSession.createDataFrame(
         [(c, d) for c in levels for d in ("time", "space")], "certainty string, dimension string"
     )
@@ -271,7 +274,7 @@ def certainty_levels(cases: DataFrame, levels: Sequence[str] = SERVED_LEVELS) ->
 
 
 def _by_dimension(cases: DataFrame) -> DataFrame:
-    rows = F.array(
+    parts = F.array(
         *[
             F.struct(
                 F.lit(d).alias("dimension"),
@@ -282,7 +285,7 @@ def _by_dimension(cases: DataFrame) -> DataFrame:
         ]
     )
     keep = [c for c in cases.columns if not c.startswith(("label_", "answer_"))]
-    return cases.select(*keep, F.inline(rows))
+    return cases.select(*keep, F.inline(parts))
 
 
 def with_confidence(levels: DataFrame) -> DataFrame:
@@ -292,7 +295,7 @@ def with_confidence(levels: DataFrame) -> DataFrame:
 def calibration_payload(cases: DataFrame) -> DataFrame:
     """Certainty histogram and joint accuracy by language, as (part, key, correct, total)."""
     histogram = cases.groupBy(F.coalesce("certainty", F.lit("missing")).alias("key")).agg(
-        F.lit(None).cast("bigint").alias("correct"), COUNT.alias("total")
+        F.lit(None).cast("bigint").alias("correct"), rows().alias("total")
     ).select(F.lit("certainty_counts").alias("part"), "key", "correct", "total")
     both = hit(F.col("answer_time"), F.col("label_time")) & hit(
         F.col("answer_space"), F.col("label_space")
@@ -300,7 +303,7 @@ def calibration_payload(cases: DataFrame) -> DataFrame:
     joint = (
         cases.filter(F.col("certainty").isin(*SERVED_LEVELS))
         .groupBy(F.col("language").alias("key"))
-        .agg(F.count_if(both).alias("correct"), COUNT.alias("total"))
+        .agg(F.count_if(both).alias("correct"), rows().alias("total"))
         .select(F.lit("joint_accuracy_by_language").alias("part"), "key", "correct", "total")
     )
     return histogram.unionByName(joint)
@@ -311,7 +314,7 @@ def first_contact_agreement(cases: DataFrame) -> DataFrame:
     usable = cases.filter((F.col("certainty") != "error"))
     long = _by_dimension(usable).filter(F.col("label").isNotNull())
     counted = long.groupBy("dimension", "certainty").agg(
-        F.count_if("right").alias("correct"), COUNT.alias("total")
+        F.count_if("right").alias("correct"), rows().alias("total")
     )
     grid = cases.sparkSession.createDataFrame(
         [(d, c, i) for d in ("time", "space") for i, c in enumerate(ALL_LEVELS)],
@@ -350,7 +353,7 @@ def label_audit(entries: DataFrame) -> DataFrame:
     corpus_ok = F.col("corpus").eqNullSafe(F.col("agent"))
     engine_ok = F.col("engine").eqNullSafe(F.col("agent"))
     counted = long.groupBy("kind", "dimension", "source").agg(
-        COUNT.alias("rows"),
+        rows().alias("rows"),
         F.count_if(corpus_ok).alias("corpus_right"),
         F.count_if(engine_ok).alias("engine_right"),
         F.count_if(corpus_ok & engine_ok).alias("both_right"),
@@ -437,7 +440,7 @@ def scorecard(results: DataFrame) -> DataFrame:
     mean = lambda c: F.avg(F.col(c).cast("double"))
     sliced = base.groupingSets(sets, "gated", *_SLICE_KEYS).agg(
         F.grouping_id().alias("g"),
-        COUNT.alias("n"),
+        rows().alias("n"),
         mean("time_ok").alias("time_accuracy"),
         mean("space_ok").alias("space_accuracy"),
         F.avg("time_rank_error").alias("mean_time_rank_error"),
@@ -478,7 +481,7 @@ def cross_language_consistency(results: DataFrame) -> DataFrame:
         results.filter(~F.col("known_limitation") & ~F.col("has_overrides"))
         .groupBy("case_id")
         .agg(
-            COUNT.alias("languages"),
+            rows().alias("languages"),
             F.bool_and(F.col("error").isNull()).alias("clean"),
             (F.min(pair) == F.max(pair)).alias("same"),
             F.bool_and(F.col("time_ok") & F.col("space_ok")).alias("right"),
@@ -486,9 +489,9 @@ def cross_language_consistency(results: DataFrame) -> DataFrame:
         .filter(F.col("languages") >= 2)
     )
     return per_case.agg(
-        COUNT.alias("cases"),
-        share(F.count_if(F.col("clean") & F.col("same")), COUNT).alias("consistent"),
-        share(F.count_if("right"), COUNT).alias("correct"),
+        rows().alias("cases"),
+        share(F.count_if(F.col("clean") & F.col("same")), rows()).alias("consistent"),
+        share(F.count_if("right"), rows()).alias("correct"),
     )
 
 

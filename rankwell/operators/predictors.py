@@ -60,30 +60,27 @@ def model_predictor(
     @F.pandas_udf(PREDICTION)
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch.columns = names
-
-        def attempt(part: pd.DataFrame) -> pd.DataFrame:
-            got = model(part)
-            return pd.DataFrame(
-                {"time": got["time"], "space": got["space"], "certainty": None,
-                 "engine": engine, "error": None},
-                index=part.index,
-            )
-
-        try:
-            return attempt(batch)
-        except Exception:  # find the rows at fault
-            rows = []
-            for i in range(len(batch)):
-                part = batch.iloc[[i]]
-                try:
-                    rows.append(attempt(part))
-                except Exception as error:
-                    rows.append(pd.DataFrame(
-                        {"time": None, "space": None, "certainty": None, "engine": engine,
-                         "error": f"{type(error).__name__}: {error}"},
-                        index=part.index,
-                    ))
-            return pd.concat(rows)
+        out = pd.DataFrame(
+            {"time": None, "space": None, "certainty": None, "engine": engine, "error": None},
+            index=batch.index,
+            dtype=object,
+        )
+        todo = [(0, len(batch))]
+        while todo:  # halve a failing stretch until the rows at fault stand alone
+            start, stop = todo.pop()
+            if start == stop:
+                continue
+            try:
+                got = model(batch.iloc[start:stop])
+                out.iloc[start:stop, 0] = got["time"].to_numpy(dtype=object)
+                out.iloc[start:stop, 1] = got["space"].to_numpy(dtype=object)
+            except Exception as error:
+                if stop - start == 1:
+                    out.iloc[start, 4] = f"{type(error).__name__}: {error}"
+                else:
+                    middle = (start + stop) // 2
+                    todo += [(start, middle), (middle, stop)]
+        return out
 
     return lambda frame: run(F.struct(*names))
 

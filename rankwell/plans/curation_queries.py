@@ -190,12 +190,15 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.near_duplicates(shaped(curate.hash_sample(corpus(spark, sf_dir), 500)))
 
 
-_STATUS = (
-    F.when(F.length("code") < 60, "TooShort")
-    .when(F.length("code") > 5000, "TooLong")
-    .when(F.col("language") == "es", "unsupported")
-    .otherwise("parsed")
-)
+def _status():
+    return (
+        F.when(F.length("code") < 60, "TooShort")
+        .when(F.length("code") > 5000, "TooLong")
+        .when(F.col("language") == "es", "unsupported")
+        .otherwise("parsed")
+    )
+
+
 _STATUS_SQL = """CASE WHEN length(code) < 60 THEN 'TooShort' WHEN length(code) > 5000
   THEN 'TooLong' WHEN language = 'es' THEN 'unsupported' ELSE 'parsed' END"""
 
@@ -208,7 +211,7 @@ _STATUS_SQL = """CASE WHEN length(code) < 60 THEN 'TooShort' WHEN length(code) >
     FROM corpus GROUP BY 1""", "corpus"))
 def _parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.parse_statistics(
-        curate.with_split(corpus(spark, sf_dir)), _STATUS, ("split",)
+        curate.with_split(corpus(spark, sf_dir)), _status(), ("split",)
     )
 
 
@@ -216,7 +219,7 @@ def _parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT {SPLIT_SQL} AS split, {_STATUS_SQL} AS failure, count(*) AS n FROM corpus
     WHERE {_STATUS_SQL} NOT IN ('parsed', 'unsupported') GROUP BY 1, 2""", "corpus"))
 def _failure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe.failure_types(curate.with_split(corpus(spark, sf_dir)), _STATUS, ("split",))
+    return describe.failure_types(curate.with_split(corpus(spark, sf_dir)), _status(), ("split",))
 
 
 @query("split_leak_check", "D31", sql=with_views(
@@ -355,10 +358,10 @@ def _hash_sample_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {NARROW_SQL} FROM slim WHERE language <> 'en' UNION ALL
     (SELECT {NARROW_SQL} FROM slim WHERE language = 'en' QUALIFY row_number() OVER (
       ORDER BY {wide_bucket_sql("source || ':' || solution_id")}, source, solution_id)
-      <= greatest(0, 500 - (SELECT count(*) FROM slim WHERE language <> 'en')))""", "corpus"))
+      <= greatest(0, 300 - (SELECT count(*) FROM slim WHERE language <> 'en')))""", "corpus"))
 def _quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     capped = curate.cap_per_problem(shaped(corpus(spark, sf_dir)).drop("code"), 2)
-    return curate.quota_fill(curate.structure_dedupe(capped), 500, "en").select(*NARROW)
+    return curate.quota_fill(curate.structure_dedupe(capped), 300, "en").select(*NARROW)
 
 
 @query("blind_sample", "F3", sql=with_views(
