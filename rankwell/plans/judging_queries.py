@@ -522,10 +522,10 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT case_id, CASE WHEN served THEN 'symbolic' ELSE 'ml_fallback' END AS engine,
       CASE WHEN served THEN rule_time ELSE model_time END AS answer_time,
       CASE WHEN served THEN rule_space ELSE model_space END AS answer_space,
-      list_filter([CASE WHEN b % 10 = 0 THEN 'a large share of parsed nodes were unmapped (UNKNOWN) -- predictions may be unreliable' END,
+      array_to_string(list_filter([CASE WHEN b % 10 = 0 THEN 'a large share of parsed nodes were unmapped (UNKNOWN) -- predictions may be unreliable' END,
         CASE WHEN NOT served THEN 'the symbolic engine could not bound this code ('
           || coalesce(e, 'no cost bound could be derived') || '); the answer below comes from '
-          || 'the ML fallback model, which is less reliable' END], lambda x: x IS NOT NULL)
+          || 'the ML fallback model, which is less reliable' END], lambda x: x IS NOT NULL), ' | ')
         AS warnings FROM s""", "answers_wide"))
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = answers_wide(spark, sf_dir).select(
@@ -535,4 +535,4 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("b") % 43 == 0, "TypeError: engine failed").alias("primary_error"),
         (F.col("b") % 10 == 0).alias("unknown_share_high"),
     )
-    return predictors.hybrid(cases)
+    return predictors.hybrid(cases).withColumn("warnings", F.array_join("warnings", " | "))
