@@ -200,7 +200,7 @@ def lowest_hash(
     The hash is uniform, so fixed ranges of it hold about equally many rows.  A
     narrow pass counts the ranges; the rank of a row is the count of lower ranges
     plus its place in its own.  No single task sees the whole sample.
-    ``limit`` may be a column of ``frame`` that is the same on every row.
+    ``limit`` may be a scalar subquery.
     """
     width = (1 << width_bits) // ranges
     ranged = frame.withColumn("_range", F.floor(F.col(bucket) / width).cast("bigint"))

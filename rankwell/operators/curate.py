@@ -142,12 +142,9 @@ def quota_fill(frame: DataFrame, rows: int, majority: str) -> DataFrame:
     """Every row of the other languages, the majority language filling up to ``rows``."""
     hashed = frame.withColumn("bucket", wide_bucket(record_key()))
     others = hashed.filter(F.col("language") != majority)
-    # one aggregated row
-    room = others.agg(
-        F.greatest(F.lit(0), F.lit(rows) - F.count(F.lit(1))).alias("room")
-    )
-    major = hashed.filter(F.col("language") == majority).join(F.broadcast(room))
-    filled = lowest_hash(major, "bucket", ["source", "solution_id"], F.col("room")).drop("room")
+    room = others.agg(F.greatest(F.lit(0), F.lit(rows) - F.count(F.lit(1)))).scalar()
+    major = hashed.filter(F.col("language") == majority)
+    filled = lowest_hash(major, "bucket", ["source", "solution_id"], room)
     return others.unionByName(filled)
 
 

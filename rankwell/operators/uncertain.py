@@ -173,21 +173,24 @@ def with_prediction_set(
     frame: DataFrame, thresholds: DataFrame, classes: Sequence[str], alpha: float = SERVED_ALPHA
 ) -> DataFrame:
     """Add ``conformal_set``, its size and the abstention flag for one alpha."""
-    key = alpha_key(alpha)
-    # `thresholds` is the single row of fit_conformal
-    joined = frame.join(F.broadcast(thresholds.select("mass_threshold_by_alpha")))
-    threshold = F.col("mass_threshold_by_alpha")[key]
+    threshold = F.col("_threshold")
     threshold = F.when(
         threshold.isNull(), F.raise_error(F.lit(f"no threshold was fitted for alpha={alpha}"))
     ).otherwise(threshold)
     return (
-        joined.withColumn("conformal_set", sc.prediction_set(F.col("proba"), threshold, classes))
+        # the single row of fit_conformal, as a scalar subquery
+        frame.withColumn("_threshold", _threshold(thresholds, alpha))
+        .withColumn("conformal_set", sc.prediction_set(F.col("proba"), threshold, classes))
         .withColumn("set_size", F.size("conformal_set"))
         .withColumn("abstain", F.col("set_size") >= ABSTAIN_SET_SIZE)
-        .drop("mass_threshold_by_alpha")
+        .drop("_threshold")
     )
 
 
+def _threshold(thresholds: DataFrame, alpha: float) -> Column:
+    return thresholds.select(F.col("mass_threshold_by_alpha")[alpha_key(alpha)]).scalar()
+
+
 def risk_coverage(
     frame: DataFrame,
     thresholds: DataFrame,
@@ -198,20 +201,19 @@ def risk_coverage(
 
     All alphas are evaluated on the row, so the input is read once.
     """
-    joined = frame.join(F.broadcast(thresholds.select("mass_threshold_by_alpha")))
     cells = F.array(
         *[
             F.struct(
                 F.lit(a).alias("alpha"),
-                sc.prediction_set(
-                    F.col("proba"), F.col("mass_threshold_by_alpha")[alpha_key(a)], classes
-                ).alias("chosen"),
+                sc.prediction_set(F.col("proba"), F.col(f"_t{i}"), classes).alias("chosen"),
             )
-            for a in alphas
+            for i, a in enumerate(alphas)
         ]
     )
+    given = [_threshold(thresholds, a).alias(f"_t{i}") for i, a in enumerate(alphas)]
     return (
-        joined.select("true_label", F.inline(cells))
+        frame.select("true_label", "proba", *given)
+        .select("true_label", F.inline(cells))
         .groupBy("alpha")
         .agg(
             F.count(F.lit(1)).alias("n"),
