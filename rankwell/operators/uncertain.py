@@ -179,16 +179,17 @@ def with_prediction_set(
     ).otherwise(threshold)
     return (
         # the single row of fit_conformal, as a scalar subquery
-        frame.withColumn("_threshold", _threshold(thresholds, alpha))
+        frame.withColumn("_cuts", _cuts(thresholds))
+        .withColumn("_threshold", F.col("_cuts")[alpha_key(alpha)])
         .withColumn("conformal_set", sc.prediction_set(F.col("proba"), threshold, classes))
         .withColumn("set_size", F.size("conformal_set"))
         .withColumn("abstain", F.col("set_size") >= ABSTAIN_SET_SIZE)
-        .drop("_threshold")
+        .drop("_threshold", "_cuts")
     )
 
 
-def _threshold(thresholds: DataFrame, alpha: float) -> Column:
-    return thresholds.select(F.col("mass_threshold_by_alpha")[alpha_key(alpha)]).scalar()
+def _cuts(thresholds: DataFrame) -> Column:
+    return thresholds.select("mass_threshold_by_alpha").scalar()
 
 
 def risk_coverage(
@@ -210,9 +211,10 @@ def risk_coverage(
             for i, a in enumerate(alphas)
         ]
     )
-    given = [_threshold(thresholds, a).alias(f"_t{i}") for i, a in enumerate(alphas)]
+    given = [F.col("_cuts")[alpha_key(a)].alias(f"_t{i}") for i, a in enumerate(alphas)]
     return (
-        frame.select("true_label", "proba", *given)
+        frame.select("true_label", "proba", _cuts(thresholds).alias("_cuts"))
+        .select("true_label", "proba", *given)
         .select("true_label", F.inline(cells))
         .groupBy("alpha")
         .agg(
