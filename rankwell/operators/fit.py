@@ -31,7 +31,7 @@ from rankwell.operators.curate import in_languages, known_classes_only, with_lab
 
 #: Words of two and more characters, Unicode letters included.
 TOKEN = r"(?U)\b\w\w+\b"
-HASH_FEATURES = 1 << 18
+HASH_FEATURES = 1 << 16
 
 
 def balanced(frame: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
@@ -51,7 +51,7 @@ def balanced(frame: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
 # --------------------------------------------------------------------- text model
 @dataclass(frozen=True)
 class TextModel:
-    """1-3 grams, smooth TF-IDF, unit length, balanced multinomial logistic regression."""
+    """1-3 grams, smooth TF-IDF, unit length, balanced logistic regression."""
 
     stages: tuple
     classes: tuple[str, ...]
@@ -90,11 +90,12 @@ def fit_text(
     classes: Sequence[str],
     vocabulary_bound: int | None = None,
     max_iter: int = 2000,
+    tol: float = 1e-4,
 ) -> TextModel:
     """Fit on labelled rows.
 
     With ``vocabulary_bound`` (an alphabet bounds its n-grams) an exact vocabulary
-    is built; open text is hashed into 2^18 columns, so the model on the driver
+    is built; open text is hashed into 2^16 columns, so the model on the driver
     does not grow with the corpus.  IDF is ln((1+n)/(1+df)) + 1.  The penalty is
     1/n, the same objective as an inverse strength of 1 over summed losses.
     """
@@ -119,7 +120,7 @@ def fit_text(
         normalizer = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
         learner = LogisticRegression(
             featuresCol="features", labelCol="label_index", weightCol="weight",
-            family="multinomial", maxIter=max_iter, regParam=1.0 / max(1, counted.count()),
+            family="auto", maxIter=max_iter, tol=tol, regParam=1.0 / max(1, counted.count()),
             elasticNetParam=0.0, standardization=False,
         )
         model = learner.fit(normalizer.transform(scaler.transform(counted)))

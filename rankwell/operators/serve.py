@@ -68,7 +68,7 @@ def salient_steps(
         & (F.trim("line_text") != "")
     )
     return keep_lowest(
-        weighted.filter(sound), [program], [F.col("salience").desc(), F.col(sequence)], most
+        weighted.filter(sound), [program], [-F.col("salience"), F.col(sequence)], most
     )
 
 

@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc(ts: str = "ts") -> Column:
+    """A zone-free timestamp column as an instant, whatever the session's time zone."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
+    return F.timestamp_micros(micros)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", utc())
+
+
 # ----------------------------------------------------------------------- corpus
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -169,9 +179,9 @@ WEEK_BITS, DAY_BITS = 50, 46
 
 
 def _tree_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = F.floor(F.unix_timestamp("ts") / 86400)
+    days = F.floor(F.unix_seconds("ts") / 86400)
     return (
-        table(spark, sf_dir, "events")
+        events(spark, sf_dir)
         .select(
             F.col("user_id").alias("graph_id"), "event_id", "event_type", "value", "props",
             days.alias("day_no"),
