@@ -139,28 +139,49 @@ def value_at_ranks(
     """Exact order statistics per group: the value at given 1-based ranks.
 
     ``ranks`` maps an output name to a rank expression over the group size
-    ``_n``.  Equal values are counted before anything is ranked; values are then
-    cut into ``bins`` equal-width pieces per group, which is monotone in the value.
+    ``_n``.  Values are cut into ``bins`` equal-width pieces per group, which is
+    monotone in the value.  Counts per piece tell which pieces hold the wanted
+    ranks; only their rows are counted by value and ranked.
     """
     if not keys:
         whole = value_at_ranks(frame.withColumn("_all", F.lit(0)), ["_all"], value, ranks, bins)
         return whole.drop("_all")
-    counted = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = counted.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n")
+    bounds = frame.groupBy(*keys).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
     )
     spread = F.col("_hi") - F.col("_lo")
     piece = F.when(spread > 0, F.floor((F.col(value) - F.col("_lo")) / spread * bins)).otherwise(0)
-    binned = _join(counted, bounds, keys).select(*keys, value, "_c", "_n", piece.cast("bigint").alias("_piece"))
-    running = running_total(
-        binned, keys, [F.col("_piece")], [F.col(value)], F.col("_c"), name="_cum"
+    rows = _join(frame.select(*keys, value), bounds, keys).select(
+        *keys, value, "_n", piece.cast("bigint").alias("_piece")
     )
-    before = F.col("_cum") - F.col("_c")
+    pieces = rows.groupBy(*keys, "_piece").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")
+    )
+    # at most `bins` + 1 rows per group
+    order = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    upto = pieces.withColumn("_upto", F.sum("_c").over(order))
+    before = F.col("_upto") - F.col("_c")
+    wanted = F.lit(False)
+    for _, rank in ranks:
+        wanted = wanted | ((before < rank) & (F.col("_upto") >= rank))
+    targets = upto.filter(wanted).select(*keys, "_piece", before.alias("_before"))
+    counted = (
+        _join(rows, targets, [*keys, "_piece"])
+        .groupBy(*keys, "_piece", value)
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_before").alias("_b"))
+    )
+    inner = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = counted.withColumn("_cum", F.col("_b") + F.sum("_c").over(inner))
+    below = F.col("_cum") - F.col("_c")
     picks = [
-        F.max(F.when((before < rank) & (F.col("_cum") >= rank), F.col(value))).alias(name)
+        F.max(F.when((below < rank) & (F.col("_cum") >= rank), F.col(value))).alias(name)
         for name, rank in ranks
     ]
-    return running.groupBy(*keys).agg(F.first("_n").alias("n"), *picks)
+    return placed.groupBy(*keys).agg(F.first("_n").alias("n"), *picks)
 
 
 def numbered(frame: DataFrame, name: str = "row_index") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankwell.functions.ordinal import class_array, literal_map
 from rankwell.functions.skew import keep_lowest, next_in_group, running_total
 from rankwell.functions.stats import share
-from rankwell.session import written
+from rankwell.session import written, written_counted
 
 # The symbol alphabet in its order, edge kinds, and symbol groups.
 SYMBOLS = (
@@ -123,11 +123,11 @@ def _descend(start: DataFrame, step, max_levels: int) -> DataFrame:
     Each level is written to the shared folder: lineage stays short, and a lost
     executor costs one level.
     """
-    level = written(start, "level")
+    level, _ = written_counted(start, "level")
     levels = [level]
     for _ in range(max_levels):
-        level = written(step(level), "level")
-        if level.isEmpty():
+        level, rows = written_counted(step(level), "level")
+        if rows == 0:
             break
         levels.append(level)
     else:
@@ -556,7 +556,7 @@ def _spread(start: DataFrame, links: DataFrame, better, max_rounds: int) -> Data
             links, ["graph_id", "src"]
         ).select("graph_id", F.col("dst").alias("node_id"), "label")
         offers = sent.groupBy(*NODE).agg(better("label").alias("offer"))
-        merged = written(
+        merged, moved = written_counted(
             known.join(offers, NODE, "full").select(
                 *NODE,
                 F.when(F.col("offer").isNull(), F.col("label"))
@@ -566,10 +566,11 @@ def _spread(start: DataFrame, links: DataFrame, better, max_rounds: int) -> Data
                 (F.col("label").isNull() | (F.col("offer") < F.col("label"))).alias("new"),
             ).withColumn("new", F.coalesce("new", F.lit(False))),
             "labels",
+            F.col("new"),
         )
         known = merged.drop("new")
         changed = merged.filter("new").drop("new")
-        if changed.isEmpty():
+        if moved == 0:
             return known
     raise ValueError(f"labels still move after {max_rounds} rounds")
 

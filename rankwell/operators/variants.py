@@ -24,16 +24,17 @@ def expand_variants(
     return frame.select("*", F.inline(pairs)).withColumnRenamed("name", "variant")
 
 
-def pad_records(frame: DataFrame, statements: int | Column) -> DataFrame:
-    """Padded copies with the id suffix ``+pad<k>``; unpaddable records are left out."""
-    size = F.lit(statements) if isinstance(statements, int) else statements
-    padded = frame.withColumn("_size", size).withColumn(
-        "code", add_filler(F.col("_size"))(F.col("code"), F.col("language"))
+def pad_records(frame: DataFrame, *sizes: int, chosen: Column | None = None) -> DataFrame:
+    """Padded copies with the id suffix ``+pad<k>``; unpaddable records are left out.
+
+    With several sizes, ``chosen`` gives the size of each row.
+    """
+    size = F.lit(sizes[0]) if chosen is None else chosen
+    padded = frame.withColumn(
+        "code", add_filler(*sizes, chosen=chosen)(F.col("code"), F.col("language"))
     )
-    return (
-        padded.filter(F.col("code").isNotNull())
-        .withColumn("solution_id", F.concat("solution_id", F.lit("+pad"), "_size"))
-        .drop("_size")
+    return padded.filter(F.col("code").isNotNull()).withColumn(
+        "solution_id", F.concat("solution_id", F.lit("+pad"), size)
     )
 
 
@@ -54,7 +55,7 @@ def augment(
     size = F.element_at(
         F.array(*map(F.lit, sizes)), (F.col("_place") % len(sizes) + 1).cast("int")
     )
-    return frame.unionByName(pad_records(placed, size).drop("_place"))
+    return frame.unionByName(pad_records(placed, *sizes, chosen=size).drop("_place"))
 
 
 def twin_survival(

@@ -10,6 +10,7 @@ from rankwell.functions.ordinal import TIME_CLASSES, class_at
 from rankwell.operators import graph, message
 from rankwell.plans.adapters import child_edges, nodes, table, with_views
 from rankwell.plans.catalog import query
+from rankwell.session import written
 
 _LOOPS = "('LOOP_CONST_BOUND', 'LOOP_N_BOUND', 'LOOP_HALVING')"
 # The tree is three levels deep, so the oracle spells the walk out as a recursion.
@@ -35,6 +36,12 @@ def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes(spark, sf_dir), child_edges(spark, sf_dir)
 
 
+def stored_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tree as tables on disk, for operators that read it several times."""
+    all_nodes, edges = tree(spark, sf_dir)
+    return written(all_nodes, "nodes"), written(edges, "edges")
+
+
 @query("tree_roots", "G3", sql=with_views(
     """SELECT graph_id, node_id, symbol FROM nodes
     WHERE (graph_id, node_id) NOT IN (SELECT graph_id, dst FROM child_edges)""", "tree"))
@@ -51,7 +58,7 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tree_walk", "G4", sql=with_views(
     f"{_WALK} SELECT graph_id, node_id, symbol, level, loop_depth, scope FROM walk", "tree"))
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.walk(*tree(spark, sf_dir)).drop("text")
+    return graph.walk(*stored_tree(spark, sf_dir)).drop("text")
 
 
 _BELOW = """below AS (SELECT n.graph_id, n.node_id AS root, k.dst AS node_id, k.symbol, k.text,
@@ -86,12 +93,12 @@ def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE symbol = 'IDENT' QUALIFY count(*) OVER (PARTITION BY graph_id, root, text) >= 2""",
     "tree"))
 def _loop_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.loop_carry_edges(*tree(spark, sf_dir))
+    return graph.loop_carry_edges(*stored_tree(spark, sf_dir))
 
 
 @query("use_chain_edges", "W5", sql=with_views(f"{_WALK}, {_USES} SELECT * FROM uses", "tree"))
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.data_dependency_edges(graph.walk(*tree(spark, sf_dir)))
+    return graph.data_dependency_edges(graph.walk(*stored_tree(spark, sf_dir)))
 
 
 @query("sibling_edges", "W6", sql=with_views(f"{_SIBLINGS} SELECT * FROM siblings", "tree"))
@@ -135,7 +142,7 @@ _FEATURES = f"""w AS (SELECT graph_id,
 @query("tabular_features", "G6", "X8", sql=with_views(
     f"{_WALK}, {_FEATURES} SELECT * FROM features", "tree"))
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tabular_features(*tree(spark, sf_dir))
+    return graph.tabular_features(*stored_tree(spark, sf_dir))
 
 
 _RULE = """rule AS (SELECT graph_id, ['O(1)', 'O(n)', 'O(n^2)', 'O(n^3)'][
@@ -146,7 +153,7 @@ _RULE = """rule AS (SELECT graph_id, ['O(1)', 'O(n)', 'O(n^2)', 'O(n^3)'][
 @query("rule_predictor", "P13", sql=with_views(
     f"{_WALK}, {_FEATURES}, {_RULE} SELECT * FROM rule", "tree"))
 def _rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = graph.tabular_features(*tree(spark, sf_dir))
+    features = graph.tabular_features(*stored_tree(spark, sf_dir))
     return graph.rule_prediction(features).select("graph_id", "rule_time", "rule_space")
 
 
@@ -271,7 +278,7 @@ _ALL_EDGES = f"{_WALK}, {_SIBLINGS}, {_USES}, all_edges AS (SELECT * FROM child_
 
 
 def all_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    all_nodes, edges = tree(spark, sf_dir)
+    all_nodes, edges = stored_tree(spark, sf_dir)
     walked = graph.walk(all_nodes, edges)
     return all_nodes, edges.unionByName(graph.sibling_edges(all_nodes, edges)).unionByName(
         graph.data_dependency_edges(walked)
@@ -316,7 +323,7 @@ _RECORDS = f"""{_WALK}, {_FEATURES}, {_RULE}, rec AS (SELECT graph_id,
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    all_nodes, edges = tree(spark, sf_dir)
+    all_nodes, edges = stored_tree(spark, sf_dir)
     ruled = graph.rule_prediction(graph.tabular_features(all_nodes, edges))
     return all_nodes, ruled.select(
         "graph_id",
@@ -444,14 +451,13 @@ def layer_weights(round_number: int) -> message.LayerWeights:
     )
 
 
-def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_vectors(spark: SparkSession, sf_dir: str, all_nodes: DataFrame) -> DataFrame:
     embedding = table(spark, sf_dir, "embeddings").filter(
         F.col("vec_id") < len(graph.SYMBOLS)
     ).select(
         F.col("vec_id").alias("symbol_id"),
         F.transform(F.slice("embedding", 1, SIZE), lambda v: v.cast("double") * 8).alias("x"),
     )
-    all_nodes = nodes(spark, sf_dir)
     encoded = graph.encoded_nodes(all_nodes.select("graph_id").distinct(), all_nodes)
     return message.initial_vectors(encoded, embedding)
 
@@ -500,8 +506,10 @@ _PICKED = ", ".join(f"round(x[{i + 1}], 5) AS x{i}" for i in range(SIZE))
 @query("message_round", "G8", sql=with_views(
     f"{_ROUNDS} SELECT graph_id, node_id, {_PICKED} FROM v1", "tree"))
 def _message_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges = all_edges(spark, sf_dir)
-    after = message.message_round(node_vectors(spark, sf_dir), edges, layer_weights(0))
+    all_nodes, edges = all_edges(spark, sf_dir)
+    after = message.message_round(
+        node_vectors(spark, sf_dir, all_nodes), edges, layer_weights(0)
+    )
     return after.select(
         "graph_id", "node_id",
         *[F.round(F.get("x", F.lit(i)), 5).alias(f"x{i}") for i in range(SIZE)],
@@ -527,9 +535,10 @@ _CELLS = [f"avg(x[{i + 1}])" for i in range(SIZE)] + [f"max(x[{i + 1}])" for i i
     f"{_ROUNDS} SELECT graph_id, {_head_sql(_CELLS, _HEAD, _HEAD_BIAS, 5)} FROM v2 GROUP BY 1",
     "tree"))
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges = all_edges(spark, sf_dir)
+    all_nodes, edges = all_edges(spark, sf_dir)
+    edges = written(edges, "edges")
     vectors = message.message_passing(
-        node_vectors(spark, sf_dir), edges, [layer_weights(0), layer_weights(1)]
+        node_vectors(spark, sf_dir, all_nodes), edges, [layer_weights(0), layer_weights(1)]
     )
     pooled = message.readout(vectors, SIZE, "meanmax")
     scored = pooled.withColumn("s", message.linear_head(F.col("pooled"), _HEAD, _HEAD_BIAS))

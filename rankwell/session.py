@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators rely on or profit from.  Partition counts are left to
 #: adaptive execution: it starts from ``shuffle.partitions`` and merges small ones.
@@ -87,3 +88,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def written_counted(
+    frame: DataFrame, name: str, test: Column | None = None
+) -> tuple[DataFrame, int]:
+    """As :func:`written`, with the number of rows (that pass ``test``) seen on the way."""
+    seen = Observation()
+    count = F.count(F.lit(1)) if test is None else F.count_if(test)
+    return written(frame.observe(seen, count.alias("n")), name), seen.get["n"]

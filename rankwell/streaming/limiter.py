@@ -78,18 +78,41 @@ def limit_requests(
     ).withColumn("_piece", F.col("_upto") - F.col("_end"))
     slim = cut.select(key, "_piece", request, "_s", "counts")
 
-    def run(piece: pd.DataFrame) -> pd.DataFrame:
-        ordered = piece.sort_values(["_s", request])
-        allowed, _, _ = _decide(
-            ordered["_s"].tolist(), ordered["counts"].tolist(), bucket, bucket.capacity, None
-        )
-        return pd.DataFrame({request: ordered[request].to_numpy(), "allowed": allowed})
-
-    schema = f"{request} {dict(requests.dtypes)[request]}, allowed boolean"
-    decided = slim.groupBy(key, "_piece").applyInPandas(run, schema)
+    types = dict(requests.dtypes)
+    schema = f"{request} {types[request]}, allowed boolean"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive piece by piece in time order; one bucket is held at a time
+        current, tokens, last = None, bucket.capacity, None
+        for batch in batches:
+            allowed: list[bool] = []
+            for owner, rows in _runs(batch, key):
+                if owner != current:
+                    current, tokens, last = owner, bucket.capacity, None
+                part = batch.iloc[rows]
+                flags, tokens, last = _decide(
+                    part["_s"].tolist(), part["counts"].tolist(), bucket, tokens, last
+                )
+                allowed += flags
+            yield pd.DataFrame({request: batch[request].to_numpy(), "allowed": allowed})
+
+    sorted_pieces = slim.repartition(key, "_piece").sortWithinPartitions(
+        key, "_piece", "_s", request
+    )
+    decided = sorted_pieces.mapInPandas(walk, schema)
     return requests.join(decided, request)
 
 
+def _runs(batch: pd.DataFrame, key: str) -> Iterator[tuple[tuple, slice]]:
+    """Stretches of rows of one piece, in order."""
+    owners, pieces = batch[key].to_numpy(), batch["_piece"].to_numpy()
+    start = 0
+    for i in range(1, len(batch) + 1):
+        if i == len(batch) or owners[i] != owners[start] or pieces[i] != pieces[start]:
+            yield (owners[start], pieces[start]), slice(start, i)
+            start = i
+
+
 def limit_stream(
     requests: DataFrame,
     bucket: Bucket,
