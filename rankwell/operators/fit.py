@@ -235,11 +235,12 @@ def text_ablation(
     label: str,
     classes: Sequence[str],
     inputs: Mapping[str, tuple[str, int | None]],
+    max_iter: int = 2000,
 ) -> DataFrame:
     """The same text model on several inputs: name -> (column, vocabulary bound)."""
     results = None
     for name, (column, bound) in inputs.items():
-        model = fit_text(train, column, label, classes, bound)
+        model = fit_text(train, column, label, classes, bound, max_iter)
         scored = judge.metrics(model.score(with_label(test, label)), classes, label=label)
         named = scored.select(F.lit(name).alias("name"), "*")
         results = named if results is None else results.unionByName(named)
@@ -253,9 +254,12 @@ def transfer(
     label: str,
     classes: Sequence[str],
     languages: Sequence[str],
+    max_iter: int = 2000,
 ) -> DataFrame:
     """Train on some languages, score every language apart."""
-    model = fit_text(in_languages(train, languages), text, label, classes)
+    model = fit_text(
+        in_languages(train, languages), text, label, classes, max_iter=max_iter
+    )
     scored = model.score(with_label(test, label))
     return judge.metrics(scored, classes, ["language"], label=label)
 
@@ -278,6 +282,7 @@ def ladder(
     text: str,
     features: Sequence[str],
     rounds: int = 300,
+    max_iter: int = 2000,
 ) -> DataFrame:
     """Rule, text model and tree model on one test split, the fitted ones calibrated.
 
@@ -291,7 +296,7 @@ def ladder(
         F.lit(None).cast("double").alias("ece"), F.lit(None).cast("double").alias("temperature"),
     )
     models = {
-        "rung1_text": fit_text(train, text, label, classes),
+        "rung1_text": fit_text(train, text, label, classes, max_iter=max_iter),
         "rung2_trees": fit_trees(train, label, classes, features, rounds),
     }
     for name, model in models.items():

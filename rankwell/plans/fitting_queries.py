@@ -23,6 +23,8 @@ FAMILIES = {
 TEXT_FEATURES = tuple(f for members in FAMILIES.values() for f in members)
 #: Rounds of boosting in the registered queries; the library default is 300.
 ROUNDS = 5
+#: Most iterations of the text models there; the library default is 2,000.
+ITERATIONS = 40
 
 
 def text_features(frame: DataFrame) -> DataFrame:
@@ -81,7 +83,9 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_model", "M1")
 def _text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
-    model = fit.fit_text(splits["train"], "code", "time_class", CLASSES)
+    model = fit.fit_text(
+        splits["train"], "code", "time_class", CLASSES, max_iter=ITERATIONS
+    )
     return rounded(judge.metrics(model.score(splits["test"]), CLASSES, label="time_class"), *METRICS)
 
 
@@ -106,7 +110,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
     # 13 shape words bound the vocabulary at 13 + 13^2 + 13^3 grams
     inputs = {"ir_symbol_tfidf": ("shape", 13 + 13**2 + 13**3), "raw_token_tfidf": ("code", None)}
-    results = fit.text_ablation(splits["train"], splits["test"], "time_class", CLASSES, inputs)
+    results = fit.text_ablation(splits["train"], splits["test"], "time_class", CLASSES, inputs, ITERATIONS)
     return rounded(results, *METRICS)
 
 
@@ -115,7 +119,7 @@ def _transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
     everything = splits["train"].unionByName(splits["test"])
     results = fit.transfer(
-        splits["train"], everything, "code", "time_class", CLASSES, ["en", "fr"]
+        splits["train"], everything, "code", "time_class", CLASSES, ["en", "fr"], ITERATIONS
     )
     return rounded(results, *METRICS)
 
@@ -124,7 +128,8 @@ def _transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.col("n_words") < 30, "0").otherwise("1")
     results = fit.ladder(
-        labelled(spark, sf_dir), "time_class", CLASSES, rule, "code", TEXT_FEATURES, ROUNDS
+        labelled(spark, sf_dir), "time_class", CLASSES, rule, "code", TEXT_FEATURES,
+        ROUNDS, ITERATIONS,
     )
     return rounded(results, *METRICS, "ece", "temperature")
 
