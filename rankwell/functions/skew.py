@@ -20,32 +20,51 @@ def keep_lowest(
     frame: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    limit: int | Column,
-    most: int | None = None,
+    limit: int,
     salts: int = SALTS,
+    row_id: str | None = None,
 ) -> DataFrame:
     """The first ``limit`` rows of every group in the given total order.
 
     Ranked twice: within (group, salt), then within the group over at most
     ``salts * limit`` survivors.  Catalyst adds a map-side group limit to both.
-    ``limit`` may be a column of per-row quotas; ``most`` is then its upper bound.
+
+    With a unique ``row_id`` only the keys and the order are ranked and the wide
+    rows are picked by a semi-join on that id.  Reducers chained on one id
+    shuffle the wide rows once in all, because the partitioning stays.
     """
-    bound = limit if isinstance(limit, int) else most
-    if bound is None:
-        raise ValueError("a column limit needs its upper bound in `most`")
+    if row_id is not None:
+        chosen = lowest_ids(frame, keys, order, limit, row_id, salts)
+        return frame.join(chosen, row_id, "left_semi")
     salt = F.pmod(F.xxhash64(*order), F.lit(salts))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-    ranked = (
+    return (
         frame.withColumn("_salt", salt)
         .withColumn("_rank", F.row_number().over(inner))
-        .filter(F.col("_rank") <= bound)
+        .filter(F.col("_rank") <= limit)
         .withColumn("_rank", F.row_number().over(outer))
-        .filter(F.col("_rank") <= bound)
+        .filter(F.col("_rank") <= limit)
+        .drop("_salt", "_rank")
+    )
+
+
+def lowest_ids(
+    frame: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    limit: int,
+    row_id: str,
+    salts: int = SALTS,
+) -> DataFrame:
+    """The ids of the rows :func:`keep_lowest` keeps, ranked on narrow rows."""
+    names = [f"_o{i}" for i in range(len(order))]
+    slim = frame.select(
+        F.col(row_id),
+        *[F.col(k) for k in keys if k != row_id],
+        *[o.alias(n) for o, n in zip(order, names, strict=True)],
     )
-    if not isinstance(limit, int):
-        ranked = ranked.filter(F.col("_rank") <= limit)
-    return ranked.drop("_salt", "_rank")
+    return keep_lowest(slim, keys, [F.col(n) for n in names], limit, salts).select(row_id)
 
 
 def running_total(
@@ -60,7 +79,9 @@ def running_total(
 
     ``blocks`` cut a group from coarse to fine into runs that are contiguous in
     ``order``.  Sums are taken per finest block, offsets are accumulated level by
-    level, and only rows of one finest block share a task.
+    level, and only rows of one finest block share a task.  The wide rows are
+    shuffled once: the lookup of the offsets uses the same partitioning.  Keys
+    must not be NULL.
     """
     names = [f"_b{i}" for i in range(len(blocks))]
     cut = frame.select("*", *[b.alias(n) for n, b in zip(names, blocks, strict=True)])
@@ -82,7 +103,7 @@ def running_total(
             offsets = local
         else:
             parent = offsets.withColumnRenamed("_o", "_p")
-            offsets = _join(local, parent, [*keys, *upper]).select(
+            offsets = local.join(parent, [*keys, *upper]).select(
                 *keys, *upper, here, (F.col("_o") + F.col("_p")).alias("_o")
             )
     inner = (
@@ -90,7 +111,7 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = cut.withColumn("_in", F.sum("_w").over(inner))
-    joined = _join(summed, offsets, [*keys, *names])
+    joined = summed.join(offsets, [*keys, *names], "left")
     return joined.withColumn(name, F.col("_in") + F.col("_o")).drop(*names, "_w", "_in", "_o")
 
 
@@ -112,7 +133,8 @@ def next_in_group(
     """The following ``position`` of the same group, NULL at its end.
 
     Inside a block by ``lead``; the last row of a block takes the first position
-    of the next block, looked up in a table of one row per block.
+    of the next block, looked up in a table of one row per block.  Keys must not
+    be NULL.
     """
     cut = frame.withColumn("_block", block)
     firsts = cut.groupBy(*keys, "_block").agg(F.min(position).alias("_first"))
@@ -123,7 +145,7 @@ def next_in_group(
     inner = Window.partitionBy(*keys, "_block").orderBy(position)
     led = cut.withColumn("_lead", F.lead(position).over(inner))
     return (
-        _join(led, following, [*keys, "_block"])
+        led.join(following, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce("_lead", "_after"))
         .drop("_block", "_lead", "_after")
     )
@@ -201,8 +223,9 @@ def numbered(frame: DataFrame, name: str = "row_index") -> DataFrame:
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")
     )
+    # one row per partition of the scan, so the broadcast is bounded by the task count
     return (
-        placed.join(offsets, "_pid")
+        placed.join(F.broadcast(offsets), "_pid")
         .withColumn(name, F.col("_at") + F.col("_off"))
         .drop("_pid", "_at", "_off")
     )

@@ -18,17 +18,12 @@ from rankwell.functions.skew import (
     keep_lowest,
     lowest_hash,
     lowest_hash_per_group,
+    lowest_ids,
 )
 
 PROBLEM = ("source", "problem_id")
 
 
-def label_map_rows(spark, vocabularies: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """A vocabulary as a lookup table (vocabulary, raw, class)."""
-    rows = [(v, raw, c) for v, table in vocabularies.items() for raw, c in table.items()]
-    return spark.createDataFrame(rows, "vocabulary string, raw string, class string")
-
-
 def map_labels(
     frame: DataFrame,
     raw: str,
@@ -87,11 +82,12 @@ def in_languages(frame: DataFrame, languages: Sequence[str]) -> DataFrame:
 def exact_dedupe(frame: DataFrame, position: str = "input_pos") -> DataFrame:
     """First row in input order of every (source, code).
 
-    The text is compared by its sha256, so only 64 characters are shuffled as a
-    key.  A group of many copies is cut down inside each map task first.
+    Texts are compared by their sha256.  Hashes and positions decide; the texts
+    themselves only follow the positions that were kept.  ``position`` is unique.
     """
     keyed = frame.withColumn("_code", F.sha2("code", 256))
-    return keep_lowest(keyed, ["source", "_code"], [F.col(position)], 1).drop("_code")
+    chosen = lowest_ids(keyed, ["source", "_code"], [F.col(position)], 1, position)
+    return frame.join(chosen, position, "left_semi")
 
 
 def hash_order(key: Column | None = None) -> list[Column]:
@@ -100,21 +96,37 @@ def hash_order(key: Column | None = None) -> list[Column]:
     return [stable_bucket(key, ORDER_MODULUS), key]
 
 
-def structure_dedupe(frame: DataFrame, keep: int = 1, signature: str = "signature") -> DataFrame:
+def _id_in(frame: DataFrame, row_id: str | None) -> str | None:
+    return row_id if row_id in frame.columns else None
+
+
+def structure_dedupe(
+    frame: DataFrame, keep: int = 1, signature: str = "signature", row_id: str | None = "input_pos"
+) -> DataFrame:
     """At most ``keep`` rows per problem, signature and labels; no signature keeps the row."""
     unsigned = frame.filter(F.col(signature).isNull())
     signed = frame.filter(F.col(signature).isNotNull())
     groups = [*PROBLEM, signature, "time_class", "space_class"]
-    return keep_lowest(signed, groups, hash_order(), keep).unionByName(unsigned)
+    row_id = _id_in(frame, row_id)
+    if row_id is None:
+        return keep_lowest(signed, groups, hash_order(), keep).unionByName(unsigned)
+    chosen = lowest_ids(signed, groups, hash_order(), keep, row_id)
+    return frame.join(chosen.unionByName(unsigned.select(row_id)), row_id, "left_semi")
 
 
-def cap_per_problem(frame: DataFrame, limit: int) -> DataFrame:
-    return keep_lowest(frame, list(PROBLEM), hash_order(), limit)
+def cap_per_problem(
+    frame: DataFrame, limit: int, row_id: str | None = "input_pos"
+) -> DataFrame:
+    return keep_lowest(
+        frame, list(PROBLEM), hash_order(), limit, row_id=_id_in(frame, row_id)
+    )
 
 
-def cap_per_class(frame: DataFrame, limit: int, label: str = "time_class") -> DataFrame:
+def cap_per_class(
+    frame: DataFrame, limit: int, label: str = "time_class", row_id: str | None = "input_pos"
+) -> DataFrame:
     """Cap every class; rows without a label form a class of their own."""
-    return keep_lowest(frame, [label], hash_order(), limit)
+    return keep_lowest(frame, [label], hash_order(), limit, row_id=_id_in(frame, row_id))
 
 
 def with_split(frame: DataFrame, train_frac: float = 0.70, val_frac: float = 0.15) -> DataFrame:

@@ -235,10 +235,13 @@ def data_dependency_edges(walked: DataFrame) -> DataFrame:
 
 
 def sibling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node to the next child of the same parent; nodes without one are siblings too."""
+    """Each node to the next child of the same parent; nodes without one are siblings too.
+
+    Node ids are not negative, so -1 stands for the missing parent.
+    """
     placed = children(edges).unionByName(
         roots(nodes, edges).select(
-            "graph_id", F.lit(None).cast("bigint").alias("src"), F.col("node_id").alias("dst")
+            "graph_id", F.lit(-1).cast("bigint").alias("src"), F.col("node_id").alias("dst")
         )
     )
     chained = next_in_group(placed, ["graph_id", "src"], "dst", id_block("dst"))

@@ -63,7 +63,8 @@ def limit_requests(
 
     A pause long enough to refill the bucket makes what follows independent of
     what came before, so every key is cut at such pauses and the pieces run in
-    parallel.  Only a client that never pauses is walked in one piece.
+    parallel.  Only a client that never pauses is walked in one piece, and even
+    that piece streams through in batches.  Keys must not be NULL.
     """
     timed = requests.withColumn("_s", seconds_of(F.col("ts")))
     # both neighbours in time come from block-wise windows, not one per key

@@ -52,10 +52,19 @@ KIND = {
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--dir", default="/root/testdata/sf0.01")
+    parser.add_argument("--plain", action="store_true", help="a session with default settings")
     parser.add_argument("--show", action="store_true")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args(argv)
-    spark = local_session(8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config(
+            "spark.sql.shuffle.partitions", "8"
+        ).getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
     catalogue = load_all()
     chosen = [
         q for q in catalogue.values()
