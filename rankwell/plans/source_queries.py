@@ -113,7 +113,7 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT conv_id::VARCHAR AS problem_id, solution_id, sha256(arg_max(text, turn)) AS code_hash
   FROM s GROUP BY 1, 2""")
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the nested file: one row per conversation with its turns; every two turns share an id
+    # the nested file: rows of up to 64 turns of one conversation; every two turns share an id
     item = F.struct(
         "turn",
         F.concat(F.lit("t"), F.floor(F.col("turn") / 2)).alias("solution_id"),
@@ -121,9 +121,11 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nested = (
         table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("input_pos"))
+        .groupBy(
+            F.col("conv_id").cast("string").alias("problem_id"),
+            F.floor(F.col("turn") / 64).alias("input_pos"),
+        )
         .agg(F.array_sort(F.collect_list(item)).alias("correct_solution_list"))
-        .withColumn("problem_id", F.col("input_pos").cast("string"))
     )
     path = scratch_path(spark, "nested")
     nested.write.json(path)

@@ -31,7 +31,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     The pattern matches the one table name, be it a file or a folder.
     """
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    # a micro-batch, and so one client's share of it, stays bounded on any table
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(4 << 30))
+    stream = reader.parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", utc())
 
 
