@@ -146,7 +146,7 @@ def _scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- derivation steps
 @query("certainty_rollup", "P14", sql="""
   WITH n AS (SELECT user_id, event_type FROM events
-    WHERE event_type IN ('error', 'signup') AND value < 20 AND event_id % 5 = 0)
+    WHERE event_type IN ('error', 'signup') AND value < 4)
   SELECT c_custkey AS user_id, CASE WHEN bool_or(event_type = 'error') THEN 'unknown'
       WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'assumed' ELSE 'certain' END AS certainty,
     count(*) FILTER (event_type = 'signup') AS assumptions
@@ -157,12 +157,13 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of a program: its cheap errors and sign-ups."""
     kind = F.when(F.col("event_type") == "error", "unknown").when(
         F.col("event_type") == "signup", "assumed"
     )
     return (
         table(spark, sf_dir, "events")
-        .filter((F.col("value") < 20) & (F.col("event_id") % 5 == 0))
+        .filter(F.col("value") < 4)
         .select(
             "user_id", kind.alias("kind"), F.dayofmonth("ts").alias("line"),
             F.col("props").alias("reason"),
@@ -172,7 +173,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("assumed_lines", "P14", sql="""
   SELECT user_id, day(ts)::INT AS line, props AS reason FROM events
-  WHERE event_type = 'signup' AND value < 20 AND event_id % 5 = 0""")
+  WHERE event_type = 'signup' AND value < 4""")
 def _assumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.assumptions(notes(spark, sf_dir), "user_id")
 
@@ -192,7 +193,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 2).alias("key"), F.col("event_id").alias("seq"),
         F.concat_ws(" ", "event_type", F.col("event_id")).alias("text"),
         F.lit(25).alias("line_count"),
-        F.when(F.col("event_id") % 7 == 0, "  ").otherwise("x = 1").alias("line_text"),
+        F.when(F.col("value") < 7, "  ").otherwise("x = 1").alias("line_text"),
     )
 
 
@@ -209,7 +210,7 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, kind, line, seq, salience FROM (SELECT user_id, {_KIND_SQL} AS kind,
     day(ts)::INT AS line, event_id AS seq, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN
     1.0 WHEN 'purchase' THEN 0.5 WHEN 'signup' THEN 0.4 END::DOUBLE AS salience FROM events
-    WHERE event_id % 7 <> 0)
+    WHERE value >= 7)
   WHERE salience IS NOT NULL AND line BETWEEN 1 AND 25
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY salience DESC, seq) <= 8""")
 def _salient(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def limit_requests(
     """
     timed = requests.withColumn("_s", seconds_of(F.col("ts")))
     # both neighbours in time come from block-wise windows, not one per key
-    width = max(bucket.pause, 1.0) * 64
+    width = max(bucket.pause, 1.0)
     block = F.floor(F.col("_s") / width)
     placed = timed.withColumn("_at", F.struct("_s", request))
     led = next_in_group(placed, [key], "_at", block, "_next")
