@@ -24,7 +24,7 @@ def _flat(text: Column) -> Column:
     """Sort the factors of every term and the terms of a bracket-free sum."""
 
     def term(t: Column) -> Column:
-        factors = F.filter(F.split(t, "[ *]+"), lambda f: f != "")
+        factors = F.filter(F.split(F.translate(t, "*", " "), " "), lambda f: f != "")
         return F.array_join(F.array_sort(F.transform(factors, _show)), "*")
 
     terms = F.filter(F.split(text, r"\+"), lambda t: F.trim(t) != "")
@@ -33,19 +33,23 @@ def _flat(text: Column) -> Column:
 
 def _fold_innermost(text: Column) -> Column:
     """Replace every innermost bracket group by its hidden canonical form."""
-    parts = F.split(text, _INNERMOST, -1)
     groups = F.regexp_extract_all(text, F.lit(_INNERMOST), 0)
 
-    def folded(group: Column, i: Column) -> Column:
-        before = F.get(parts, i)
-        after = F.get(parts, i + 1)
-        inner = F.substring(group, F.lit(2), F.length(group) - 2)
-        # a power or an unknown function keeps its argument as written
-        whole = before.rlike(r"(^|[ +*(])(log|sqrt)?$") & after.rlike(r"^($|[ +*)])")
-        body = F.when(whole, _flat(inner)).otherwise(F.replace(_show(inner), F.lit(" "), F.lit("")))
-        return F.concat(_hide(F.concat(F.lit("("), body, F.lit(")"))), after)
-
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(groups, folded), ""))
+    def rebuilt(parts: Column) -> Column:
+        def folded(group: Column, i: Column) -> Column:
+            before = F.get(parts, i)
+            after = F.get(parts, i + 1)
+            inner = F.substring(group, F.lit(2), F.length(group) - 2)
+            # a power or an unknown function keeps its argument as written
+            whole = before.rlike(r"(^|[ +*(])(log|sqrt)?$") & after.rlike(r"^($|[ +*)])")
+            body = F.when(whole, _flat(inner)).otherwise(
+                F.replace(_show(inner), F.lit(" "), F.lit(""))
+            )
+            return F.concat(_hide(F.concat(F.lit("("), body, F.lit(")"))), after)
+
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(groups, folded), ""))
+
+    return _bind(F.split(text, _INNERMOST, -1), rebuilt)
 
 
 def _bind(text: Column, step) -> Column:
