@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +41,19 @@ def remainder(doc_id: Column, modulus: int = 3) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from all fits (NULL ids are)."""
     return F.coalesce(remainder(doc_id) == 1, F.lit(True))
+
+
+def _passing(
+    test: Callable[[list[str | None]], list[bool]], text: int, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield part.filter(pa.array(test(part.column(text).to_pylist()), pa.bool_()))
+
+
+def rows_passing(
+    docs: DataFrame, test: Callable[[list[str | None]], list[bool]], text: str = "text"
+) -> DataFrame:
+    """The rows whose text passes; no shuffle, and all columns whatever their names."""
+    return docs.mapInArrow(partial(_passing, test, docs.columns.index(text)), docs.schema)
