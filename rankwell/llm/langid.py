@@ -29,7 +29,7 @@ BITS = 13
 COLUMNS = 1 << BITS
 UNDETERMINED = "und"
 #: Rows below are rejected by :func:`keep_identified`.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 # Language families by ISO 639-1 code; other codes are families of their own.
 FAMILIES = {
     "romance": "ca es fr gl it oc pt ro",

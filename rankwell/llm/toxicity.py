@@ -33,13 +33,20 @@ DIMENSIONS = 1 << 18
 MEMO = 300_000
 PART = 1000
 THRESHOLD = 0.7
+#: Standard deviations above chance from which a column gets a weight.
+TELLING = 5.0
 _TOKEN = re.compile(r"[^\s]+|\n")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
-def word_column(token: str) -> int:
-    """Hashed column of a token's word: lower case, without punctuation at its ends."""
-    return zlib.crc32(_EDGE.sub("", token.lower()).encode("utf-8", "surrogatepass")) % DIMENSIONS
+def token_columns(token: str) -> list[int]:
+    """Hashed columns of a token's word and of its first three, four and five letters.
+
+    In lower case, without punctuation at its ends.
+    """
+    word = _EDGE.sub("", token.lower())
+    parts = dict.fromkeys((f"{word} ", *(word[:k] for k in (3, 4, 5) if len(word) >= k)))
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % DIMENSIONS for p in parts]
 
 
 def ends_sentence(token: str) -> bool:
@@ -47,23 +54,32 @@ def ends_sentence(token: str) -> bool:
 
 
 class Sentences:
-    """Texts as arrays: a column per word, a start per sentence, a start per document."""
+    """Texts as arrays: a number per word, a start per sentence, a start per document."""
+
+    def __init__(self, weights: np.ndarray | None = None) -> None:
+        self.weights = weights
+        self.clear()
 
-    def __init__(self) -> None:
+    def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.columns: list[int] = []
+        self.columns: list[list[int]] = []
+        self.values: list[float] = []
         self.ends: list[bool] = []
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Columns of all words, start of each sentence, first sentence of each document."""
+        """Numbers of all words, start of each sentence, first sentence of each document."""
         if len(self.memo) > MEMO:
-            self.memo, self.columns, self.ends = {}, [], []
+            self.clear()
         tokens = [_TOKEN.findall(t or "") for t in texts]
         for token in set().union(*tokens).difference(self.memo):
-            self.memo[token] = len(self.columns)
-            self.columns.append(word_column(token))
+            self.memo[token] = len(self.ends)
+            columns = token_columns(token)
+            if self.weights is None:
+                self.columns.append(columns)
+            else:
+                self.values.append(float(self.weights[columns].sum()))
             self.ends.append(ends_sentence(token))
-        columns, ends = np.array(self.columns, np.int64), np.array(self.ends, bool)
+        ends = np.array(self.ends, bool)
         sizes = np.array([len(t) for t in tokens], np.int64)
         total = int(sizes.sum())
         at = np.fromiter((self.memo[w] for t in tokens for w in t), np.int64, total)
@@ -73,14 +89,18 @@ class Sentences:
         new[starts_doc] = True
         new[total] = False
         starts = np.flatnonzero(new)
-        first = np.searchsorted(starts, starts_doc)
-        return columns[at] if total else at, starts, first
+        return at, starts, np.searchsorted(starts, starts_doc)
 
 
-def sentence_logits(weights: np.ndarray, bias: float, columns: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def sentence_logits(values: np.ndarray, bias: float, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the values of a sentence's words, plus the bias."""
     if not len(starts):
         return np.zeros(0)
-    return np.add.reduceat(weights[columns], starts) + bias
+    return np.add.reduceat(values[words], starts) + bias
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
 
 
 def noisy_or(logits: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,50 +118,77 @@ class Model:
 def fit_noisy_or(
     texts: Sequence[str | None],
     labels: Sequence[int],
-    rounds: int = 200,
-    rate: float = 0.1,
-    decay: float = 2e-4,
-    least: int = 3,
+    rounds: int = 80,
+    rate: float = 0.15,
+    decay: float = 1e-5,
+    least: int = 4,
 ) -> Model:
-    """Full-batch Adam on the log loss of the noisy-or; ``decay`` is the L2 weight.
+    """Full-batch Adam on the log loss of the noisy-or, with an L2 ``decay``.
 
-    Words of fewer than ``least`` documents keep weight 0.  Without rows, or with
-    one class only, every score is near that class's share.
+    Weights are fitted to the columns that stand in at least ``least`` toxic documents
+    and in more of them than chance explains; they start from their log-odds.  Without
+    rows, or with one class only, every score is near that class's share.
     """
-    columns, starts, first = Sentences()(texts)
+    cut = Sentences()
+    words, starts, first = cut(texts)
     y = np.asarray(labels, np.float64)
-    weights = np.zeros(DIMENSIONS)
-    if not len(y):
+    weights = np.zeros(DIMENSIONS, np.float32)
+    if not len(y) or not len(words):
         return Model(weights, -6.0)
-    doc_of_word = np.searchsorted(starts[first[1:-1]] if len(y) > 1 else np.zeros(0), np.arange(len(columns)), "right")
-    seen = np.unique(columns * len(y) + doc_of_word) // len(y)
-    df = np.bincount(seen, minlength=DIMENSIONS)
-    used = np.flatnonzero(df >= least)
+    sizes = np.array([len(c) for c in cut.columns])
+    flat = np.array([c for cs in cut.columns for c in cs], np.int64)
+    at_word = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    used, start = _telling_columns(words, starts, first, sizes, flat, at_word, y, least)
     place = np.full(DIMENSIONS, len(used))
     place[used] = np.arange(len(used))
-    ids = place[columns]
+    ids = place[flat]
     n_sentences = np.diff(first)
-    lengths = np.diff(np.append(starts, len(columns)))
-    w = np.zeros(len(used) + 1)
-    bias = float(np.log(max(y.mean(), 1e-3) / max(1.0, n_sentences.mean())))
+    lengths = np.diff(np.append(starts, len(words)))
+    w = np.append(start, 0.0)
+    bias = float(np.log(max(y.mean(), 1e-3) / max(1.0, n_sentences.mean()))) - 2.0
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = sentence_logits(w, bias, ids, starts)
-        p_s = 1 / (1 + np.exp(-z))
+        z = sentence_logits(np.add.reduceat(w[ids], at_word), bias, words, starts)
+        p_s = sigmoid(z)
         p = np.clip(noisy_or(z, first), 1e-9, 1 - 1e-9)
         # d loss / dz: p_s for clean documents, -p_s (1 - p) / p for toxic ones
         pull = np.where(y > 0.5, -(1 - p) / p, 1.0)
         g_s = p_s * np.repeat(pull, n_sentences) / len(y)
-        grad = np.append(np.bincount(ids, np.repeat(g_s, lengths), len(w)), g_s.sum())
-        grad[: len(w) - 1] += decay * w[:-1] / np.sqrt(df[used])
+        g_word = np.bincount(words, np.repeat(g_s, lengths), len(sizes))
+        grad = np.append(np.bincount(ids, np.repeat(g_word, sizes), len(w)), g_s.sum())
+        grad[:-1] += decay * w
         grad[len(w) - 1] = 0.0  # the place of words without a weight
         m1 = 0.9 * m1 + 0.1 * grad
-        m2 = 0.999 * m2 + 0.001 * grad * grad
-        step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-10)
+        m2 = 0.99 * m2 + 0.01 * grad * grad
+        step = rate * (1 - t / (rounds + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
     weights[used] = w[:-1]
-    return Model(weights.astype(np.float32), bias)
+    return Model(weights, bias)
+
+
+def _telling_columns(
+    words: np.ndarray, starts: np.ndarray, first: np.ndarray, sizes: np.ndarray,
+    flat: np.ndarray, at_word: np.ndarray, y: np.ndarray, least: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Columns that tell toxic documents, and their log-odds."""
+    doc = np.searchsorted(np.append(starts, len(words))[first[1:-1]], np.arange(len(words)), "right")
+    pairs = np.unique(words * len(y) + doc)
+    word, doc = pairs // len(y), pairs % len(y)
+    n = sizes[word]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    columns = flat[np.repeat(at_word[word], n) + inside]
+    both = np.unique(columns * len(y) + np.repeat(doc, n))
+    columns, toxic = both // len(y), y[both % len(y)] > 0.5
+    bad = np.bincount(columns, toxic, DIMENSIONS)
+    every = np.bincount(columns, minlength=DIMENSIONS)
+    expected = every * y.mean()
+    score = (bad - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
+    used = np.flatnonzero((bad >= least) & (score >= TELLING))
+    odds = np.log((bad[used] + 0.5) / (y.sum() + 1)) - np.log(
+        (every[used] - bad[used] + 0.5) / (len(y) - y.sum() + 1)
+    )
+    return used, odds
 
 
 def labelled_sample(
@@ -186,16 +233,16 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
 def _score(
     model: Model, spans: bool, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    cut = Sentences()
+    cut = Sentences(model.weights)
     for batch in batches:
         for at in range(0, batch.num_rows, PART):
             part = batch.slice(at, PART)
             texts = part.column("text").to_pylist()
-            columns, starts, first = cut(texts)
-            logits = sentence_logits(model.weights, model.bias, columns, starts)
+            words, starts, first = cut(texts)
+            logits = sentence_logits(np.array(cut.values), model.bias, words, starts)
             score = noisy_or(logits, first)
             where = [
-                _spans(t, 1 / (1 + np.exp(-logits[first[i] : first[i + 1]])), 0.5)
+                _spans(t, sigmoid(logits[first[i] : first[i + 1]]), 0.5)
                 if spans and t and score[i] >= 0.5 else []
                 for i, t in enumerate(texts)
             ]
@@ -236,10 +283,18 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     )
 
 
-def _clean(model: Model, texts: list[str | None]) -> list[bool]:
-    columns, starts, first = Sentences()(texts)
-    score = noisy_or(sentence_logits(model.weights, model.bias, columns, starts), first)
-    return (score < THRESHOLD).tolist()
+class _Clean:
+    """Whether texts are below the threshold; one memo per task."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.cut: Sentences | None = None
+
+    def __call__(self, texts: list[str | None]) -> list[bool]:
+        self.cut = self.cut or Sentences(self.model.weights)
+        words, starts, first = self.cut(texts)
+        logits = sentence_logits(np.array(self.cut.values), self.model.bias, words, starts)
+        return (noisy_or(logits, first) < THRESHOLD).tolist()
 
 
 def drop_toxic(
@@ -251,4 +306,4 @@ def drop_toxic(
     """
     sample = labelled_sample(docs, labels, fit_rows, doc_id, text)
     model = fit_noisy_or(sample["text"].tolist(), sample["y"].tolist())
-    return rows_passing(docs, partial(_clean, model), text)
+    return rows_passing(docs, _Clean(model), text)
