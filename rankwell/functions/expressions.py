@@ -57,28 +57,40 @@ def _bind(text: Column, step) -> Column:
     return F.element_at(F.transform(F.array(text), step), 1)
 
 
-def normalize_expr(text: Column, depth: int = 4) -> Column:
+def normalize_expr(text: Column) -> Column:
     """Order and spacing of factors and terms do not matter; names, powers and logs do.
 
-    NULL when brackets nest deeper than ``depth`` levels or do not match; see
+    Brackets may nest to any depth.  NULL when they do not match; see
     :func:`expr_rejected`.
     """
-    return _bind(_folded(text, depth), lambda t: F.when(~t.rlike("[()]"), _flat(t)))
+    return _bind(_folded(text), lambda t: F.when(~t.rlike("[()]"), _flat(t)))
 
 
-def expr_rejected(text: Column, depth: int = 4) -> Column:
-    return _folded(text, depth).rlike("[()]")
+def expr_rejected(text: Column) -> Column:
+    return _folded(text).rlike("[()]")
 
 
-def _folded(text: Column, depth: int) -> Column:
+#: A function and the name it is applied to, without brackets: ``log n``.
+_APPLIED = r"(?<!\w)(log|sqrt) +(\p{L}\w*|_\w*)"
+
+
+def _folded(text: Column) -> Column:
+    """Every bracket group in its hidden canonical form, from the inside out.
+
+    Each pass folds all innermost groups, so there are at most as many passes as
+    opening brackets.
+    """
+
     def strip(t: Column) -> Column:
         wrapped = t.startswith("O(") & t.endswith(")")
         bare = F.when(wrapped, F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(t)
-        return F.regexp_replace(bare, r"\b(log|sqrt)\s+([A-Za-z_]\w*)", r"$1($2)")
+        return F.regexp_replace(bare, _APPLIED, "$1($2)")
 
-    inner = _bind(F.trim(text), strip)
-    for _ in range(depth):
-        inner = _bind(
-            inner, lambda t: F.when(t.contains("("), _fold_innermost(t)).otherwise(t)
+    def passes(t: Column) -> Column:
+        opened = F.length(t) - F.length(F.translate(t, "(", ""))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), t,
+            lambda now, _: F.when(now.contains("("), _fold_innermost(now)).otherwise(now),
         )
-    return inner
+
+    return _bind(_bind(F.trim(text), strip), passes)

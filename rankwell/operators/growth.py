@@ -211,73 +211,77 @@ def dominant_terms(terms: DataFrame, expression: str, term: str) -> DataFrame:
     ).select(expression, "t.*")
 
 
-def _class(name: str, lossy: bool | Column = False) -> Column:
+#: Classes of a scale, smallest first: name, then kind (0 polynomial, 1 exponential,
+#: 2 factorial) and size within it: (power, log), (base, 0) or (factorials, 0).
+Scale = Sequence[tuple[str, int, float, float]]
+
+TIME_SCALE: Scale = (
+    ("O(1)", 0, 0.0, 0.0),
+    ("O(log n)", 0, 0.0, 1.0),
+    ("O(n)", 0, 1.0, 0.0),
+    ("O(n log n)", 0, 1.0, 1.0),
+    ("O(n^2)", 0, 2.0, 0.0),
+    ("O(n^3)", 0, 3.0, 0.0),
+    ("O(2^n)", 1, 2.0, 0.0),
+)
+SPACE_SCALE: Scale = TIME_SCALE[:5]
+#: Classes of the extended list that a term takes only where they fit exactly.
+EXACT_SCALE: Scale = (("O(sqrt n)", 0, 0.5, 0.0), ("O(n^2 log n)", 0, 2.0, 1.0))
+FACTORIAL_SCALE: Scale = (("O(n!)", 2, 1.0, 0.0),)
+
+
+def _term_size() -> Column:
+    """struct<kind, a, b> of a dominant term, comparable with the classes."""
+    facts, base = F.col("facts").cast("double"), F.col("base").cast("double")
+    power, log = F.col("power").cast("double"), F.col("log").cast("double")
+    kind = F.when(facts > 0, 2).when(base > 0, 1).otherwise(0)
+    lead = F.when(facts > 0, facts).when(base > 0, base).otherwise(power)
     return F.struct(
-        F.lit(name).alias("class"),
-        (F.lit(lossy) if isinstance(lossy, bool) else lossy).alias("lossy"),
+        kind.alias("kind"), lead.alias("a"), F.when(kind == 0, log).otherwise(0.0).alias("b")
     )
 
 
-def _below_quadratic(p: Column, log: Column) -> list[tuple[Column, Column]]:
-    """The rungs time and space share, largest first."""
-    return [
-        (p > 1, _class("O(n^2)", True)),
-        ((p == 1) & (log == 0), _class("O(n)")),
-        ((p == 1) & (log == 1), _class("O(n log n)")),
-        (p == 1, _class("O(n^2)", True)),
-        (p > 0, _class("O(n)", True)),
-        (log == 0, _class("O(1)")),
-        (log == 1, _class("O(log n)")),
-    ]
-
+def _on_scale(scale: Scale) -> Column:
+    """struct<class, lossy>: the first class of the term's kind that is not below it.
 
-def _ladder(rungs: Sequence[tuple[Column, Column]], last: Column) -> Column:
-    chain = F.when(*rungs[0])
-    for test, value in rungs[1:]:
-        chain = chain.when(test, value)
-    return chain.otherwise(last)
+    Above all classes of its kind a term takes the last of them; a kind the scale does
+    not know takes its last class.  Lossy if the class is not of the term's size, or the
+    term holds factors beside its dominant one.
+    """
+    size = _term_size()
+    classes = F.array(*[
+        F.struct(
+            F.struct(F.lit(k).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")).alias("size"),
+            F.lit(name).alias("class"),
+        )
+        for name, k, a, b in scale
+    ])
+    akin = F.filter(classes, lambda c: c["size"]["kind"] == size["kind"])
+    enough = F.filter(akin, lambda c: c["size"] >= size)
+    found = F.coalesce(
+        F.get(enough, F.lit(0)), F.get(akin, F.size(akin) - 1), F.element_at(classes, -1)
+    )
+    return F.struct(
+        found["class"].alias("class"), ((found["size"] != size) | F.col("extras")).alias("lossy")
+    )
 
 
 def project_time() -> Column:
-    """struct<class, lossy>: rounds up to the next class of the plain time list."""
-    p, log = F.col("power"), F.col("log")
-    return _ladder(
-        [
-            (F.col("facts") > 0, _class("O(2^n)", True)),
-            (F.col("base") > 0, _class("O(2^n)", (F.col("base") != 2) | F.col("extras"))),
-            (p >= 3, _class("O(n^3)", (p != 3) | (log != 0))),
-            (p > 2, _class("O(n^3)", True)),
-            ((p == 2) & (log == 0), _class("O(n^2)")),
-            (p == 2, _class("O(n^3)", True)),
-            *_below_quadratic(p, log),
-        ],
-        _class("O(n)", True),
-    )
+    return _on_scale(TIME_SCALE)
 
 
 def project_time_extended() -> Column:
-    p, log = F.col("power"), F.col("log")
-    return _ladder(
-        [
-            (F.col("facts") > 0, _class("O(n!)", (F.col("facts") > 1) | F.col("extras"))),
-            (F.col("base") > 0, _class("O(2^n)", (F.col("base") != 2) | F.col("extras"))),
-            ((p == 2) & (log == 1), _class("O(n^2 log n)")),
-            ((p == 0.5) & (log == 0), _class("O(sqrt n)")),
-        ],
-        project_time(),
+    """As :func:`project_time`, with the classes that only the extended list has."""
+    exact = _on_scale(EXACT_SCALE)
+    return (
+        F.when(F.col("facts") > 0, _on_scale(FACTORIAL_SCALE))
+        .when((F.col("base") <= 0) & ~exact["lossy"], exact)
+        .otherwise(project_time())
     )
 
 
 def project_space() -> Column:
-    p, log = F.col("power"), F.col("log")
-    return _ladder(
-        [
-            ((F.col("facts") > 0) | (F.col("base") > 0), _class("O(n^2)", True)),
-            (p >= 2, _class("O(n^2)", (p != 2) | (log != 0))),
-            *_below_quadratic(p, log),
-        ],
-        _class("O(n)", True),
-    )
+    return _on_scale(SPACE_SCALE)
 
 
 def project_terms(

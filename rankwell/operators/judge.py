@@ -78,8 +78,9 @@ def metrics(
 ) -> DataFrame:
     """n, accuracy, macro-F1 over the full class list, and mean ordinal distance.
 
-    The input is read once; F1 is computed from the small confusion table.
-    An empty ungrouped input is an error.
+    The input is read once; F1 is computed from the small confusion table.  A missing
+    answer, or one outside the list, is wrong by the whole scale.  An empty ungrouped
+    input is an error.
     """
     confusion = confusion_counts(
         frame.select(*by, F.col(label).alias("label"), F.col(answer).alias("answer")), by
@@ -87,7 +88,9 @@ def metrics(
     n = F.sum("n")
     if not by:
         n = F.when(n.isNull(), F.raise_error(F.lit("metrics need at least one example"))).otherwise(n)
-    distance = ordinal_distance(F.col("label"), F.col("answer"), classes)
+    distance = F.coalesce(
+        ordinal_distance(F.col("label"), F.col("answer"), classes), F.lit(len(classes) - 1)
+    )
     # per-class counts as one conditional sum per class: k is a short fixed list
     f1 = []
     for c in classes:

@@ -144,9 +144,18 @@ answers AS (
 
 # ----------------------------------------------------------------------- scores
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten raw scores per row, the true class, and a val/test side by hash."""
+    """Ten raw scores per row, the true class, and a val/test side by hash.
+
+    Float j of the whole vector is added to score j mod 10.
+    """
     embeddings = table(spark, sf_dir, "embeddings")
-    raw = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8.0)
+
+    def folded(j: int) -> Column:
+        mine = F.filter("embedding", lambda _, i: i % 10 == j)
+        total = F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+        return total * 8.0
+
+    raw = F.array(*[folded(j) for j in range(10)])
     boosted = F.transform(
         raw, lambda x, i: x + F.when(i == F.col("label"), 1.5).otherwise(0.0)
     )
@@ -164,7 +173,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = """
 scores AS (
   SELECT vec_id AS id,
-    [embedding[i + 1]::DOUBLE * 8.0 + CASE WHEN i = label THEN 1.5 ELSE 0.0 END
+    [list_reduce(list_prepend(0.0::DOUBLE, [embedding[j + 1]::DOUBLE FOR j IN range(len(embedding))
+        IF j % 10 = i]), lambda acc, x: acc + x) * 8.0 + CASE WHEN i = label THEN 1.5 ELSE 0.0 END
       FOR i IN range(10)] AS scores,
     'c' || label AS true_label, label AS true_rank,
     CASE WHEN ('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % 100 < 50

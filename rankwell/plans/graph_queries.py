@@ -452,11 +452,20 @@ def layer_weights(round_number: int) -> message.LayerWeights:
 
 
 def node_vectors(spark: SparkSession, sf_dir: str, all_nodes: DataFrame) -> DataFrame:
-    embedding = table(spark, sf_dir, "embeddings").filter(
-        F.col("vec_id") < len(graph.SYMBOLS)
-    ).select(
-        F.col("vec_id").alias("symbol_id"),
-        F.transform(F.slice("embedding", 1, SIZE), lambda v: v.cast("double") * 8).alias("x"),
+    """Every symbol starts from the mean of its share of all vectors.
+
+    Component j of a vector counts for dimension j mod SIZE.
+    """
+    symbol = (F.col("vec_id") % len(graph.SYMBOLS)).alias("symbol_id")
+    folded = [
+        F.aggregate(
+            F.filter("embedding", lambda _, j: j % SIZE == i), F.lit(0.0),
+            lambda acc, v: acc + v.cast("double"),
+        )
+        for i in range(SIZE)
+    ]
+    embedding = table(spark, sf_dir, "embeddings").groupBy(symbol).agg(
+        F.array(*[F.avg(x) * 8 for x in folded]).alias("x")
     )
     encoded = graph.encoded_nodes(all_nodes.select("graph_id").distinct(), all_nodes)
     return message.initial_vectors(encoded, embedding)
@@ -495,9 +504,13 @@ def _sql_round(source: str, target: str, w: message.LayerWeights) -> str:
           + ({_sql_vector(w.beta)})[i])) AS x FROM {target}_out)"""
 
 
-_V0 = f"""v0 AS (SELECT n.graph_id, n.node_id, list_transform(embedding[1:{SIZE}],
-    lambda z: z::DOUBLE * 8) AS x FROM nodes n JOIN embeddings
-    ON vec_id = list_position({list(graph.SYMBOLS)}, symbol) - 1)"""
+_FOLDED = ", ".join(
+    f"avg(list_sum([embedding[j + 1]::DOUBLE FOR j IN range(len(embedding)) IF j % {SIZE} = {i}])) * 8"
+    for i in range(SIZE)
+)
+_V0 = f"""emb AS (SELECT vec_id % {len(graph.SYMBOLS)} AS sym, [{_FOLDED}] AS x FROM embeddings GROUP BY 1),
+    v0 AS (SELECT n.graph_id, n.node_id, x FROM nodes n JOIN emb
+    ON sym = list_position({list(graph.SYMBOLS)}, symbol) - 1)"""
 _ROUNDS = f"{_ALL_EDGES}, {_V0}, {_sql_round('v0', 'v1', layer_weights(0))}, " \
     f"{_sql_round('v1', 'v2', layer_weights(1))}"
 _PICKED = ", ".join(f"round(x[{i + 1}], 5) AS x{i}" for i in range(SIZE))

@@ -162,31 +162,34 @@ _TERMS = """v AS (SELECT l_orderkey AS e, l_linenumber AS t,
   p AS (SELECT o_orderkey AS expression, coalesce(m[1], 0) AS facts, coalesce(m[2], 0) AS base,
     coalesce(m[3], 0) AS power, coalesce(m[4], 0) AS log, coalesce(m[5], false) AS extras
     FROM orders LEFT JOIN d ON o_orderkey = e)"""
-_LOW = """WHEN power > 1 THEN {{'c': 'O(n^2)', 'l': true}}
-  WHEN power = 1 AND log = 0 THEN {{'c': 'O(n)', 'l': false}}
-  WHEN power = 1 AND log = 1 THEN {{'c': 'O(n log n)', 'l': false}}
-  WHEN power = 1 THEN {{'c': 'O(n^2)', 'l': true}} WHEN power > 0 THEN {{'c': 'O(n)', 'l': true}}
-  WHEN log = 0 THEN {{'c': 'O(1)', 'l': false}} WHEN log = 1 THEN {{'c': 'O(log n)', 'l': false}}
-  ELSE {{'c': 'O(n)', 'l': true}} END""".replace("{{", "{").replace("}}", "}")
-_TIME = f"""CASE WHEN facts > 0 THEN {{'c': 'O(2^n)', 'l': true}}
-  WHEN base > 0 THEN {{'c': 'O(2^n)', 'l': base <> 2 OR extras}}
-  WHEN power >= 3 THEN {{'c': 'O(n^3)', 'l': power <> 3 OR log <> 0}}
-  WHEN power > 2 OR (power = 2 AND log > 0) THEN {{'c': 'O(n^3)', 'l': true}}
-  WHEN power = 2 THEN {{'c': 'O(n^2)', 'l': false}} {_LOW}"""
+_CLASSES = """k(scale, pos, class, kind, a, b) AS (VALUES
+    ('t', 1, 'O(1)', 0, 0.0, 0.0), ('t', 2, 'O(log n)', 0, 0.0, 1.0), ('t', 3, 'O(n)', 0, 1.0, 0.0),
+    ('t', 4, 'O(n log n)', 0, 1.0, 1.0), ('t', 5, 'O(n^2)', 0, 2.0, 0.0),
+    ('t', 6, 'O(n^3)', 0, 3.0, 0.0), ('t', 7, 'O(2^n)', 1, 2.0, 0.0),
+    ('s', 1, 'O(1)', 0, 0.0, 0.0), ('s', 2, 'O(log n)', 0, 0.0, 1.0), ('s', 3, 'O(n)', 0, 1.0, 0.0),
+    ('s', 4, 'O(n log n)', 0, 1.0, 1.0), ('s', 5, 'O(n^2)', 0, 2.0, 0.0)),
+  z AS (SELECT *, CASE WHEN facts > 0 THEN 2 WHEN base > 0 THEN 1 ELSE 0 END AS kind,
+    CASE WHEN facts > 0 THEN facts WHEN base > 0 THEN base ELSE power END::DOUBLE AS a,
+    CASE WHEN facts > 0 OR base > 0 THEN 0 ELSE log END::DOUBLE AS b FROM p),
+  r AS (SELECT z.expression, k.scale, k.class, k.pos,
+      k.kind = z.kind AS akin, (k.a > z.a OR k.a = z.a AND k.b >= z.b) AND k.kind = z.kind AS enough,
+      k.kind <> z.kind OR k.a <> z.a OR k.b <> z.b OR extras AS off FROM z, k),
+  f AS (SELECT *, row_number() OVER (PARTITION BY expression, scale ORDER BY enough DESC,
+      CASE WHEN enough THEN pos END, akin DESC, pos DESC) AS place FROM r),
+  u AS (SELECT expression, max(class) FILTER (scale = 't') AS tc, bool_or(off) FILTER (scale = 't') AS tl,
+      max(class) FILTER (scale = 's') AS sc, bool_or(off) FILTER (scale = 's') AS sl
+    FROM f WHERE place = 1 GROUP BY 1)"""
 
 
 @query("dominant_term_projection", "P18", sql=f"""
-  WITH {_TERMS}, q AS (SELECT *, {_TIME} AS t,
-    CASE WHEN facts > 0 OR base > 0 THEN {{'c': 'O(n^2)', 'l': true}}
-      WHEN power >= 2 THEN {{'c': 'O(n^2)', 'l': power <> 2 OR log <> 0}} {_LOW} AS s FROM p)
-  SELECT expression, t.c AS time_class, t.l AS time_lossy,
-    CASE WHEN facts > 0 THEN 'O(n!)' WHEN base > 0 THEN 'O(2^n)'
-      WHEN power = 2 AND log = 1 THEN 'O(n^2 log n)' WHEN power = 0.5 AND log = 0
-      THEN 'O(sqrt n)' ELSE t.c END AS extended_class,
-    CASE WHEN facts > 0 THEN facts > 1 OR extras WHEN base > 0 THEN base <> 2 OR extras
-      WHEN power = 2 AND log = 1 THEN false WHEN power = 0.5 AND log = 0 THEN false
-      ELSE t.l END AS extended_lossy,
-    s.c AS space_class, s.l AS space_lossy FROM q""")
+  WITH {_TERMS}, {_CLASSES}
+  SELECT expression, tc AS time_class, tl AS time_lossy,
+    CASE WHEN kind = 2 THEN 'O(n!)' WHEN kind = 0 AND a = 2 AND b = 1 THEN 'O(n^2 log n)'
+      WHEN kind = 0 AND a = 0.5 AND b = 0 THEN 'O(sqrt n)' ELSE tc END AS extended_class,
+    CASE WHEN kind = 2 THEN a <> 1 OR extras
+      WHEN kind = 0 AND (a = 2 AND b = 1 OR a = 0.5 AND b = 0) THEN false
+      ELSE tl END AS extended_lossy,
+    sc AS space_class, sl AS space_lossy FROM z JOIN u USING (expression)""")
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     expressions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expression"))
     return growth.project_terms(expressions, cost_terms(spark, sf_dir), "expression", "term")

@@ -80,8 +80,9 @@ def metrics_sql(source: str, classes: list[str], by: str = "") -> str:
         for c in classes
     )
     return f"""SELECT {group} count(*) AS n,
-      round(avg((label = answer)::INT), 6) AS accuracy, round(({f1}) / {len(classes)}, 6) AS macro_f1,
-      round(avg(abs(list_position({classes}, label) - list_position({classes}, answer))), 6)
+      round(avg(coalesce(label = answer, false)::INT), 6) AS accuracy, round(({f1}) / {len(classes)}, 6) AS macro_f1,
+      round(avg(coalesce(abs(list_position({classes}, label) - list_position({classes}, answer)),
+        {len(classes) - 1})), 6)
         AS mean_ordinal_distance
     FROM {source} {f'GROUP BY {by}' if by else ''}"""
 
@@ -89,12 +90,12 @@ def metrics_sql(source: str, classes: list[str], by: str = "") -> str:
 def answered(spark: SparkSession, sf_dir: str, dimension: str = "time") -> DataFrame:
     return answers(spark, sf_dir).filter(
         (F.col("dimension") == dimension) & (F.col("predictor") == "model")
-        & F.col("label").isNotNull() & F.col("answer").isNotNull()
+        & F.col("label").isNotNull()
     )
 
 
 _ANSWERED = """answered AS (SELECT * FROM answers WHERE dimension = '{d}'
-  AND predictor = 'model' AND label IS NOT NULL AND answer IS NOT NULL)"""
+  AND predictor = 'model' AND label IS NOT NULL)"""
 
 
 @query("evaluation_metrics", "D6", sql=with_views(

@@ -331,7 +331,7 @@ def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases over the benchmark items, some of them broken on purpose."""
     item = F.col("item_id")
-    source = lambda k: F.concat(F.lit(k), F.lit(" "), F.substring("text", 1, 20))
+    source = lambda k: F.concat(F.lit(k), F.lit(" "), F.col("text"))
     core = F.create_map(
         *[x for lang in ("python", "cpp", "java", "javascript") for x in (F.lit(lang), source(lang))]
     )
@@ -373,7 +373,7 @@ _CASES = """g AS (SELECT item_id AS i, CASE WHEN item_id % 11 = 0 THEN 'Item' ||
 
 @query("golden_case_load", "S11", sql=f"""
   WITH {_CASES} SELECT id AS case_id, 'g' || (i % 3) AS "group", language,
-    language || ' ' || substr(text, 1, 20) AS source,
+    language || ' ' || text AS source,
     CASE WHEN i % 4 = 0 AND language = 'python' THEN 'O(n^2)'
       WHEN i % 13 = 1 THEN 'O(n^9)' ELSE 'O(n)' END AS time_class,
     'O(1)' AS space_class, CASE WHEN i % 6 = 1 THEN 'n' ELSE 'O(n)' END AS time_expr,

@@ -32,7 +32,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     schema = table(spark, sf_dir, "events").schema
     # a micro-batch, and so one client's share of it, stays bounded on any table
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(4 << 30))
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(512 << 20))
     stream = reader.parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", utc())
 
@@ -146,7 +146,7 @@ def _scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- derivation steps
 @query("certainty_rollup", "P14", sql="""
   WITH n AS (SELECT user_id, event_type FROM events
-    WHERE event_type IN ('error', 'signup') AND value < 4)
+    WHERE event_type IN ('error', 'signup'))
   SELECT c_custkey AS user_id, CASE WHEN bool_or(event_type = 'error') THEN 'unknown'
       WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'assumed' ELSE 'certain' END AS certainty,
     count(*) FILTER (event_type = 'signup') AS assumptions
@@ -157,23 +157,19 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes of a program: its cheap errors and sign-ups."""
+    """Notes of a program: its errors and sign-ups."""
     kind = F.when(F.col("event_type") == "error", "unknown").when(
         F.col("event_type") == "signup", "assumed"
     )
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("value") < 4)
-        .select(
-            "user_id", kind.alias("kind"), F.dayofmonth("ts").alias("line"),
-            F.col("props").alias("reason"),
-        )
+    return table(spark, sf_dir, "events").select(
+        "user_id", kind.alias("kind"), F.dayofmonth("ts").alias("line"),
+        F.col("props").alias("reason"),
     )
 
 
 @query("assumed_lines", "P14", sql="""
   SELECT user_id, day(ts)::INT AS line, props AS reason FROM events
-  WHERE event_type = 'signup' AND value < 4""")
+  WHERE event_type = 'signup'""")
 def _assumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.assumptions(notes(spark, sf_dir), "user_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,43 +15,63 @@ CORPUS = T.StructType(
 _MAP = "map<string,string>"
 
 
+def _keys_of(raw: Column) -> Column:
+    return F.coalesce(F.map_keys(raw), F.array().cast("array<string>"))
+
+
+def _unfilled(raw: Column) -> Column:
+    """Required fields that are missing or NULL."""
+    required = F.array(*map(F.lit, FIELDS[:5]))
+    return F.filter(required, lambda f: F.element_at(raw, f).isNull())
+
+
+def _sound(raw: Column) -> Column:
+    """Whether a parsed line has exactly the wanted keys and all required values.
+
+    Keys are compared on the raw line, because a JSON reader with a schema fills
+    missing keys and ignores unknown ones.
+    """
+    wanted = F.array_sort(F.array(*map(F.lit, FIELDS)))
+    return (
+        raw.isNotNull() & F.array_sort(_keys_of(raw)).eqNullSafe(wanted) & (F.size(_unfilled(raw)) == 0)
+    )
+
+
+def _checked(raw: Column, line: Column) -> Column:
+    """The parsed line; one that is not a record fails the job when it is read."""
+    refused = F.raise_error(F.concat(F.lit("not a corpus record: "), line)).cast(_MAP)
+    return F.when(_sound(raw), raw).otherwise(refused)
+
+
 def read_corpus(spark: SparkSession, path: str | list[str], validate: bool = True) -> DataFrame:
     """Corpus records of one or more files or folders; blank lines are skipped.
 
     With ``validate`` a line with an unknown, missing or malformed field fails
-    the job when it is read.  Keys are compared on the raw line, because a JSON
-    reader with a schema fills missing keys and ignores unknown ones.
+    the job when it is read.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
     raw = F.from_json("value", _MAP)
-    wanted = F.array_sort(F.array(*map(F.lit, FIELDS)))
     parsed = lines.select(
-        "value", raw.alias("raw"), F.col("_metadata.file_name").alias("file_name"),
+        (_checked(raw, F.col("value")) if validate else raw).alias("raw"),
+        F.col("_metadata.file_name").alias("file_name"),
     )
-    if validate:
-        sound = F.array_sort(F.map_keys("raw")).eqNullSafe(wanted) & ~F.exists(
-            F.array(*[F.col("raw")[f] for f in FIELDS[:5]]), lambda v: v.isNull()
-        )
-        parsed = parsed.withColumn(
-            "raw",
-            F.when(sound, F.col("raw")).otherwise(
-                F.raise_error(F.concat(F.lit("not a corpus record: "), F.col("value"))).cast(_MAP)
-            ),
-        )
     return parsed.select(*[F.col("raw")[f].alias(f) for f in FIELDS], "file_name")
 
 
 def invalid_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines :func:`read_corpus` would refuse, with the reason."""
+    """The lines :func:`read_corpus` would refuse, with the reason.
+
+    ``missing`` holds required fields without a value as well.
+    """
     lines = spark.read.text(path).filter(F.trim("value") != "")
     wanted = F.array(*map(F.lit, FIELDS))
-    raw = F.from_json("value", _MAP)
-    checked = lines.select("value", raw.alias("raw")).select(
+    parsed = lines.select("value", F.from_json("value", _MAP).alias("raw"))
+    raw = F.col("raw")
+    return parsed.filter(~_sound(raw)).select(
         "value",
-        F.array_except(wanted, F.coalesce(F.map_keys("raw"), F.array())).alias("missing"),
-        F.array_except(F.coalesce(F.map_keys("raw"), F.array()), wanted).alias("unknown"),
+        F.array_union(F.array_except(wanted, _keys_of(raw)), F.coalesce(_unfilled(raw), wanted)).alias("missing"),
+        F.array_except(_keys_of(raw), wanted).alias("unknown"),
     )
-    return checked.filter((F.size("missing") > 0) | (F.size("unknown") > 0))
 
 
 def write_corpus(frame: DataFrame, path: str) -> None:
@@ -59,26 +79,21 @@ def write_corpus(frame: DataFrame, path: str) -> None:
     frame.select(*FIELDS).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def load_corpora(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+def load_corpora(
+    spark: SparkSession, folder: str, pattern: str = "*.jsonl", validate: bool = True
+) -> DataFrame:
     """Every corpus below ``folder`` except earlier split outputs.
 
     ``pattern`` names files or folders of part files.  The corpus name stays as
-    ``file_name`` and orders the union.
+    ``file_name`` and orders the union.  With ``validate`` a line that is not a
+    corpus record fails the job, as in :func:`read_corpus`.
     """
-    lines = spark.read.text(f"{folder}/{pattern}")
-    corpus_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    named = lines.select(
-        "value",
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.jsonl)(/[^/]*)?$", 1).alias(
-            "file_name"
-        ),
-        corpus_name.alias("part"),
-    )
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.jsonl)(/[^/]*)?$", 1)
+    lines = spark.read.text(f"{folder}/{pattern}").select("value", name.alias("file_name"))
+    kept = lines.filter(~F.col("file_name").startswith("split_") & (F.trim("value") != ""))
     raw = F.from_json("value", _MAP)
-    kept = named.filter(~F.col("file_name").startswith("split_") & (F.trim("value") != ""))
-    return kept.select(raw.alias("raw"), "file_name").select(
-        *[F.col("raw")[f].alias(f) for f in FIELDS], "file_name"
-    )
+    parsed = kept.select((_checked(raw, F.col("value")) if validate else raw).alias("raw"), "file_name")
+    return parsed.select(*[F.col("raw")[f].alias(f) for f in FIELDS], "file_name")
 
 
 def write_splits(frame: DataFrame, folder: str) -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,13 +120,13 @@ def limit_stream(
     bucket: Bucket,
     key: str = "user_id",
     carry: tuple[str, ...] = (),
-    watermark: str = "1 minute",
 ) -> DataFrame:
     """Stream of requests with ``allowed``, tokens and last refill kept per key.
 
-    Requests inside a micro-batch are taken in (ts, event_id) order.  The state
-    of a key is dropped once its bucket is surely full again, which changes no
-    answer and keeps the state small.
+    Requests are decided as they arrive, micro-batch by micro-batch, and inside one
+    in (ts, event_id) order.  There is no watermark, so no request is ever late: one
+    that is older than the last of its key finds no time passed.  A key's state is two
+    numbers and is kept for good.
     """
     columns = [key, "ts", "event_id", "counts", *carry]
     types = dict(requests.dtypes)
@@ -134,29 +135,30 @@ def limit_stream(
     def run(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        chunks = list(batches)
+        # only time, id and the flag of all chunks are brought in order together
+        part = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
+        seconds = np.concatenate(
+            [(c["ts"].astype("int64") / _per_second(c["ts"])).to_numpy() for c in chunks]
+        )
+        counts = np.concatenate([c["counts"].to_numpy() for c in chunks])
+        order = np.lexsort((np.concatenate([c["event_id"].to_numpy() for c in chunks]), seconds))
         tokens, last = state.get if state.exists else (bucket.capacity, None)
-        seconds = (rows["ts"].astype("int64") / _per_second(rows["ts"])).tolist()
-        allowed, tokens, last = _decide(seconds, rows["counts"].tolist(), bucket, tokens, last)
+        flags, tokens, last = _decide(
+            seconds[order].tolist(), counts[order].tolist(), bucket, tokens, last
+        )
         if last is not None:
             state.update((tokens, last))
-            full_at = int((last + bucket.pause) * 1000)
-            if full_at > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(full_at)
-            else:
-                state.remove()
-        yield rows.assign(allowed=allowed)[[*columns, "allowed"]]
+        allowed = np.empty(len(order), bool)
+        allowed[order] = flags
+        for i, chunk in enumerate(chunks):
+            yield chunk.assign(allowed=allowed[part == i])[[*columns, "allowed"]]
 
     return (
         requests.select(*columns)
-        .withWatermark("ts", watermark)
         .groupBy(key)
         .applyInPandasWithState(
-            run, schema, "tokens double, last double", "append",
-            GroupStateTimeout.EventTimeTimeout,
+            run, schema, "tokens double, last double", "append", GroupStateTimeout.NoTimeout
         )
     )
 
