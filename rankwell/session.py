@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rankwell-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Removes the shuffle files of a query when it has ended (Spark 4.1 and later).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind.
+
+    For results that are written: nobody fetches from their shuffles again, and on
+    full disks they would stay until the driver collects its garbage.  Lost executors
+    are no matter, the files go only when the query is done.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage of ``frame`` with a reliable checkpoint in the shared folder."""
     shared_folder(frame.sparkSession)
@@ -86,7 +111,8 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    with shuffle_files_removed(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
