@@ -116,6 +116,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete a table made by :func:`written` that nothing will read again."""
+    files = frame.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if not folder.rsplit("/", 1)[-1].startswith("rankwell-"):
+        return
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_counted(
     frame: DataFrame, name: str, test: Column | None = None
 ) -> tuple[DataFrame, int]:
