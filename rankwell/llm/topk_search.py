@@ -100,7 +100,7 @@ class _Best:
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         for q in np.unique(query).tolist():
             mine = query == q
-            found = self.rows[q] + list(zip((-scores[mine]).tolist(), ids[mine].tolist(), strict=True))
+            found = {*self.rows[q], *zip((-scores[mine]).tolist(), ids[mine].tolist(), strict=True)}
             self.rows[q] = sorted(found)[: self.k]
             if len(self.rows[q]) == self.k:
                 self.floor[q] = -self.rows[q][-1][0]
