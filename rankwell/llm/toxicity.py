@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import held_out, rows_passing, slim
 
 #: Labelled rows used for the fit at most.
-FIT_ROWS = 8_000
+FIT_ROWS = 3_000
 #: Columns of hashed words.
 DIMENSIONS = 1 << 18
 #: Words that a task remembers before it starts anew.
@@ -62,20 +63,22 @@ class Sentences:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.columns: list[list[int]] = []
-        self.values: list[float] = []
-        self.ends: list[bool] = []
+        #: Columns of all words one after the other, and how many each has.
+        self.columns, self.sizes = array("i"), array("i")
+        self.values = array("d")
+        self.ends = array("b")
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all words, start of each sentence, first sentence of each document."""
-        if len(self.memo) > MEMO:
+        if self.weights is not None and len(self.memo) > MEMO:
             self.clear()
         tokens = [_TOKEN.findall(t or "") for t in texts]
         for token in set().union(*tokens).difference(self.memo):
             self.memo[token] = len(self.ends)
             columns = token_columns(token)
             if self.weights is None:
-                self.columns.append(columns)
+                self.columns.extend(columns)
+                self.sizes.append(len(columns))
             else:
                 self.values.append(float(self.weights[columns].sum()))
             self.ends.append(ends_sentence(token))
@@ -130,13 +133,12 @@ def fit_noisy_or(
     rows, or with one class only, every score is near that class's share.
     """
     cut = Sentences()
-    words, starts, first = cut(texts)
+    words, starts, first = _all_sentences(cut, texts)
     y = np.asarray(labels, np.float64)
     weights = np.zeros(DIMENSIONS, np.float32)
     if not len(y) or not len(words):
         return Model(weights, -6.0)
-    sizes = np.array([len(c) for c in cut.columns])
-    flat = np.array([c for cs in cut.columns for c in cs], np.int64)
+    sizes, flat = np.array(cut.sizes), np.array(cut.columns)
     at_word = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     used, start = _telling_columns(words, starts, first, sizes, flat, at_word, y, least)
     place = np.full(DIMENSIONS, len(used))
@@ -167,21 +169,31 @@ def fit_noisy_or(
     return Model(weights, bias)
 
 
+def _all_sentences(cut: Sentences, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``cut(texts)``, with the words of few texts in memory at a time."""
+    parts = [cut(texts[at : at + 200]) for at in range(0, len(texts), 200)] or [cut([])]
+    n_words = np.cumsum([0, *(len(w) for w, _, _ in parts)])
+    n_starts = np.cumsum([0, *(len(s) for _, s, _ in parts)])
+    words = np.concatenate([w.astype(np.int32) for w, _, _ in parts])
+    starts = np.concatenate([s + n for (_, s, _), n in zip(parts, n_words, strict=False)])
+    firsts = [f[:-1] + n for (_, _, f), n in zip(parts, n_starts, strict=False)]
+    return words, starts, np.concatenate([*firsts, [n_starts[-1]]])
+
+
 def _telling_columns(
     words: np.ndarray, starts: np.ndarray, first: np.ndarray, sizes: np.ndarray,
     flat: np.ndarray, at_word: np.ndarray, y: np.ndarray, least: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Columns that tell toxic documents, and their log-odds."""
-    doc = np.searchsorted(np.append(starts, len(words))[first[1:-1]], np.arange(len(words)), "right")
-    pairs = np.unique(words * len(y) + doc)
-    word, doc = pairs // len(y), pairs % len(y)
-    n = sizes[word]
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    columns = flat[np.repeat(at_word[word], n) + inside]
-    both = np.unique(columns * len(y) + np.repeat(doc, n))
-    columns, toxic = both // len(y), y[both % len(y)] > 0.5
-    bad = np.bincount(columns, toxic, DIMENSIONS)
-    every = np.bincount(columns, minlength=DIMENSIONS)
+    bad, every = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    ends = np.append(starts, len(words))[first]
+    for i in range(len(y)):
+        word = np.unique(words[ends[i] : ends[i + 1]])
+        n = sizes[word]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns = np.unique(flat[np.repeat(at_word[word], n) + inside])
+        every[columns] += 1
+        bad[columns] += y[i] > 0.5
     expected = every * y.mean()
     score = (bad - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
     used = np.flatnonzero((bad >= least) & (score >= TELLING))
