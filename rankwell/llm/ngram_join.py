@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rankwell.llm.common import SHINGLE_WORDS, slim
 from rankwell.llm.components import components
-from rankwell.session import written
+from rankwell.session import discard, release_shuffles, written
 
 #: Buckets of the table of counts, and pieces in which it moves.
 BUCKET_BITS = 20
@@ -301,18 +301,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     profile = written(rows.mapInArrow(_profile, _PROFILE), "profile")
     classes, frequent = token_classes(profile)
     lists = written(_shared_lists(rows, classes, frequent), "lists")
+    release_shuffles(docs.sparkSession)
     # sets of the documents that stand in a shared list at all
     in_lists = lists.select(F.col("rep").alias("wanted")).distinct()
     texts = rows.join(in_lists, F.col("doc_id") == F.col("wanted"), "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = written(texts.mapInArrow(_token_sets, _SETS), "sets")
+    release_shuffles(docs.sparkSession)
 
     first = _hub_pairs(lists.withColumn("hub", F.col("low")))
     found = written(_links(first, sets), "found")
+    release_shuffles(docs.sparkSession)
     second = _hub_pairs(_with_other_hub(_open_lists(lists, components(found))))
     found = written(found.union(_links(second, sets)), "found")
+    release_shuffles(docs.sparkSession)
     open_ = written(_open_lists(lists, components(found)), "open")
     found = written(found.union(_links(_open_pairs(open_), sets)), "found")
+    discard(sets)
+    release_shuffles(docs.sparkSession)
 
     # copies of a set are linked to the smallest id among them
     per_doc = profile.filter("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "signature")
