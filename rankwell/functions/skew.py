@@ -156,54 +156,62 @@ def value_at_ranks(
     keys: Sequence[str],
     value: str,
     ranks: Sequence[tuple[str, Column]],
-    bins: int = 1024,
+    steps: int = 1000,
 ) -> DataFrame:
     """Exact order statistics per group: the value at given 1-based ranks.
 
-    ``ranks`` maps an output name to a rank expression over the group size
-    ``_n``.  Values are cut into ``bins`` equal-width pieces per group, which is
-    monotone in the value.  Counts per piece tell which pieces hold the wanted
-    ranks; only their rows are counted by value and ranked.
+    ``ranks`` maps an output name to a rank expression over the group size ``_n``.
+    Approximate quantiles of the group, ``steps`` of them, bracket every wanted rank:
+    a bracket holds about three steps of the group's rows, however its values are
+    spread.  Rows below a bracket are counted, rows inside are counted by value, and
+    only those values are ranked.
     """
     if not keys:
-        whole = value_at_ranks(frame.withColumn("_all", F.lit(0)), ["_all"], value, ranks, bins)
-        return whole.drop("_all")
-    bounds = frame.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
+        # a key that does not fold away, so the bracket table is joined by it
+        keyed = frame.withColumn("_all", F.hash(value).bitwiseAND(F.lit(0)))
+        return value_at_ranks(keyed, ["_all"], value, ranks, steps).drop("_all")
+    grid = [i / steps for i in range(steps + 1)]
+    sizes = frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, grid, 10 * steps).alias("_grid")
     )
-    spread = F.col("_hi") - F.col("_lo")
-    piece = F.when(spread > 0, F.floor((F.col(value) - F.col("_lo")) / spread * bins)).otherwise(0)
-    rows = _join(frame.select(*keys, value), bounds, keys).select(
-        *keys, value, "_n", piece.cast("bigint").alias("_piece")
+
+    def bracket(name: str, rank: Column) -> Column:
+        at = (rank * steps / F.col("_n")).cast("int")
+        low = F.when(at >= 2, F.get("_grid", at - 2))
+        high = F.when(at + 2 <= steps, F.get("_grid", at + 2))
+        return F.struct(F.lit(name).alias("name"), rank.alias("rank"), low.alias("low"), high.alias("high"))
+
+    brackets = sizes.select(
+        *keys, "_n", F.array(*[bracket(name, rank) for name, rank in ranks]).alias("_b")
     )
-    pieces = rows.groupBy(*keys, "_piece").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")
+    rows = _join(frame.select(*keys, value), brackets, keys)
+    below = rows.groupBy(*keys).agg(
+        F.first("_n").alias("n"),
+        *[
+            F.count_if(F.col(value) < F.col("_b")[k]["low"]).alias(f"_below{k}")
+            for k in range(len(ranks))
+        ],
     )
-    # at most `bins` + 1 rows per group
-    order = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inside = rows.select(
+        *keys, value,
+        F.explode(F.filter("_b", lambda t: (
+            (t["low"].isNull() | (F.col(value) >= t["low"]))
+            & (t["high"].isNull() | (F.col(value) <= t["high"]))
+        ))).alias("_t"),
     )
-    upto = pieces.withColumn("_upto", F.sum("_c").over(order))
-    before = F.col("_upto") - F.col("_c")
-    wanted = F.lit(False)
-    for _, rank in ranks:
-        wanted = wanted | ((before < rank) & (F.col("_upto") >= rank))
-    targets = upto.filter(wanted).select(*keys, "_piece", before.alias("_before"))
-    counted = (
-        _join(rows, targets, [*keys, "_piece"])
-        .groupBy(*keys, "_piece", value)
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_before").alias("_b"))
+    counted = inside.groupBy(*keys, F.col("_t.name").alias("_name"), value).agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_t.rank").alias("_rank")
     )
-    inner = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(
+    order = Window.partitionBy(*keys, "_name").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    placed = counted.withColumn("_cum", F.col("_b") + F.sum("_c").over(inner))
-    below = F.col("_cum") - F.col("_c")
-    picks = [
-        F.max(F.when((below < rank) & (F.col("_cum") >= rank), F.col(value))).alias(name)
-        for name, rank in ranks
-    ]
-    return placed.groupBy(*keys).agg(F.first("_n").alias("n"), *picks)
+    placed = _join(counted.withColumn("_upto", F.sum("_c").over(order)), below, keys)
+    picks = []
+    for k, (name, _) in enumerate(ranks):
+        upto = F.col("_upto") + F.col(f"_below{k}")
+        here = (F.col("_name") == name) & (upto - F.col("_c") < F.col("_rank")) & (upto >= F.col("_rank"))
+        picks.append(F.max(F.when(here, F.col(value))).alias(name))
+    return placed.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
 
 
 def numbered(frame: DataFrame, name: str = "row_index") -> DataFrame:

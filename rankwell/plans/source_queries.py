@@ -472,15 +472,16 @@ def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("expression_normalisation", "P19", sql="""
-  SELECT p_partkey, CASE p_size % 6
-    WHEN 0 THEN 'm*n' WHEN 1 THEN 'log(n)*n' WHEN 2 THEN 'm+n' WHEN 3 THEN '(m+n)*log(b+a)'
-    WHEN 4 THEN '2^n*n' ELSE NULL END AS normal, p_size % 6 = 5 AS rejected FROM part""".replace(
-        "log(b+a)", "log(a+b)").replace("'(m+n)*log(a+b)'", "'(m+n)*log(a+b)'"))
+  SELECT p_partkey, CASE p_size % 7
+    WHEN 0 THEN 'm*n' WHEN 1 THEN 'log(n)*n' WHEN 2 THEN 'm+n' WHEN 3 THEN '(m+n)*log(a+b)'
+    WHEN 4 THEN '2^n*n' WHEN 5 THEN '(((((n)))))' ELSE NULL END AS normal,
+    p_size % 7 = 6 AS rejected FROM part""")
 def _normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     spellings = (
-        "O(n * m)", "O(n log n)", " O(n+m) ", "O(log(b + a) * (n + m))", "O(n * 2^n)", "O((((((n))))))",
+        "O(n * m)", "O(n log n)", " O(n+m) ", "O(log(b + a) * (n + m))", "O(n * 2^n)",
+        "O((((((n))))))", "O((n) * m",
     )
-    spelled = F.element_at(F.array(*map(F.lit, spellings)), F.col("p_size") % 6 + 1)
+    spelled = F.element_at(F.array(*map(F.lit, spellings)), F.col("p_size") % 7 + 1)
     return table(spark, sf_dir, "part").select(
         "p_partkey", normalize_expr(spelled).alias("normal"),
         expr_rejected(spelled).alias("rejected"),

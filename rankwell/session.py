@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -74,27 +73,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rankwell-{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Removes the shuffle files of a query when it has ended (Spark 4.1 and later).
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over.
 
-
-@contextmanager
-def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside leave no shuffle files behind.
-
-    For results that are written: nobody fetches from their shuffles again, and on
-    full disks they would stay until the driver collects its garbage.  Lost executors
-    are no matter, the files go only when the query is done.
+    It does so when the driver's garbage collector finds their plans unreachable, which
+    on a quiet driver may take longer than the disks can wait.  For use between large
+    steps whose results are written; files that a live plan needs are not touched.
     """
-    before = spark.conf.get(_CLEANUP, None)
-    if before is None:
-        yield
-        return
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -111,8 +98,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    with shuffle_files_removed(spark):
-        frame.write.parquet(path)
+    frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

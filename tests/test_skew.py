@@ -59,7 +59,7 @@ def test_next_in_group(frame, rows):
 def test_value_at_ranks_is_exact(frame, rows):
     n = F.col("_n")
     ranks = [("low", F.floor((n + 1) / 2)), ("high", F.floor(n / 2) + 1), ("last", n)]
-    got = {r.k: r for r in skew.value_at_ranks(frame, ["k"], "v", ranks, bins=16).collect()}
+    got = {r.k: r for r in skew.value_at_ranks(frame, ["k"], "v", ranks, steps=16).collect()}
     for k, g in groups(rows).items():
         values = sorted(v for _, _, v in g)
         assert (got[k].low + got[k].high) / 2 == pytest.approx(np.median(values))
@@ -72,6 +72,15 @@ def test_value_at_ranks_with_one_value(spark):
     assert row.q == 5.0
 
 
+def test_value_at_ranks_with_an_outlier(spark):
+    values = [float(i * i) for i in range(3000)] + [1e15, -1e15]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    ranks = [("low", F.lit(1)), ("mid", F.floor(F.col("_n") / 2)), ("high", F.col("_n"))]
+    row = skew.value_at_ranks(frame, [], "v", ranks, steps=50).first()
+    ordered = sorted(values)
+    assert (row.low, row.mid, row.high) == (ordered[0], ordered[len(values) // 2 - 1], ordered[-1])
+
+
 def test_numbered_follows_the_scan(spark, tmp_path):
     spark.range(0, 1000, 1, 7).write.parquet(str(tmp_path / "t"))
     scan = spark.read.parquet(str(tmp_path / "t"))

@@ -9,7 +9,8 @@ from rankwell.functions import text
 from rankwell.functions import variants as tv
 from rankwell.operators import serve, variants
 from rankwell.streaming import metrics
-from rankwell.streaming.limiter import Bucket, limit_requests
+from rankwell.streaming.limiter import Bucket, limit_requests, limit_stream
+from rankwell.streaming.scoring import run_to_folder
 
 
 def one(spark, column, code, language="python"):
@@ -73,6 +74,24 @@ def test_limiter_against_a_walk(spark):
     assert not all(want.values())
 
 
+@pytest.mark.parametrize("in_order", [True, False])
+def test_stream_loses_no_request(spark, tmp_path, in_order):
+    schema = "event_id long, user_id string, ts timestamp, counts boolean"
+    rows = [(i, f"u{i % 3}", at(3 * i), True) for i in range(200)]
+    parts = [rows[k : k + 40] for k in range(0, 200, 40)] if in_order else [rows[k::5] for k in range(5)]
+    for k, part in enumerate(parts if in_order else reversed(parts)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    bucket = Bucket(capacity=5.0, refill=0.05)
+    got = spark.read.parquet(run_to_folder(limit_stream(stream, bucket), "test")).collect()
+    assert sorted(r.event_id for r in got) == list(range(200))
+    assert len({r.batch for r in got}) == 5
+    if in_order:
+        batch = limit_requests(spark.createDataFrame(rows, schema), bucket).collect()
+        assert {r.event_id: r.allowed for r in got} == {r.event_id: r.allowed for r in batch}
+        assert len({r.allowed for r in got}) == 2
+
+
 def test_latency_buckets_are_cumulative(spark):
     frame = spark.createDataFrame([(0.02,), (0.3,), (9.0,)], "s double")
     rows = metrics.histogram_rows(metrics.latency_totals(frame, F.col("s"))).collect()
