@@ -214,28 +214,30 @@ def value_at_ranks(
     return placed.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
 
 
-def numbered(frame: DataFrame, name: str = "row_index") -> DataFrame:
-    """Zero-based position of each row in scan order.
+def numbered(frame: DataFrame, file: str, start: str, name: str = "row_index") -> DataFrame:
+    """Zero-based position of each row over all files, in the order of their names.
 
-    One narrow pass counts the rows of each partition; their running sums (one
-    row per partition) are the offsets.  The scan must be repeatable, as a file
-    scan is.
+    ``file`` and ``start`` are columns with ``_metadata.file_path`` and
+    ``_metadata.file_block_start``; they are dropped.  One narrow pass counts the rows
+    of each file split; their running sums (one row per split) are the offsets, however
+    Spark packs splits into tasks.  The scan must be repeatable, as a file scan is.
     """
-    placed = frame.select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+    placed = frame.withColumn(
+        "_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
-    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")
+    splits = placed.groupBy(file, start).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first")
+    )
+    before = Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        F.col(file).alias("_f"), F.col(start).alias("_s"),
+        (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_off"),
     )
-    # one row per partition of the scan, so the broadcast is bounded by the task count
+    # one row per split of the scan, so the broadcast is bounded by the task count
     return (
-        placed.join(F.broadcast(offsets), "_pid")
+        placed.join(F.broadcast(offsets), (F.col(file) == F.col("_f")) & (F.col(start) == F.col("_s")))
         .withColumn(name, F.col("_at") + F.col("_off"))
-        .drop("_pid", "_at", "_off")
+        .drop("_f", "_s", "_at", "_off", file, start)
     )
 
 

@@ -151,7 +151,10 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select(
             F.col("text").alias("src"), F.col("lang").alias("complexity"),
             F.col("source").alias("problem"),
-        )
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+        ),
+        "file", "start",
     )
     records = ingest.flat_records(rows, "documents", "text", time_labels=_WORDS)
     return records.filter(F.col("time_class").isNotNull()).select(

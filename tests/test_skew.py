@@ -81,11 +81,19 @@ def test_value_at_ranks_with_an_outlier(spark):
     assert (row.low, row.mid, row.high) == (ordered[0], ordered[len(values) // 2 - 1], ordered[-1])
 
 
-def test_numbered_follows_the_scan(spark, tmp_path):
-    spark.range(0, 1000, 1, 7).write.parquet(str(tmp_path / "t"))
-    scan = spark.read.parquet(str(tmp_path / "t"))
-    got = sorted(r.row_index for r in skew.numbered(scan).collect())
-    assert got == list(range(1000))
+def test_numbered_follows_the_lines_of_all_files(spark, tmp_path):
+    lines = {"a": 30, "b": 5000, "c": 1, "d": 700}
+    for name, n in lines.items():
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # several splits of one file
+    try:
+        scan = spark.read.text(str(tmp_path)).select(
+            "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"))
+        got = [r.value for r in skew.numbered(scan, "f", "s").orderBy("row_index").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"{name} {i}" for name, n in lines.items() for i in range(n)]
 
 
 def test_lowest_hash(spark):
