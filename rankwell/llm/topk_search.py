@@ -98,14 +98,24 @@ class _Best:
         self.floor = np.full(n, -np.inf)
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q in np.unique(query).tolist():
-            mine = query == q
-            found = {*self.rows[q], *zip((-scores[mine]).tolist(), ids[mine].tolist(), strict=True)}
-            self.rows[q] = sorted(found)[: self.k]
+        """Candidates of queries, which come in ascending order."""
+        for q, rows in zip(*_runs(query), strict=True):
+            rows = np.arange(rows[0], rows[1])
+            if len(rows) > 4 * self.k and len(np.unique(ids[rows])) == len(rows):
+                # ties at the cut stay: the smaller id decides among them
+                cut = np.partition(scores[rows], len(rows) - self.k)[len(rows) - self.k]
+                rows = rows[scores[rows] >= cut]
+            new = zip((-scores[rows]).tolist(), ids[rows].tolist(), strict=True)
+            self.rows[q] = sorted({*self.rows[q], *new})[: self.k]
             if len(self.rows[q]) == self.k:
                 self.floor[q] = -self.rows[q][-1][0]
 
 
+def _runs(query: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    found, starts = np.unique(query, return_index=True)
+    return found.tolist(), list(zip(starts.tolist(), [*starts[1:].tolist(), len(query)], strict=True))
+
+
 def search_block(
     q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, best: _Best, levels=LEVELS
 ) -> None:
@@ -126,23 +136,30 @@ def search_block(
     fine = np.isfinite(bound[query, cand])
     query, cand = query[fine], cand[fine]
     best.add(query, x_ids[cand], _scores(q[query], x[cand]))
-    bound[query, cand] = -np.inf
-    query, cand = np.nonzero(bound >= np.maximum(best.floor, -1e300)[:, None])
-    for level in levels[1:]:
-        if level >= q.shape[1] or not len(query):
+    floor = np.maximum(best.floor, -1e300)[:, None]
+    for level in (*levels[1:], 0):
+        # candidates that no query can use any more leave; so do queries without any
+        alive = bound >= floor
+        columns, rows = np.flatnonzero(alive.any(axis=0)), np.flatnonzero(alive.any(axis=1))
+        bound, x, x_ids = bound[np.ix_(rows, columns)], x[columns], x_ids[columns]
+        q, q_ids, slack, floor = q[rows], q_ids[rows], slack[rows], floor[rows]
+        at = rows if level == levels[1] else at[rows]  # places of the queries left
+        if not len(rows) or not level:
             break
-        fq, fx = segment_features(q, level), segment_features(x, level)
-        keep = np.zeros(len(query), bool)
-        for at in range(0, len(query), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            finer = np.einsum("ij,ij->i", fq[query[some]], fx[cand[some]])
-            keep[some] = finer + slack[query[some], 0] >= best.floor[query[some]]
-        query, cand = query[keep], cand[keep]
-    for at in range(0, len(query), 1 << 16):
-        some = slice(at, at + (1 << 16))
-        scores = _scores(q[query[some]], x[cand[some]])
-        good = scores >= best.floor[query[some]]
-        best.add(query[some][good], x_ids[cand[some][good]], scores[good])
+        if level < q.shape[1]:
+            finer = segment_features(q, level) @ segment_features(x, level).T + slack
+            bound = np.minimum(bound, finer)
+    if not len(q):
+        return
+    query, cand = np.nonzero(bound >= floor)
+    if np.abs(q).max() * np.abs(x).max() * q.shape[1] < _EXACT and len(query) > 0.02 * bound.size:
+        scores = (q @ x.T)[query, cand].astype(np.int64)  # exact: all sums are below 2^53
+    else:
+        parts = range(0, len(query), 1 << 16)
+        found = [_scores(q[query[i : i + (1 << 16)]], x[cand[i : i + (1 << 16)]]) for i in parts]
+        scores = np.concatenate([np.zeros(0, np.int64), *found])
+    good = scores >= floor[query, 0]
+    best.add(at[query[good]], x_ids[cand[good]], scores[good])
 
 
 def _search(k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
