@@ -80,6 +80,7 @@ def release_shuffles(spark: SparkSession) -> None:
     on a quiet driver may take longer than the disks can wait.  For use between large
     steps whose results are written; files that a live plan needs are not touched.
     """
+    spark.range(1).collect()  # the session holds on to its last plan: now to this one
     gc.collect()
     spark._jvm.System.gc()
 
