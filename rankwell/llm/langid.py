@@ -65,6 +65,10 @@ def _shares(text: str) -> np.ndarray:
     return np.bincount(columns, minlength=COLUMNS).astype(np.float32) / len(columns)
 
 
+def _largest_norm(x: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", x, x).max())
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -76,7 +80,7 @@ def _fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200)
         return w, b
     target = np.eye(classes, dtype=np.float32)[y]
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    rate = 4.0 / float((x * x).sum(axis=1).max())
+    rate = 4.0 / _largest_norm(x)
     for _ in range(rounds):
         off = (_softmax(x @ w.T + b) - target) / len(x)
         speed_w = 0.9 * speed_w - rate * (off.T @ x + 1e-4 * w)
@@ -88,7 +92,7 @@ def _fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200)
 def _fit_svm(x: np.ndarray, sign: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, full batch with momentum."""
     w, b, speed, speed_b = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    rate = 0.5 / float((x * x).sum(axis=1).max())
+    rate = 0.5 / _largest_norm(x)
     for _ in range(rounds):
         short = np.maximum(0, 1 - sign * (x @ w + b)) * sign / len(x)
         speed = 0.9 * speed + rate * (2 * (short @ x) - 1e-4 * w)
@@ -116,7 +120,9 @@ def fit_languages(texts: Sequence[str | None], langs: Sequence[str]) -> Model:
     pairs = tuple((f, a, b) for f, gs in enumerate(members) for a, b in combinations(range(len(gs)), 2))
     if not rows:
         return Model((), (), (), np.zeros((0, COLUMNS), np.float32), np.zeros(0))
-    x = np.stack([_shares(t) for t, _ in rows])
+    x = np.empty((len(rows), COLUMNS), np.float32)
+    for i, (t, _) in enumerate(rows):
+        x[i] = _shares(t)
     mean = x.mean(axis=0)
     # rare n-grams weigh as much as common ones: columns scaled by their mean share
     scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
