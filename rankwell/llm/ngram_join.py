@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rankwell.llm.common import SHINGLE_WORDS, slim
 from rankwell.llm.components import components
-from rankwell.session import discard, release_shuffles, written
+from rankwell.session import discard, release_shuffles, written, written_bucketed
 
 #: Buckets of the table of counts, and pieces in which it moves.
 BUCKET_BITS = 20
@@ -238,10 +238,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    ``sets`` is bucketed by rep, so only pairs move to it.  The sets of the hubs are
+    written plainly: the join with them then has a shuffle on either side, and a hub
+    with very many pairs is split.
+    """
+    pairs = written(pairs.select("a", "b"), "pairs")
     left = sets.select(F.col("rep").alias("ra"), F.col("tokens").alias("set_a"))
+    hubs = pairs.select("a").distinct().join(left, F.col("a") == F.col("ra"))
+    hubs = written(hubs.select("ra", "set_a"), "hubs")
     right = sets.select(F.col("rep").alias("rb"), F.col("tokens").alias("set_b"))
-    both = pairs.join(right, F.col("b") == F.col("rb")).join(left, F.col("a") == F.col("ra"))
+    both = pairs.join(right, F.col("b") == F.col("rb")).join(hubs, F.col("a") == F.col("ra"))
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a bigint, b bigint")
 
 
@@ -306,7 +314,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     in_lists = lists.select(F.col("rep").alias("wanted")).distinct()
     texts = rows.join(in_lists, F.col("doc_id") == F.col("wanted"), "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = written(texts.mapInArrow(_token_sets, _SETS), "sets")
+    # bucketed: the sets stay where they are while pairs come and go
+    sets, table = written_bucketed(texts.mapInArrow(_token_sets, _SETS), "sets", "rep")
     release_shuffles(docs.sparkSession)
 
     first = _hub_pairs(lists.withColumn("hub", F.col("low")))
@@ -318,6 +327,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     open_ = written(_open_lists(lists, components(found)), "open")
     found = written(found.union(_links(_open_pairs(open_), sets)), "found")
     discard(sets)
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     release_shuffles(docs.sparkSession)
 
     # copies of a set are linked to the smallest id among them
