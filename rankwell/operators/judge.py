@@ -112,17 +112,24 @@ def metrics(
 def confusion_matrix(
     frame: DataFrame, classes: Sequence[str], by: Sequence[str] = (), recall: bool = False
 ) -> DataFrame:
-    """One row per true class of the full list, one column per predicted class."""
-    scored = frame.filter(F.col("label").isNotNull() & F.col("answer").isNotNull())
-    wide = scored.groupBy(*by, "label").pivot("answer", list(classes)).agg(rows())
+    """One row per true class of the full list, one column per predicted class.
+
+    For ``recall`` a missing answer, or one outside the list, counts among the rows of its
+    true class.
+    """
+    none = "no class"
+    known = F.when(F.col("answer").isin(*classes), F.col("answer")).otherwise(none)
+    scored = frame.filter(F.col("label").isNotNull()).withColumn("answer", known)
+    wide = scored.groupBy(*by, "label").pivot("answer", [*classes, none]).agg(rows())
     if not by:
         grid = frame.sparkSession.createDataFrame([(c,) for c in classes], "label string")
         wide = grid.join(wide, "label", "left")
+    missing = F.coalesce(F.col(f"`{none}`"), F.lit(0)).alias(none)
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in classes]
-    wide = wide.select(*by, "label", *cells)
     if not recall:
-        return wide
-    total = sum((F.col(f"`{c}`") for c in classes[1:]), F.col(f"`{classes[0]}`"))
+        return wide.select(*by, "label", *cells)
+    wide = wide.select(*by, "label", *cells, missing)
+    total = sum((F.col(f"`{c}`") for c in classes), F.col(f"`{none}`"))
     return wide.select(
         *by, "label", *[share(F.col(f"`{c}`"), total).alias(c) for c in classes]
     )
