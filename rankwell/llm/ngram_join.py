@@ -250,7 +250,11 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     hubs = written(hubs.select("ra", "set_a"), "hubs")
     right = sets.select(F.col("rep").alias("rb"), F.col("tokens").alias("set_b"))
     both = pairs.join(right, F.col("b") == F.col("rb")).join(hubs, F.col("a") == F.col("ra"))
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a bigint, b bigint")
+    similar = both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a bigint, b bigint")
+    found = written(similar, "links")
+    discard(hubs)
+    release_shuffles(pairs.sparkSession)
+    return found
 
 
 _SETS = "rep bigint, tokens binary"
