@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import held_out, rows_passing, slim
 
 #: Labelled rows used for the fit at most.
-FIT_ROWS = 3_000
+FIT_ROWS = 8_000
 #: Columns of hashed words.
 DIMENSIONS = 1 << 18
 #: Words that a task remembers before it starts anew.

@@ -66,6 +66,19 @@ def test_toxicity_is_learned_from_documents_and_located(spark, make_docs):
     assert sum(i in left for i in clean) >= 0.99 * len(clean)
 
 
+def test_words_of_few_toxic_documents_are_learned(spark, make_docs):
+    rnd = random.Random(4)
+    rare = ["".join(rnd.choice("bcdfgklmnprstvz") for _ in range(9)) for _ in range(300)]
+    rows = [(i, f"{sentence('en')} You {rare[i // 6 % 300]}.", 1) if i % 6 == 0
+            else (i, sentence("en"), 0) for i in range(11_700)]
+    docs = make_docs([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    assert len(toxicity.labelled_sample(docs, labels)) > 7_500
+    truth = {i for i, _, y in rows if y}
+    held = [r for r in toxicity.toxic_documents(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] for r in held) >= 0.8 * len(held)
+
+
 def test_toxicity_on_odd_rows_and_without_labels(spark, make_docs, odd_docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.toxic_documents(make_docs(odd_docs), none).collect()
