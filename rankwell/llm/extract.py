@@ -1,17 +1,18 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Each page proposes the deepest container that holds nearly all of its content.
-The tag-class paths of these containers, numbers generalised, are votes; Spark
-counts them per host, and every page is then extracted again from the container
-at the path that its host has agreed on.  A page without that path, or without a
-host, is extracted from the container it proposed itself.
+Each page proposes the deepest container beside which only scraps stand: short boxes
+of bare text, without a paragraph, heading, list or table.  The tag-class paths of
+containers and scraps, numbers generalised, are votes; Spark counts them per host.
+A page with the container that its host has agreed on keeps all content that is not
+boilerplate, but for boxes at paths that most pages of the host call scraps.  A page
+without that container, or without a host, goes by its own proposal.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import slim
+from rankwell.session import written
 
-#: Share of the content of a page that its container must hold.
-COVERAGE = 0.8
-#: Share that is enough for an element that is named as the main text.
-NAMED_COVERAGE = 0.3
+#: Share of the content of a page that its container must hold; scraps are the rest.
+COVERAGE = 0.95
 #: A class says nothing against an element that holds more than this share of a page.
 MOST = 0.5
 
@@ -42,6 +42,7 @@ _DROPPED = frozenset(
     " option search select svg video".split()
 )
 _ARTICLE = frozenset(("article", "main"))
+_BOXES = frozenset("center div section".split())
 _CLOSED_BY_BLOCK = frozenset(("p",))
 _SAME_CLOSES = frozenset(("li", "dt", "dd", "td", "th", "tr", "option"))
 _COMMENT_WORDS = frozenset(
@@ -222,14 +223,23 @@ class Page:
         for node in reversed(self.nodes[1:]):
             self.nodes[node.parent].text += node.text
             self.nodes[node.parent].links += node.links
-        # a class name counts against an element unless most of the page stands in it
+        # a class name counts against an element unless most of the page stands in it;
+        # beside an article or main it always does
+        within = [n.named for n in self.nodes]
+        holds = list(within)
+        for i in range(1, len(self.nodes)):
+            within[i] = within[i] or within[self.nodes[i].parent]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            holds[self.nodes[i].parent] |= holds[i]
+        has_main = any(n.named and n.text and not n.dropped for n in self.nodes)
         whole = self.nodes[0].text - sum(
             n.text for n in self.nodes[1:] if n.dropped and not self.nodes[n.parent].dropped
         )
-        for node in self.nodes[1:]:
+        for i, node in enumerate(self.nodes[1:], 1):
             above = self.nodes[node.parent].dropped
             list_of_links = node.tag in ("ul", "ol", "dl") and node.text and node.links > 0.9 * node.text
-            against = node.doubtful and node.text <= MOST * whole
+            beside = has_main and not within[i] and not holds[i]
+            against = node.doubtful and (beside or node.text <= MOST * whole)
             node.dropped = node.dropped or above or against or bool(list_of_links)
         for block in self.blocks:
             if not self.nodes[block.node].dropped:
@@ -237,31 +247,52 @@ class Page:
         for node in reversed(self.nodes[1:]):
             self.nodes[node.parent].content += node.content
 
+    def proposal(self) -> tuple[int, list[int]]:
+        """The deepest element beside which only scraps stand, and these scraps."""
+        nodes = self.nodes
+        filled: list[list[int]] = [[] for _ in nodes]
+        bare = [n.tag in _BOXES or n.tag not in _BLOCK for n in nodes]
+        for i in range(len(nodes) - 1, 0, -1):
+            if nodes[i].content:
+                filled[nodes[i].parent].append(i)
+                bare[nodes[i].parent] &= bare[i]
+        at, scraps = 0, []
+        while filled[at]:
+            best = max(filled[at], key=lambda i: (nodes[i].content, -i))
+            rest = [i for i in filled[at] if i != best]
+            own = nodes[at].content - sum(nodes[i].content for i in filled[at])
+            if own or nodes[best].tag not in _BLOCK or nodes[best].tag == "p":
+                break
+            if rest and (bare[best] or nodes[best].content < COVERAGE * nodes[0].content):
+                break
+            if not all(bare[i] and nodes[i].tag in _BOXES for i in rest):
+                break
+            scraps += rest
+            at = best
+        return at, scraps
+
     def container(self) -> int:
-        """The deepest element that holds nearly all content; named ones go first."""
-        whole = self.nodes[0].content
-        best = 0
-        for share, named in ((NAMED_COVERAGE, True), (COVERAGE, False)):
-            for i, node in enumerate(self.nodes[1:], 1):
-                holds = node.content >= share * whole and node.content > 0
-                if holds and (node.named if named else node.tag in _BLOCK and node.tag != "p"):
-                    key = (node.content, node.depth) if named else (node.depth, node.content)
-                    other = self.nodes[best]
-                    if best == 0 or key > ((other.content, other.depth) if named else (other.depth, other.content)):
-                        best = i
-            if best:
-                return best
-        return best
-
-    def at_path(self, path: str) -> int:
-        """The element at a path with the most content; 0 if there is none."""
-        found = [i for i, n in enumerate(self.nodes) if n.path == path and n.content]
-        return max(found, key=lambda i: (self.nodes[i].content, -i), default=0)
-
-    def text(self, container: int) -> str:
+        return self.proposal()[0]
+
+    def outvoted(self, agreed: str | None, rejected: frozenset[str]) -> list[int]:
+        """What goes besides boilerplate: boxes the host rejects, or else the page's scraps."""
+        holders = {i for i, n in enumerate(self.nodes) if n.path == agreed and n.content} if agreed else ()
+        if not holders:
+            return self.proposal()[1]
+        kept = [False] * len(self.nodes)
+        for i, node in enumerate(self.nodes):
+            kept[i] = i in holders or (node.parent >= 0 and kept[node.parent])
+        return [
+            i for i, n in enumerate(self.nodes)
+            if n.path in rejected and not kept[i] and not f"{agreed}>".startswith(f"{n.path}>")
+        ]
+
+    def text(self, container: int, without: Sequence[int] = ()) -> str:
+        """Blocks inside the container; nothing of the elements ``without``."""
         inside = [False] * len(self.nodes)
+        out = set(without)
         for i, node in enumerate(self.nodes):
-            inside[i] = i == container or (node.parent >= 0 and inside[node.parent])
+            inside[i] = (i == container or (node.parent >= 0 and inside[node.parent])) and i not in out
         return "\n".join(
             b.parts[0] for b in self.blocks if inside[b.node] and not self.nodes[b.node].dropped
         )
@@ -269,28 +300,35 @@ class Page:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = [Page(h or "") for h in batch.column("html").to_pylist()]
-        best = [p.container() for p in pages]
-        rows = [
-            (host, p.nodes[b].path, p.nodes[b].content)
-            for host, p, b in zip(batch.column("host").to_pylist(), pages, best, strict=True)
-            if b and host is not None
-        ]
-        hosts, paths, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+        rows: list[tuple[str, str, int, int, int]] = []
+        for host, source in zip(
+            batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True
+        ):
+            if host is None:
+                continue
+            page = Page(source or "")
+            if not page.nodes[0].content:
+                continue
+            best, scraps = page.proposal()
+            rows.append((host, page.nodes[best].path, 1, 0, page.nodes[best].content))
+            rows += [(host, path, 0, 1, 0) for path in {page.nodes[i].path for i in scraps}]
+        hosts, paths, chosen, out, sizes = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())],
-            names=["host", "path", "size"],
+            [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(chosen, pa.int64()),
+             pa.array(out, pa.int64()), pa.array(sizes, pa.int64())],
+            names=["host", "path", "chosen", "out", "size"],
         )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts: list[str] = []
-        for source, path in zip(
-            batch.column("html").to_pylist(), batch.column("agreed").to_pylist(), strict=True
+        for source, path, rejected in zip(
+            batch.column("html").to_pylist(), batch.column("agreed").to_pylist(),
+            batch.column("rejected").to_pylist(), strict=True,
         ):
             page = Page(source or "")
-            texts.append(page.text((page.at_path(path) if path else 0) or page.container()))
+            texts.append(page.text(0, page.outvoted(path, frozenset(rejected or ()))))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("page_id").cast(pa.int64()),
@@ -303,17 +341,31 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, agreed): the path most pages of a host propose.
+    """(host, agreed, rejected): the path most pages of a host propose, and the paths of
+    boxes that more than half of its pages call scraps.
 
     Counted per (host, path) before hosts meet, so a host with a third of all pages
-    is a few rows.  Ties: more content, then the smaller path.
+    is a few rows.  Ties: more content, then the smaller path.  A page has few scraps,
+    so there are at most twice as many rejected paths as scraps of an average page.
     """
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, size bigint")
-    counted = votes.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("votes"), F.sum("size").alias("size")
+    votes = pages.select("host", "html").mapInArrow(
+        _votes, "host string, path string, chosen bigint, out bigint, size bigint"
+    )
+    # written, as three plans read it and each would read all pages
+    counted = written(votes.groupBy("host", "path").agg(
+        F.sum("chosen").alias("votes"), F.sum("out").alias("out"), F.sum("size").alias("size")
+    ), "host_paths")
+    hosts = counted.groupBy("host").agg(
+        F.min_by("path", F.struct(-F.col("votes"), -F.col("size"), F.col("path"))).alias("agreed"),
+        F.sum("votes").alias("voters"), F.max("out").alias("most_out"),
+    )
+    outs = counted.filter("out > 0").select(F.col("host").alias("out_host"), "path", "out")
+    rejected = (
+        outs.join(hosts.filter("2 * most_out > voters"), F.col("out_host") == F.col("host"))
+        .filter("2 * out > voters").groupBy("out_host").agg(F.collect_set("path").alias("rejected"))
     )
-    return counted.groupBy("host").agg(
-        F.min_by("path", F.struct(-F.col("votes"), -F.col("size"), F.col("path"))).alias("agreed")
+    return hosts.join(rejected, F.col("host") == F.col("out_host"), "left").select(
+        "host", "agreed", "rejected"
     )
 
 
@@ -334,6 +386,6 @@ def extract_pages(
     # a hot host is split by the adaptive join; a small table of hosts is broadcast by it
     agreed = host_paths(rows).withColumnRenamed("host", "agreed_host")
     joined = rows.join(agreed, F.col("host") == F.col("agreed_host"), "left")
-    return joined.select("page_id", "url", "html", "agreed").mapInArrow(
+    return joined.select("page_id", "url", "html", "agreed", "rejected").mapInArrow(
         _texts, "page_id bigint, url string, text string, n_chars bigint"
     )

@@ -67,3 +67,28 @@ def test_pages_of_a_host_agree(spark):
     assert by_id[11] == "" and by_id[None] == "" and by_id[12] == TEXT
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert extract_pages(table.limit(0)).collect() == []
+
+
+def test_nothing_but_boilerplate_goes():
+    whole = lambda page: Page(page).text(0, Page(page).outvoted(None, frozenset()))
+    long = f"<p>{MAIN}</p>" * 9
+    body = "\n".join([MAIN] * 9)
+    assert whole(f"<body><article>{long}</article><article><p>two</p></article></body>") == f"{body}\ntwo"
+    assert whole(f"<body><div><h1>Title</h1><p>Lead</p><div>{long}</div></div></body>") == f"Title\nLead\n{body}"
+    assert whole(f"<body><p>Before</p><table><tr><td>{MAIN * 9}</td></tr></table><p>After</p></body>") == (
+        f"Before\n{MAIN * 9}\nAfter"
+    )
+
+
+def test_a_host_keeps_siblings_at_its_path(spark):
+    part = lambda k, n: f"<div class='part-{k}'>" + f"<p>{MAIN}</p>" * n + "</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{part(1, 3)}</body>") for i in range(5)]
+    rows.append((9, "http://h.example/9", f"<body>{part(1, 3)}{part(2, 2)}<p>End</p></body>"))
+    got = {r["page_id"]: r["text"] for r in extract_pages(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == "\n".join([MAIN] * 3)
+    assert got[9] == "\n".join([MAIN] * 5 + ["End"])
+
+
+def test_an_advert_longer_than_a_short_article_goes():
+    assert extracted(f"<body><div class='ad'>{MAIN}</div><article><p>Short.</p></article></body>") == "Short."
