@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from rankwell.functions.ordinal import class_at, rank_of
 from rankwell.operators import judge, uncertain
 from rankwell.operators.curate import in_languages, known_classes_only, with_label
+from rankwell.session import shared_folder
 
 #: Words of two and more characters, Unicode letters included.
 TOKEN = r"(?U)\b\w\w+\b"
@@ -179,6 +180,7 @@ def fit_trees(
         featuresCol="features", labelCol="label_index", weightCol="weight",
         maxIter=rounds, maxDepth=depth, seed=7,
     )
+    shared_folder(train.sparkSession)  # every tenth round is checkpointed there
     kept = rows.select("features", "label_index", "weight").persist()
     try:
         if len(classes) == 2:

@@ -21,8 +21,6 @@ FAMILIES = {
     "marks": ("n_marks", "n_stops"),
 }
 TEXT_FEATURES = tuple(f for members in FAMILIES.values() for f in members)
-#: Rounds of boosting in the registered queries; the library default is 300.
-ROUNDS = 5
 #: Most iterations of the text models, as in the library; they end by their tolerance.
 ITERATIONS = 2_000
 
@@ -92,7 +90,7 @@ def _text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tree_model", "M2")
 def _tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
-    model = fit.fit_trees(splits["train"], "time_class", CLASSES, TEXT_FEATURES, ROUNDS)
+    model = fit.fit_trees(splits["train"], "time_class", CLASSES, TEXT_FEATURES)
     return rounded(judge.metrics(model.score(splits["test"]), CLASSES, label="time_class"), *METRICS)
 
 
@@ -100,7 +98,7 @@ def _tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
     results = fit.family_ablation(
-        splits["train"], splits["test"], "time_class", CLASSES, FAMILIES, ROUNDS
+        splits["train"], splits["test"], "time_class", CLASSES, FAMILIES
     )
     return rounded(results, *METRICS)
 
@@ -128,7 +126,7 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.col("n_words") < 30, "0").otherwise("1")
     results = fit.ladder(
         labelled(spark, sf_dir), "time_class", CLASSES, rule, "code", TEXT_FEATURES,
-        ROUNDS, ITERATIONS,
+        max_iter=ITERATIONS,
     )
     return rounded(results, *METRICS, "ece", "temperature")
 
@@ -136,7 +134,7 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_importance", "M12", "D24")
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
-    model = fit.fit_trees(splits["train"], "time_class", CLASSES, TEXT_FEATURES, ROUNDS)
+    model = fit.fit_trees(splits["train"], "time_class", CLASSES, TEXT_FEATURES)
     shares = judge.normalised_share(model.importance(spark), "importance")
     return rounded(fit.top_importances(shares), "importance")
 
