@@ -469,7 +469,7 @@ def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM base""", "answers"))
 def _readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers(spark, sf_dir).filter(
-        (F.col("dimension") == "time") & F.col("label").isNotNull() & F.col("answer").isNotNull()
+        (F.col("dimension") == "time") & F.col("label").isNotNull()
     )
     named = rows.withColumn("name", F.concat_ws("/", "dimension", "predictor", "certainty"))
     scored = judge.metrics(named, PRIORITIES, ["name"])

@@ -126,3 +126,18 @@ def test_hybrid_modes(spark):
     assert {r.engine for r in predictors.hybrid(cases, mode="ml").collect()} == {"ml"}
     with pytest.raises(ValueError):
         predictors.hybrid(cases, mode="other")
+
+
+def test_a_missing_answer_lowers_the_readout(spark, monkeypatch):
+    from rankwell.plans import judging_queries as plans
+
+    low, high = plans.PRIORITIES[:2]
+    rows = [("time", "rule", "certain", c, c) for c in (low, high)]
+    rows += [("time", "model", "certain", c, a) for c, a in ((low, low), (high, high), (high, None))]
+    table = spark.createDataFrame(
+        rows, "dimension string, predictor string, certainty string, label string, answer string"
+    )
+    monkeypatch.setattr(plans, "answers", lambda *_: table)
+    got = plans._readout(spark, "").first()
+    assert got.winner == "time/rule/certain"
+    assert got["drop"] == pytest.approx(1 / 3 / len(plans.PRIORITIES), abs=1e-5)
