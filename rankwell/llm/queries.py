@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from rankwell.llm.bpe import round_trip_digests
 from rankwell.llm.common import table
+from rankwell.llm.conversation_repair import repair_digests
 from rankwell.llm.extract import extract_pages
 from rankwell.llm.langid import identified_documents
 from rankwell.llm.line_dedup import dedup_lines
 from rankwell.llm.ngram_join import near_duplicates
 from rankwell.llm.packing import pack_documents
 from rankwell.llm.recipe_dedup import exact_duplicates
+from rankwell.llm.repair_sql import CONVERSATION_REPAIR
 from rankwell.llm.sharding import shard_documents
 from rankwell.llm.topk_search import top_k
 from rankwell.llm.toxicity import toxic_documents
@@ -68,15 +70,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_ngram_join, op3_exact_dedup, op4_topk_search, op5_byte_bpe,
         op6_best_fit_packing, op7_toxicity, op8_language_id, op9_sharding, op10_html_extraction,
+        op11_conversation_repair,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
     # equal without white space; sha256 of the normalised text
     "op3_exact_dedup": r"""
         WITH d AS (
