@@ -113,7 +113,8 @@ class _Best:
 
 def _runs(query: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
     found, starts = np.unique(query, return_index=True)
-    return found.tolist(), list(zip(starts.tolist(), [*starts[1:].tolist(), len(query)], strict=True))
+    edges = [*starts.tolist(), len(query)]
+    return found.tolist(), list(zip(edges[: len(found)], edges[1:], strict=True))
 
 
 def search_block(
