@@ -12,6 +12,7 @@ from rankwell.llm.bpe import round_trip_digests
 from rankwell.llm.common import table
 from rankwell.llm.conversation_repair import repair_digests
 from rankwell.llm.extract import extract_pages
+from rankwell.llm.hard_negatives import mined_negatives
 from rankwell.llm.langid import identified_documents
 from rankwell.llm.line_dedup import dedup_lines
 from rankwell.llm.ngram_join import near_duplicates
@@ -74,12 +75,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_ngram_join, op3_exact_dedup, op4_topk_search, op5_byte_bpe,
         op6_best_fit_packing, op7_toxicity, op8_language_id, op9_sharding, op10_html_extraction,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_hard_negatives,
     )
 }
 
@@ -171,4 +176,30 @@ ORACLES: dict[str, str] = {
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5
     """,
+    # all pairs of an anchor and a row; windows of the first five of its label
+    "op12_hard_negatives": r"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, * FROM (
+                SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            )
+        ), s AS (
+            SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r AS other, c.vec_id, a.label = c.label AS same,
+                list_dot_product(a.e, c.e)::BIGINT AS score
+            FROM v a JOIN v c ON a.r <> c.r AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor, anchor_id, other AS positive, vec_id AS positive_id, score AS positive_score
+            FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score,
+            s.score AS negative_score
+        FROM p JOIN s ON s.anchor = p.anchor AND NOT same
+            AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 3
+    """,
 }
