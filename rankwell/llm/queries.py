@@ -17,6 +17,7 @@ from rankwell.llm.langid import identified_documents
 from rankwell.llm.line_dedup import dedup_lines
 from rankwell.llm.ngram_join import near_duplicates
 from rankwell.llm.packing import pack_documents
+from rankwell.llm.pii import span_digests
 from rankwell.llm.recipe_dedup import exact_duplicates
 from rankwell.llm.repair_sql import CONVERSATION_REPAIR
 from rankwell.llm.sharding import shard_documents
@@ -79,12 +80,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_ngram_join, op3_exact_dedup, op4_topk_search, op5_byte_bpe,
         op6_best_fit_packing, op7_toxicity, op8_language_id, op9_sharding, op10_html_extraction,
-        op11_conversation_repair, op12_hard_negatives,
+        op11_conversation_repair, op12_hard_negatives, op13_pii,
     )
 }
 
