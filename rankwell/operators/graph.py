@@ -7,15 +7,15 @@ here gathers one graph in one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankwell.functions.ordinal import class_array, literal_map
 from rankwell.functions.skew import keep_lowest, next_in_group, running_total
 from rankwell.functions.stats import share
-from rankwell.session import written, written_counted
+from rankwell.session import discard, written, written_counted
 
 # The symbol alphabet in its order, edge kinds, and symbol groups.
 SYMBOLS = (
@@ -90,6 +90,9 @@ LIBRARY = (
 TIME_BY_LOOP_DEPTH = ("O(1)", "O(n)", "O(n^2)", "O(n^3)")
 SPACE_BY_ALLOC_DEPTH = ("O(1)", "O(n)", "O(n^2)")
 UNKNOWN_SHARE = 0.2
+# Functions that drive a solution, and those that are the program if they read input.
+NON_ENTRIES = ("main", "Main", "__init__", "__main__", "setUp", "tearDown")
+PROGRAMS = ("main", "Main")
 
 NODE = ["graph_id", "node_id"]
 #: Width of the id ranges a hot group is cut into.
@@ -111,112 +114,193 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(with_parent, NODE, "left_anti")
 
 
-def _described_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Child edges with the symbol and text of the child, as a table for all levels."""
-    of_child = nodes.select("graph_id", F.col("node_id").alias("dst"), "symbol", "text")
-    return written(children(edges).join(of_child, ["graph_id", "dst"]), "children")
+def _above(column: str) -> Column:
+    return F.col(f"above {column}")
 
 
-def _descend(start: DataFrame, step, max_levels: int) -> DataFrame:
-    """Union of ``start`` and its repeated ``step`` until nothing is left.
+def _jumped(first: DataFrame, extend: Callable[[], list[Column]], name: str) -> DataFrame:
+    """Pointer jumping over rows (graph_id, node_id, up, ...) until none points on.
 
-    Each level is written to the shared folder: lineage stays short, and a lost
-    executor costs one level.
+    A row describes the stretch from its node to ``up``; ``extend`` gives its columns over
+    the stretch of ``up`` as well, whose columns are named ``above ...``.  Stretches double,
+    so rounds grow with the logarithm of the depth, and a round writes the rows still
+    pointing on only.  Rows that point to a missing node are left out.
+    """
+    open_rows = F.col("up").isNotNull()
+    table, left = written_counted(first, name, open_rows)
+    tables = [table]
+    # n nodes that point on make no chain of more than n steps
+    rounds = left.bit_length() + 1
+    while left:
+        if rounds == 0:
+            raise ValueError("a node is reached twice: the child edges hold a cycle")
+        rounds -= 1
+        now = tables[-1].filter(open_rows)
+        lookup = now
+        for earlier in tables:
+            lookup = lookup.unionByName(earlier.filter(~open_rows))
+        lookup = lookup.select(*[F.col(c).alias(f"above {c}") for c in lookup.columns])
+        step = now.join(
+            lookup, (F.col("graph_id") == _above("graph_id")) & (F.col("up") == _above("node_id"))
+        ).select("graph_id", "node_id", _above("up").alias("up"), *extend())
+        table, left = written_counted(step, name, open_rows)
+        tables.append(table)
+    if len(tables) == 1:
+        return tables[0].drop("up")
+    ended = tables[0].filter(~open_rows)
+    for table in tables[1:]:
+        ended = ended.unionByName(table.filter(~open_rows))
+    kept = written(ended.drop("up"), name)
+    for table in tables:
+        discard(table)
+    return kept
+
+
+def ancestry(nodes: DataFrame, edges: DataFrame, marks: Mapping[str, Column]) -> DataFrame:
+    """(graph_id, node_id, level, n_<mark>, <mark>) of every node below a root, and roots.
+
+    ``marks`` are tests on a node.  ``n_<mark>`` counts the marked nodes strictly above,
+    ``<mark>`` is the nearest of them: its id and how many levels up it stands.  A node
+    with two parents, or on a cycle, is an error; nodes that no root reaches for want of
+    a parent in ``nodes`` are left out.
+    """
+    conflict = Observation()
+    parent = (
+        children(edges).groupBy("graph_id", F.col("dst").alias("node_id"))
+        .agg(F.min("src").alias("up"), F.max("src").alias("last"))
+        .observe(conflict, F.count_if(F.col("up") != F.col("last")).alias("n"))
+    ).drop("last")
+    tested = nodes.select(
+        "graph_id", F.col("node_id").alias("up"), *[test.alias(f"is {m}") for m, test in marks.items()],
+        F.lit(True).alias("known"),
+    )
+    placed = nodes.select(*NODE).join(parent, NODE, "left").join(tested, ["graph_id", "up"], "left")
+    one_up = F.struct(F.col("up").alias("id"), F.lit(1).alias("steps"))
+    first = placed.filter(F.col("up").isNull() | F.col("known")).select(
+        *NODE, "up", F.col("up").isNotNull().cast("int").alias("level"),
+        *[c for m in marks for c in (
+            F.coalesce(F.col(f"is {m}"), F.lit(False)).cast("int").alias(f"n_{m}"),
+            F.when(F.col(f"is {m}"), one_up).alias(m),
+        )],
+    )
+
+    def extend() -> list[Column]:
+        def nearest(mark: str) -> Column:
+            above = _above(mark)
+            moved = F.struct(above["id"].alias("id"), (above["steps"] + F.col("level")).alias("steps"))
+            return F.coalesce(F.col(mark), F.when(above.isNotNull(), moved)).alias(mark)
+
+        sums = [f"n_{m}" for m in marks]
+        return [
+            (F.col("level") + _above("level")).alias("level"),
+            *[c for m, n in zip(marks, sums, strict=True) for c in ((F.col(n) + _above(n)).alias(n), nearest(m))],
+        ]
+
+    found = _jumped(first, extend, "stretch")
+    if conflict.get["n"]:
+        raise ValueError("a node is reached twice: it has two parents")
+    return found
+
+
+def _chains(marked: DataFrame, stop: bool) -> DataFrame:
+    """(graph_id, node_id, chain): the marked nodes above a marked node, nearest first.
+
+    ``marked`` has ``root``, the nearest of them; with ``stop``, chains end at the nearest
+    stop, which may be in them.
     """
-    level, _ = written_counted(start, "level")
-    levels = [level]
-    for _ in range(max_levels):
-        level, rows = written_counted(step(level), "level")
-        if rows == 0:
-            break
-        levels.append(level)
-    else:
-        raise ValueError(f"deeper than {max_levels} levels: the child edges hold a cycle")
-    union = levels[0]
-    for more in levels[1:]:
-        union = union.unionByName(more)
-    return union
 
+    def within(chain: Column) -> Column:
+        limit = F.col("stop")["steps"]
+        return F.when(limit.isNull(), chain).otherwise(F.filter(chain, lambda r: r["steps"] <= limit)) if stop else chain
 
-def walk(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """Every node below a root with its level, loops above it and nearest function.
+    none = F.array().cast("array<struct<id:bigint,steps:int>>")
+    own = F.when(F.col("root").isNull(), none).otherwise(F.array("root"))
+    extra = ["stop"] if stop else []
+    first = marked.select(*NODE, F.col("root")["id"].alias("up"), *extra, within(own).alias("chain"),
+                          F.coalesce(F.col("root")["steps"], F.lit(0)).alias("steps"))
+    if stop:
+        # nothing above the stop can be in the chain
+        first = first.withColumn("up", F.when(F.size("chain") > 0, F.col("up")))
 
-    One pass top down, one equi-join per level.
-    """
-    child = _described_children(nodes, edges)
-    first = roots(nodes, edges).select(
-        "graph_id", "node_id", "symbol", "text",
-        F.lit(0).alias("level"),
-        F.lit(0).alias("loop_depth"),
-        F.lit(None).cast("bigint").alias("scope"),
-    )
-
-    def step(level: DataFrame) -> DataFrame:
-        parent = level.select(
-            "graph_id", F.col("node_id").alias("src"),
-            (F.col("level") + 1).alias("level"),
-            (F.col("loop_depth") + F.col("symbol").isin(*LOOPS).cast("int")).alias("loop_depth"),
-            F.when(F.col("symbol") == "FUNC_DEF", F.col("node_id")).otherwise(F.col("scope")).alias(
-                "scope"
-            ),
-        )
-        return parent.join(child, ["graph_id", "src"]).select(
-            "graph_id", F.col("dst").alias("node_id"), "symbol", "text",
-            "level", "loop_depth", "scope",
-        )
+    def extend() -> list[Column]:
+        moved = F.transform(_above("chain"), lambda r: F.struct(
+            r["id"].alias("id"), (r["steps"] + F.col("steps")).alias("steps")))
+        return [*map(F.col, extra), within(F.concat("chain", moved)).alias("chain"),
+                (F.col("steps") + _above("steps")).alias("steps")]
 
-    return _descend(first, step, max_levels)
+    return _jumped(first, extend, "chain").drop("steps", "stop")
+
+
+def _pairs_above(below: DataFrame, marked: DataFrame, stop: bool = False) -> DataFrame:
+    """Rows of ``below`` with ``root_id`` and ``depth`` for each marked node above them."""
+    chains = _chains(marked, stop).select(
+        F.col("graph_id").alias("chain_graph"), F.col("node_id").alias("chain_node"), "chain"
+    )
+    joined = below.filter(F.col("root").isNotNull()).join(
+        chains, (F.col("graph_id") == F.col("chain_graph")) & (F.col("root")["id"] == F.col("chain_node"))
+    ).drop("chain_graph", "chain_node")
+    moved = F.transform("chain", lambda r: F.struct(
+        r["id"].alias("id"), (r["steps"] + F.col("root")["steps"]).alias("steps")))
+    every = F.concat(F.array("root"), moved)
+    if stop:
+        limit = F.col("stop")["steps"]
+        every = F.when(limit.isNull(), every).otherwise(F.filter(every, lambda r: r["steps"] <= limit))
+    pairs = joined.withColumn("pair", F.explode(every)).drop("chain")
+    return pairs.withColumns({"root_id": F.col("pair")["id"], "depth": F.col("pair")["steps"]}).drop("pair")
+
+
+def walk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node below a root with its level, loops above it and nearest function."""
+    marks = {"loop": F.col("symbol").isin(*LOOPS), "scope": F.col("symbol") == "FUNC_DEF"}
+    found = ancestry(nodes, edges, marks).select(
+        *NODE, "level", F.col("n_loop").alias("loop_depth"), F.col("scope")["id"].alias("scope")
+    )
+    return nodes.select(*NODE, "symbol", "text").join(found, NODE)
 
 
 def descendants(
-    nodes: DataFrame,
-    edges: DataFrame,
-    of: DataFrame,
-    stop_symbol: str | None = None,
-    max_levels: int = 10_000,
+    nodes: DataFrame, edges: DataFrame, of: DataFrame, stop_symbol: str | None = None
 ) -> DataFrame:
     """(graph_id, root, node_id, symbol, text, depth) below every node of ``of``.
 
     A node with ``stop_symbol`` is included but not entered.
     """
-    child = _described_children(nodes, edges)
-    columns = ["graph_id", "root", "node_id", "symbol", "text", "depth"]
-
-    def below(frontier: DataFrame) -> DataFrame:
-        return frontier.join(child, ["graph_id", "src"]).select(
-            "graph_id", "root", F.col("dst").alias("node_id"), "symbol", "text",
-            (F.col("depth") + 1).alias("depth"),
-        )
-
-    first = below(
-        of.select("graph_id", F.col("node_id").alias("root"), F.col("node_id").alias("src"),
-                  F.lit(0).alias("depth"))
+    stop = stop_symbol is not None
+    flagged = nodes.select(*NODE, "symbol").join(
+        of.select(*NODE, F.lit(True).alias("chosen")).distinct(), NODE, "left"
+    )
+    marks = {"root": F.col("chosen")} | ({"stop": F.col("symbol") == stop_symbol} if stop else {})
+    found = ancestry(flagged, edges, marks)
+    marked = found.join(of.select(*NODE).distinct(), NODE, "left_semi")
+    pairs = _pairs_above(found, marked, stop).select("graph_id", "node_id", "root_id", "depth")
+    return pairs.join(nodes.select(*NODE, "symbol", "text"), NODE).select(
+        "graph_id", F.col("root_id").alias("root"), "node_id", "symbol", "text", "depth"
     )
-
-    def step(level: DataFrame) -> DataFrame:
-        entered = level if stop_symbol is None else level.filter(F.col("symbol") != stop_symbol)
-        return below(
-            entered.select("graph_id", "root", F.col("node_id").alias("src"), "depth")
-        )
-
-    return _descend(first, step, max_levels).select(*columns)
 
 
 def loop_carry_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Loop -> every identifier that occurs at least twice anywhere below it."""
-    loops = nodes.filter(F.col("symbol").isin(*LOOPS))
-    idents = descendants(nodes, edges, loops).filter(F.col("symbol") == "IDENT")
-    key = ["graph_id", "root", "text"]
+    """Loop -> every identifier that occurs at least twice anywhere below it.
+
+    Only identifiers whose name repeats below some loop meet the loops above them.
+    """
+    loops = F.col("symbol").isin(*LOOPS)
+    found = ancestry(nodes, edges, {"root": loops})
+    named = nodes.filter((F.col("symbol") == "IDENT") & F.col("text").isNotNull()).select(*NODE, "text")
+    idents = named.join(found.filter(F.col("root").isNotNull()).select(*NODE, "root"), NODE)
     # two different ids are enough to know a name repeats
-    repeated = (
-        idents.groupBy(*key)
-        .agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
-        .filter(F.col("a") < F.col("b"))
-        .select(*key)
+    first_and_last = (F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    names = idents.groupBy("graph_id", "text").agg(*first_and_last).filter("a < b").select("graph_id", "text")
+    marked = found.join(nodes.filter(loops).select(*NODE), NODE, "left_semi")
+    pairs = written(
+        _pairs_above(idents.join(names, ["graph_id", "text"], "left_semi"), marked).select(
+            "graph_id", F.col("root_id").alias("src"), "text", F.col("node_id")
+        ),
+        "loop_pairs",
     )
-    return idents.join(repeated, key, "left_semi").select(
-        "graph_id", F.col("root").alias("src"), F.col("node_id").alias("dst"),
-        F.lit("LOOP_CARRY").alias("kind"),
+    key = ["graph_id", "src", "text"]
+    repeated = pairs.groupBy(*key).agg(*first_and_last).filter("a < b").select(*key)
+    return pairs.join(repeated, key, "left_semi").select(
+        "graph_id", "src", F.col("node_id").alias("dst"), F.lit("LOOP_CARRY").alias("kind")
     )
 
 
@@ -546,50 +630,114 @@ def resolve_calls(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def _spread(start: DataFrame, links: DataFrame, better, max_rounds: int) -> DataFrame:
-    """Push ``label`` along ``links`` (graph_id, src, dst) until no node improves.
+#: Rounds after which changed labels are merged into one table.
+MERGE_ROUNDS = 6
+
+
+class _Labels:
+    """The best label of every node, as a table and the changes written since.
 
-    ``start`` is (graph_id, node_id, label).  Only nodes that changed send in the
-    next round, and every round is one join and one grouping by node.
+    Labels are structs ending in ``id``, a node of the same graph that reaches this one.
     """
-    known = written(start, "labels")
-    changed = known
-    for _ in range(max_rounds):
-        sent = changed.select("graph_id", F.col("node_id").alias("src"), "label").join(
-            links, ["graph_id", "src"]
-        ).select("graph_id", F.col("dst").alias("node_id"), "label")
-        offers = sent.groupBy(*NODE).agg(better("label").alias("offer"))
-        merged, moved = written_counted(
-            known.join(offers, NODE, "full").select(
-                *NODE,
-                F.when(F.col("offer").isNull(), F.col("label"))
-                .when(F.col("label").isNull(), F.col("offer"))
-                .otherwise(F.least("label", "offer"))
-                .alias("label"),
-                (F.col("label").isNull() | (F.col("offer") < F.col("label"))).alias("new"),
-            ).withColumn("new", F.coalesce("new", F.lit(False))),
-            "labels",
-            F.col("new"),
+
+    def __init__(self, start: DataFrame) -> None:
+        self.tables = [written(start.select(*NODE, "label"), "labels")]
+
+    def rows(self) -> DataFrame:
+        union = self.tables[0]
+        for changes in self.tables[1:]:
+            union = union.unionByName(changes)
+        return union
+
+    def current(self) -> DataFrame:
+        return self.rows().groupBy(*NODE).agg(F.min("label").alias("label"))
+
+    def improve(self, offers: DataFrame) -> int:
+        """Writes the offers that beat the label of their node, and only these."""
+        known = self.rows().withColumnRenamed("label", "known")
+        offered = offers.groupBy(*NODE).agg(F.min("label").alias("label"))
+        beaten = offered.join(known, NODE, "left").groupBy(*NODE).agg(
+            F.any_value("label").alias("label"), F.min("known").alias("known")
         )
-        known = merged.drop("new")
-        changed = merged.filter("new").drop("new")
-        if moved == 0:
-            return known
-    raise ValueError(f"labels still move after {max_rounds} rounds")
+        changes, n = written_counted(beaten.filter(F.col("label") < F.col("known")).select(*NODE, "label"), "changes")
+        if n:
+            self.tables.append(changes)
+        else:
+            discard(changes)
+        return n
+
+    def merge(self) -> None:
+        merged = written(self.current(), "labels")
+        for table in self.tables:
+            discard(table)
+        self.tables = [merged]
+
+
+def _spread(start: DataFrame, links: DataFrame) -> DataFrame:
+    """The lowest label among all nodes that reach each node along ``links``.
+
+    ``start`` has every node with its own label.  Each round changed labels go along the
+    links, and then nodes take over the label of the node that their label names.  Where
+    labels are in random order, that multiplies the way behind a label in every round.  A
+    round writes changed labels only; they are merged every ``MERGE_ROUNDS`` rounds.
+    Labels only improve, so the rounds end.
+    """
+    labels = _Labels(start)
+    changed = labels.tables[0]
+    rounds = 0
+    while True:
+        sent = changed.withColumnRenamed("node_id", "src").join(links, ["graph_id", "src"])
+        moved = labels.improve(sent.select("graph_id", F.col("dst").alias("node_id"), "label"))
+        newest = labels.tables[-1:] if moved else []
+        now = labels.current()
+        named = now.select("graph_id", F.col("label")["id"].alias("named"), "node_id")
+        if labels.improve(named.join(now.withColumnRenamed("node_id", "named"), ["graph_id", "named"])):
+            newest.append(labels.tables[-1])
+        if not newest:
+            break
+        changed = newest[0] if len(newest) == 1 else newest[0].unionByName(newest[1])
+        rounds += 1
+        if rounds % MERGE_ROUNDS == 0:
+            changed = written(changed, "changes")
+            labels.merge()
+    labels.merge()
+    return labels.tables[0]
+
+
+def _within(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links with both ends in ``nodes``, with the ``first`` of both ends."""
+
+    def end(name: str) -> DataFrame:
+        return nodes.select("graph_id", F.col("node_id").alias(name), F.col("first").alias(f"{name}_first"))
+
+    return written(links.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"]), "calls")
 
 
 def select_entries(
-    functions: DataFrame, calls: DataFrame, excluded: Sequence[str] = (), max_rounds: int = 10_000
+    functions: DataFrame, calls: DataFrame, excluded: Sequence[str] = NON_ENTRIES,
+    programs: Sequence[str] = PROGRAMS,
 ) -> DataFrame:
-    """Functions whose cost is the answer: those nothing else in the graph calls.
-
-    ``functions`` is (graph_id, node_id, name), ``calls`` (graph_id, src, dst).
-    Where only cycles are left, one function stands for each cycle that nothing
-    outside it calls: the first in id order.  Cycles are found by pushing the
-    smallest id forward and back, so no pair of nodes is ever listed.
+    """Functions whose cost is the answer, with ``kind`` program, root or cycle.
+
+    ``functions`` is (graph_id, node_id, name) and perhaps ``reads_input``; ``calls`` is
+    (graph_id, src, dst).  Where a function named as one of ``programs`` reads input, the
+    first of them is the graph's only entry.  Elsewhere the entries are the functions that
+    nothing else in the graph calls, drivers in ``excluded`` aside, and one function, the
+    first, for each cycle that nothing outside it calls and no such function reaches.
+
+    Functions are put in random order by a hash.  Let u = m(v) be the first one that
+    reaches v; what reaches u among the functions with this label is a cycle with u.  A
+    link from another label into the cycle means that something outside calls it.  So two
+    spreads of labels decide, and no cycle is ever gathered.
     """
-    candidates = functions.filter(~F.col("name").isin(*excluded)) if excluded else functions
-    ids = written(candidates.select(*NODE), "functions")
+    own = functions
+    only = None
+    if "reads_input" in functions.columns:
+        reads = functions.filter(F.col("name").isin(*programs) & F.col("reads_input"))
+        only = written(reads.groupBy("graph_id").agg(F.min("node_id").alias("node_id")), "programs")
+        own = functions.join(only.select("graph_id"), "graph_id", "left_anti")
+    candidates = own.filter(~F.col("name").isin(*excluded)) if excluded else own
+    ids = written(candidates.select(*NODE).distinct(), "functions")
     links = written(
         calls.filter(F.col("src") != F.col("dst"))
         .select("graph_id", "src", "dst")
@@ -598,37 +746,34 @@ def select_entries(
         .join(ids.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi"),
         "calls",
     )
-    called = links.select("graph_id", F.col("dst").alias("node_id")).distinct()
-    first = ids.join(called, NODE, "left_anti")
-    reached = _spread(first.withColumn("label", F.lit(0)), links, F.min, max_rounds)
-    left = written(ids.join(reached, NODE, "left_anti"), "left")
-    if left.isEmpty():
-        return first.withColumn("kind", F.lit("root"))
-    inner = links.join(left.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi").join(
-        left.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi"
-    )
-    # smallest function that reaches each one: a cycle nothing enters keeps its own smallest
-    colour = _spread(left.withColumn("label", F.col("node_id")), inner, F.min, max_rounds)
-    of = lambda end: colour.select(
-        "graph_id", F.col("node_id").alias(end), F.col("label").alias(f"{end}_label")
-    )
-    coloured = inner.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"])
-    back = coloured.filter(F.col("src_label") == F.col("dst_label")).select(
-        "graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")
-    )
-    seeds = colour.filter(F.col("label") == F.col("node_id"))
-    members = written(_spread(seeds, back, F.min, max_rounds), "members")
-    member = lambda end: members.select(
-        "graph_id", F.col("node_id").alias(end), F.col("label").alias(f"{end}_group")
-    )
-    entered = (
-        inner.join(member("dst"), ["graph_id", "dst"])
-        .join(member("src"), ["graph_id", "src"], "left")
-        .filter(~F.col("src_group").eqNullSafe(F.col("dst_group")))
-        .select("graph_id", F.col("dst_group").alias("node_id"))
-        .distinct()
-    )
-    cycles = seeds.select(*NODE).join(entered, NODE, "left_anti")
-    return first.withColumn("kind", F.lit("root")).unionByName(
-        cycles.withColumn("kind", F.lit("cycle"))
-    )
+    called = links.select("graph_id", F.col("dst").alias("node_id"), F.lit(1).alias("rank")).distinct()
+    # roots come before all others, so whatever a root reaches carries a root's label
+    place = F.xxhash64("graph_id", "node_id").alias("place")
+    label = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), place, F.col("node_id").alias("id"))
+    first = _spread(ids.join(called, NODE, "left").select(*NODE, label.alias("label")), links)
+    at_root = F.col("label")["rank"] == 0
+    entries = first.filter(at_root & (F.col("label")["id"] == F.col("node_id"))).select(
+        *NODE, F.lit("root").alias("kind")
+    )
+    outside = F.struct(F.col("label")["place"].alias("place"), F.col("label")["id"].alias("id"))
+    left, n = written_counted(first.filter(~at_root).select(*NODE, outside.alias("label")), "left")
+    if n:
+        named = left.select(*NODE, F.col("label")["id"].alias("first"))
+        inner = _within(links, named)
+        back = inner.filter(F.col("src_first") == F.col("dst_first")).select(
+            "graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")
+        )
+        own = F.struct(place, F.col("node_id").alias("id"))
+        reached = _spread(named.select(*NODE, own.alias("label")), written(back, "calls"))
+        members = named.join(reached, NODE).filter(F.col("label")["id"] == F.col("first")).select(*NODE, "first")
+        entered = inner.filter(F.col("src_first") != F.col("dst_first")).select(
+            "graph_id", F.col("dst").alias("node_id")
+        ).distinct()
+        outer = members.join(entered, NODE, "left_semi").select("graph_id", "first").distinct()
+        cycles = members.join(outer, ["graph_id", "first"], "left_anti").groupBy("graph_id", "first").agg(
+            F.min("node_id").alias("node_id")
+        )
+        entries = entries.unionByName(cycles.select(*NODE, F.lit("cycle").alias("kind")))
+    if only is not None:
+        entries = entries.unionByName(only.select(*NODE, F.lit("program").alias("kind")))
+    return entries

@@ -131,3 +131,189 @@ def test_message_round_matches_numpy(spark):
     assert np.allclose([got[i] for i in range(count)], want, atol=1e-9)
     pooled = message.readout(vectors, size, "meanmax").first().pooled
     assert np.allclose(pooled, np.concatenate([x.mean(0), x.max(0)]))
+
+
+def chain_tree(spark, depth):
+    """A path of loops with an identifier x below every thousandth."""
+    parents, symbols, texts = [None], ["FUNC_DEF"], {}
+    at = 0
+    for i in range(depth):
+        parents.append(at)
+        symbols.append("LOOP_N_BOUND" if i % 4000 == 0 else "BLOCK")
+        at = len(symbols) - 1
+        if i % 3000 == 2999:
+            parents.append(at)
+            symbols.append("IDENT")
+            texts[len(symbols) - 1] = "x"
+    return tree(spark, parents, symbols, texts)
+
+
+def test_a_path_deeper_than_ten_thousand_levels(spark):
+    nodes, edges = chain_tree(spark, 12_500)
+    walked = graph.walk(nodes, edges)
+    assert walked.agg({"level": "max"}).first()[0] == 12_500
+    loops = {r.node_id: r.level for r in walked.filter("symbol LIKE 'LOOP%'").collect()}
+    idents = {r.node_id: r.level for r in walked.filter("symbol = 'IDENT'").collect()}
+    want = {
+        (a, b) for a, la in loops.items() for b in idents
+        if la < idents[b] and sum(la < lb for lb in idents.values()) > 1
+    }
+    got = {(r.src, r.dst) for r in graph.loop_carry_edges(nodes, edges).collect()}
+    assert got == want and want
+
+
+def random_forest(rnd, n):
+    symbols = ["FUNC_DEF"] + [
+        rnd.choice(["FUNC_DEF", "LOOP_N_BOUND", "LOOP_HALVING", "BLOCK", "IDENT", "IDENT"]) for _ in range(n - 1)
+    ]
+    parents = [None] + [None if rnd.random() < 0.05 else rnd.randrange(max(0, i - 6), i) for i in range(1, n)]
+    texts = {i: rnd.choice("abcdefgh") for i in range(n) if symbols[i] == "IDENT"}
+    return parents, symbols, texts
+
+
+def test_closures_equal_brute_force(spark):
+    import random
+
+    parents, symbols, texts = random_forest(random.Random(1), 160)
+    nodes, edges = tree(spark, parents, symbols, texts)
+
+    def above(i):
+        steps = 0
+        while parents[i] is not None:
+            i, steps = parents[i], steps + 1
+            yield i, steps
+
+    every = {(a, i, d) for i in range(160) for a, d in above(i)}
+    by_loops = {p for p in every if symbols[p[0]].startswith("LOOP")}
+    loops = nodes.filter("symbol LIKE 'LOOP%'")
+    got = {(r.root, r.node_id, r.depth) for r in graph.descendants(nodes, edges, loops).collect()}
+    assert got == by_loops
+    bounded = set()
+    for i in range(160):
+        for a, d in above(i):
+            bounded.add((a, i, d))
+            if symbols[a] == "FUNC_DEF":
+                break
+    # functions and loops as roots, and no entering of functions
+    of = nodes.filter("symbol LIKE 'LOOP%' OR symbol = 'FUNC_DEF'")
+    got = {(r.root, r.node_id, r.depth) for r in graph.descendants(nodes, edges, of, "FUNC_DEF").collect()}
+    assert got == {p for p in bounded if symbols[p[0]] in ("FUNC_DEF", "LOOP_N_BOUND", "LOOP_HALVING")}
+    below = {}
+    for a, i, _ in by_loops:
+        if i in texts:
+            below.setdefault((a, texts[i]), set()).add(i)
+    want = {(a, i) for (a, _), ids in below.items() if len(ids) > 1 for i in ids}
+    assert {(r.src, r.dst) for r in graph.loop_carry_edges(nodes, edges).collect()} == want
+    level = {r.node_id: (r.level, r.loop_depth, r.scope) for r in graph.walk(nodes, edges).collect()}
+    for i in range(160):
+        chain = [a for a, _ in above(i)]
+        scope = next((a for a in chain if symbols[a] == "FUNC_DEF"), None)
+        assert level[i] == (len(chain), sum(symbols[a].startswith("LOOP") for a in chain), scope)
+
+
+def test_no_pairs_without_an_identifier(spark):
+    """Ten thousand nodes below nested loops, two of them names: four pairs are written."""
+    parents = [None, 0, 1] + [2] * 10_000
+    symbols = ["FUNC_DEF", "LOOP_N_BOUND", "LOOP_N_BOUND"] + ["CALL"] * 9_998 + ["IDENT"] * 2
+    texts = {10_001: "x", 10_002: "x"}
+    nodes, edges = tree(spark, parents, symbols, texts)
+    sizes = []
+    original = graph.written
+
+    def counting(frame, name):
+        out = original(frame, name)
+        if name == "loop_pairs":
+            sizes.append(out.count())
+        return out
+
+    graph.written = counting
+    try:
+        assert graph.loop_carry_edges(nodes, edges).count() == 4
+    finally:
+        graph.written = original
+    assert sizes == [4]
+
+
+def test_nodes_reached_twice_are_errors(spark):
+    symbols = ["FUNC_DEF", "BLOCK", "BLOCK", "BLOCK"]
+    nodes, edges = tree(spark, [None, 0, 3, 2], symbols)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.walk(nodes, edges)
+    nodes, edges = tree(spark, [None, 0, 0, 1], symbols)
+    twice = edges.union(spark.createDataFrame([(1, 2, 3, "AST_CHILD")], EDGES))
+    with pytest.raises(ValueError, match="two parents"):
+        graph.walk(nodes, twice)
+
+
+def brute_entries(n, calls):
+    calls = {(a, b) for a, b in calls if a != b}
+    reach = {i: {i} for i in range(n)}
+    for _ in range(n):
+        for a, b in calls:
+            reach[a] |= reach[b]
+    roots = {i for i in range(n) if not any(b == i for _, b in calls)}
+    left = set(range(n)) - {v for r in roots for v in reach[r]}
+    groups = {i: {j for j in left if j in reach[i] and i in reach[j]} for i in left}
+    cycles = {
+        i for i in left if i == min(groups[i]) and not any(b in groups[i] and a not in groups[i] for a, b in calls)
+    }
+    return {(i, "root") for i in roots} | {(i, "cycle") for i in cycles}
+
+
+def test_entries_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    functions, links, want = [], [], set()
+    for g in range(40):
+        n = rnd.randrange(1, 25)
+        calls = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(0, 2 * n))]
+        functions += [(g, i, f"f{i}") for i in range(n)]
+        links += [(g, a, b) for a, b in calls]
+        want |= {(g, *e) for e in brute_entries(n, calls)}
+    # one long cycle against the order of the ids, fed by a later one
+    n = 40
+    calls = [(i + 1, i) for i in range(n - 1)] + [(0, n - 1), (n + 1, 5), (n, n + 1), (n + 1, n)]
+    functions += [(99, i, f"f{i}") for i in range(n + 2)]
+    links += [(99, a, b) for a, b in calls]
+    want.add((99, n, "cycle"))
+    got = graph.select_entries(
+        spark.createDataFrame(functions, "graph_id long, node_id long, name string"),
+        spark.createDataFrame(links, "graph_id long, src long, dst long"),
+    ).collect()
+    assert {(r.graph_id, r.node_id, r.kind) for r in got} == want
+
+
+def test_a_program_that_reads_input_is_the_only_entry(spark):
+    functions = spark.createDataFrame(
+        [(1, 0, "f", False), (1, 1, "main", True), (1, 2, "main", True), (2, 0, "f", True), (2, 1, "main", False),
+         (3, 0, "Main", True), (4, 0, "setUp", True)],
+        "graph_id long, node_id long, name string, reads_input boolean")
+    links = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "graph_id long, src long, dst long")
+    got = {(r.graph_id, r.node_id, r.kind) for r in graph.select_entries(functions, links).collect()}
+    assert got == {(1, 1, "program"), (2, 0, "root"), (3, 0, "program")}
+
+
+def test_label_spread_writes_changes_only(spark):
+    """Along a path of 300 the rows written stay far below rounds x nodes."""
+    # the link order is against the ids, the label order is random
+    nodes = spark.range(300).selectExpr(
+        "1L AS graph_id", "id AS node_id", "struct(xxhash64(id) AS place, id AS id) AS label")
+    links = spark.range(299).selectExpr("1L AS graph_id", "id + 1 AS src", "id AS dst")
+    rows = []
+    original = graph.written_counted
+
+    def counting(frame, name, test=None):
+        out = original(frame, name, test)
+        rows.append(out[1])
+        return out
+
+    graph.written_counted = counting
+    try:
+        got = graph._spread(nodes, links)
+    finally:
+        graph.written_counted = original
+    label = {r.node_id: r.label for r in nodes.collect()}
+    want = {i: min(label[j] for j in range(i, 300)) for i in range(300)}
+    assert {r.node_id: r.label for r in got.collect()} == want
+    assert len(rows) < 60 and sum(rows) < 300 * len(rows) / 3  # not 300 rounds, not all rows
