@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import held_out, rows_passing, slim
+from rankwell.session import discard, written
 
 #: Labelled rows used for the fit at most.
 FIT_ROWS = 8_000
@@ -37,7 +37,15 @@ THRESHOLD = 0.7
 #: Standard deviations above chance from which a column gets a weight.
 TELLING = 5.0
 _TOKEN = re.compile(r"[^\s]+|\n")
-_EDGE = re.compile(r"^\W+|\W+$")
+_LETTER = re.compile(r"\w")
+
+
+def stripped(token: str) -> str:
+    """Without punctuation at both ends; one scan from each."""
+    first = _LETTER.search(token)
+    if not first:
+        return ""
+    return token[first.start() : len(token) - _LETTER.search(token[::-1]).start()]
 
 
 def token_columns(token: str) -> list[int]:
@@ -45,7 +53,7 @@ def token_columns(token: str) -> list[int]:
 
     In lower case, without punctuation at its ends.
     """
-    word = _EDGE.sub("", token.lower())
+    word = stripped(token.lower())
     parts = dict.fromkeys((f"{word} ", *(word[:k] for k in (3, 4, 5) if len(word) >= k)))
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % DIMENSIONS for p in parts]
 
@@ -57,30 +65,23 @@ def ends_sentence(token: str) -> bool:
 class Sentences:
     """Texts as arrays: a number per word, a start per sentence, a start per document."""
 
-    def __init__(self, weights: np.ndarray | None = None) -> None:
+    def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        #: Columns of all words one after the other, and how many each has.
-        self.columns, self.sizes = array("i"), array("i")
         self.values = array("d")
         self.ends = array("b")
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all words, start of each sentence, first sentence of each document."""
-        if self.weights is not None and len(self.memo) > MEMO:
+        if len(self.memo) > MEMO:
             self.clear()
         tokens = [_TOKEN.findall(t or "") for t in texts]
         for token in set().union(*tokens).difference(self.memo):
             self.memo[token] = len(self.ends)
-            columns = token_columns(token)
-            if self.weights is None:
-                self.columns.extend(columns)
-                self.sizes.append(len(columns))
-            else:
-                self.values.append(float(self.weights[columns].sum()))
+            self.values.append(float(self.weights[token_columns(token)].sum()))
             self.ends.append(ends_sentence(token))
         ends = np.array(self.ends, bool)
         sizes = np.array([len(t) for t in tokens], np.int64)
@@ -118,108 +119,160 @@ class Model:
     bias: float
 
 
+def sentence_columns(text: str | None) -> tuple[array, array]:
+    """Hashed columns of all words of a text in order, and how many each sentence has."""
+    columns, lengths = array("i"), array("i")
+    begin = 0
+    for token in _TOKEN.findall(text or ""):
+        columns.extend(token_columns(token))
+        if ends_sentence(token):
+            lengths.append(len(columns) - begin)
+            begin = len(columns)
+    if len(columns) > begin:
+        lengths.append(len(columns) - begin)
+    return columns, lengths
+
+
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of sentences, over the columns with a weight only."""
+
+    labels: np.ndarray
+    #: Sentences of each document without any such column.
+    plain: np.ndarray
+    #: Sentences with one, of each document, and columns of each such sentence.
+    sentences: np.ndarray
+    sizes: np.ndarray
+    columns: np.ndarray
+
+
+def used_columns(columns: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(sentences without a used column, used columns by place, how many each other sentence has)."""
+    at = place[columns]
+    hits = np.add.reduceat((at >= 0).astype(np.int64), np.cumsum(lengths) - lengths) if len(lengths) else lengths
+    return int((hits == 0).sum()), at[at >= 0], hits[hits > 0].astype(np.int32)
+
+
 def fit_noisy_or(
-    texts: Sequence[str | None],
-    labels: Sequence[int],
-    rounds: int = 80,
-    rate: float = 0.15,
-    decay: float = 1e-5,
-    least: int = 4,
-) -> Model:
-    """Full-batch Adam on the log loss of the noisy-or, with an L2 ``decay``.
-
-    Weights are fitted to the columns that stand in at least ``least`` toxic documents
-    and in more of them than chance explains; they start from their log-odds.  Without
-    rows, or with one class only, every score is near that class's share.
+    bags: Bags, start: np.ndarray, rounds: int = 80, rate: float = 0.15, decay: float = 1e-5
+) -> tuple[np.ndarray, float]:
+    """Weights from ``start``, and the bias: full-batch Adam on the log loss of the noisy-or.
+
+    An L2 ``decay`` holds the weights.  Without rows, or without columns, every score is
+    near the share of toxic documents.
     """
-    cut = Sentences()
-    words, starts, first = _all_sentences(cut, texts)
-    y = np.asarray(labels, np.float64)
-    weights = np.zeros(DIMENSIONS, np.float32)
-    if not len(y) or not len(words):
-        return Model(weights, -6.0)
-    sizes, flat = np.array(cut.sizes), np.array(cut.columns)
-    at_word = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    used, start = _telling_columns(words, starts, first, sizes, flat, at_word, y, least)
-    place = np.full(DIMENSIONS, len(used))
-    place[used] = np.arange(len(used))
-    ids = place[flat]
-    n_sentences = np.diff(first)
-    lengths = np.diff(np.append(starts, len(words)))
-    w = np.append(start, 0.0)
-    bias = float(np.log(max(y.mean(), 1e-3) / max(1.0, n_sentences.mean()))) - 2.0
+    y, n = bags.labels, len(bags.labels)
+    w = start.astype(np.float64)
+    if not n:
+        return w, -6.0
+    every = bags.plain + bags.sentences
+    bias = float(np.log(max(y.mean(), 1e-3) / max(1.0, every.mean()))) - 2.0
+    of_doc = np.repeat(np.arange(n), bags.sentences)
+    of_sentence = np.repeat(np.arange(len(bags.sizes)), bags.sizes)
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = sentence_logits(np.add.reduceat(w[ids], at_word), bias, words, starts)
-        p_s = sigmoid(z)
-        p = np.clip(noisy_or(z, first), 1e-9, 1 - 1e-9)
+        z = np.bincount(of_sentence, w[bags.columns], len(bags.sizes)) + bias
+        log_clean = np.bincount(of_doc, np.logaddexp(0, z), n) + bags.plain * np.logaddexp(0, bias)
+        p = np.clip(-np.expm1(-log_clean), 1e-9, 1 - 1e-9)
         # d loss / dz: p_s for clean documents, -p_s (1 - p) / p for toxic ones
-        pull = np.where(y > 0.5, -(1 - p) / p, 1.0)
-        g_s = p_s * np.repeat(pull, n_sentences) / len(y)
-        g_word = np.bincount(words, np.repeat(g_s, lengths), len(sizes))
-        grad = np.append(np.bincount(ids, np.repeat(g_word, sizes), len(w)), g_s.sum())
-        grad[:-1] += decay * w
-        grad[len(w) - 1] = 0.0  # the place of words without a weight
+        pull = np.where(y > 0.5, -(1 - p) / p, 1.0) / n
+        g_s = sigmoid(z) * pull[of_doc]
+        grad = np.append(
+            np.bincount(bags.columns, g_s[of_sentence], len(w)) + decay * w,
+            g_s.sum() + sigmoid(np.array(bias)) * (pull * bags.plain).sum(),
+        )
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         step = rate * (1 - t / (rounds + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-    weights[used] = w[:-1]
-    return Model(weights, bias)
-
-
-def _all_sentences(cut: Sentences, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``cut(texts)``, with the words of few texts in memory at a time."""
-    parts = [cut(texts[at : at + 200]) for at in range(0, len(texts), 200)] or [cut([])]
-    n_words = np.cumsum([0, *(len(w) for w, _, _ in parts)])
-    n_starts = np.cumsum([0, *(len(s) for _, s, _ in parts)])
-    words = np.concatenate([w.astype(np.int32) for w, _, _ in parts])
-    starts = np.concatenate([s + n for (_, s, _), n in zip(parts, n_words, strict=False)])
-    firsts = [f[:-1] + n for (_, _, f), n in zip(parts, n_starts, strict=False)]
-    return words, starts, np.concatenate([*firsts, [n_starts[-1]]])
-
-
-def _telling_columns(
-    words: np.ndarray, starts: np.ndarray, first: np.ndarray, sizes: np.ndarray,
-    flat: np.ndarray, at_word: np.ndarray, y: np.ndarray, least: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Columns that tell toxic documents, and their log-odds."""
-    bad, every = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    ends = np.append(starts, len(words))[first]
-    for i in range(len(y)):
-        word = np.unique(words[ends[i] : ends[i + 1]])
-        n = sizes[word]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        columns = np.unique(flat[np.repeat(at_word[word], n) + inside])
-        every[columns] += 1
-        bad[columns] += y[i] > 0.5
-    expected = every * y.mean()
-    score = (bad - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
-    used = np.flatnonzero((bad >= least) & (score >= TELLING))
-    odds = np.log((bad[used] + 0.5) / (y.sum() + 1)) - np.log(
-        (every[used] - bad[used] + 0.5) / (len(y) - y.sum() + 1)
-    )
-    return used, odds
+    return w, bias
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-) -> pd.DataFrame:
-    """At most ``rows`` labelled texts that are not held out, by the hash of the id.
+) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows`` labelled texts that are not held out, by the hash of the id.
 
-    Ids with different labels count as toxic.  Only ids and labels are ordered; the
-    texts of the chosen rows are joined to a table of at most ``rows`` ids.
+    Ids with different labels count as toxic, and of different texts the least is taken.
+    Only ids and labels are ordered; the texts of the chosen rows are joined to a table of
+    at most ``rows`` ids.
     """
     known = slim(labels, doc_id=doc_id, y=label).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = slim(docs, id=doc_id, text=text)
-    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.first("y").alias("y")
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("y").cast("double").alias("y")
+    )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            cut = [sentence_columns(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("y"),
+                 *(pa.array([np.frombuffer(c[i], np.int32) for c in cut], pa.list_(pa.int32())) for i in (0, 1))],
+                names=["doc_id", "y", "columns", "lengths"],
+            )
+
+
+def _hits(used: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    for batch in batches:
+        columns = (np.array(c, np.int32) for c in batch.column("columns").to_pylist())
+        lengths = (np.array(c, np.int64) for c in batch.column("lengths").to_pylist())
+        found = [used_columns(c, n, place) for c, n in zip(columns, lengths, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("y"), pa.array([f[0] for f in found], pa.int64()),
+             *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2))],
+            names=["doc_id", "y", "plain", "hits", "sizes"],
+        )
+
+
+def toxicity_model(sample: DataFrame, least: int = 4) -> Model:
+    """Fit on (doc_id, text, y), the rows of :func:`labelled_sample`.
+
+    Weights are fitted to the columns that stand in at least ``least`` toxic documents and
+    in more of them than chance explains; they start from their log-odds.  Texts are cut and
+    counted in the executors; the driver gets those columns only, by sentence.
+    """
+    cut = written(
+        sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("y").cast("double").alias("y"))
+        .mapInArrow(_cut, "doc_id string, y double, columns array<int>, lengths array<int>"),
+        "sentences",
+    )
+    n, toxic = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("y")), F.lit(0.0))).first()
+    weights = np.zeros(DIMENSIONS, np.float32)
+    share = toxic / n if n else 0.0
+    counted = cut.select("y", F.explode(F.array_distinct("columns")).alias("column")).groupBy("column").agg(
+        F.count(F.lit(1)).cast("double").alias("every"), F.count_if(F.col("y") > 0.5).cast("double").alias("bad")
     )
-    return found.toPandas().sort_values("doc_id", ignore_index=True)
+    expected = F.col("every") * share
+    chance = F.sqrt(expected * (1 - share) + 1e-9)
+    telling = counted.filter((F.col("bad") >= least) & ((F.col("bad") - expected) / chance >= TELLING))
+    # columns are at most DIMENSIONS
+    table = sorted((r["column"], r["every"], r["bad"]) for r in telling.collect())
+    used, every, bad = (np.array(c) for c in zip(*table, strict=True)) if table else (np.zeros(0),) * 3
+    used = used.astype(np.int64)
+    odds = np.log((bad + 0.5) / (toxic + 1)) - np.log((every - bad + 0.5) / (n - toxic + 1))
+    rows = cut.mapInArrow(
+        partial(_hits, used), "doc_id string, y double, plain bigint, hits array<int>, sizes array<int>"
+    ).toArrow().sort_by("doc_id")
+    discard(cut)
+
+    def flat(name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    sentences = np.array([len(x) for x in rows.column("sizes").to_pylist()], np.int64)
+    bags = Bags(rows.column("y").to_numpy(), rows.column("plain").to_numpy(), sentences, flat("sizes"), flat("hits"))
+    fitted, bias = fit_noisy_or(bags, odds)
+    weights[used] = fitted
+    return Model(weights, bias)
 
 
 _SCORED = "doc_id bigint, score double, spans array<struct<start:bigint,end:bigint,p:double>>"
@@ -287,8 +340,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     doc_id, held_out, score, predicted, spans.  A NULL id counts as held out.
     """
-    sample = labelled_sample(docs, labels, fit_rows)
-    scored = score_toxicity(docs, fit_noisy_or(sample["text"].tolist(), sample["y"].tolist()))
+    scored = score_toxicity(docs, toxicity_model(labelled_sample(docs, labels, fit_rows)))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans",
@@ -316,6 +368,5 @@ def drop_toxic(
 
     Cases as in :func:`score_toxicity`: NULL and empty texts stay.
     """
-    sample = labelled_sample(docs, labels, fit_rows, doc_id, text)
-    model = fit_noisy_or(sample["text"].tolist(), sample["y"].tolist())
+    model = toxicity_model(labelled_sample(docs, labels, fit_rows, doc_id, text))
     return rows_passing(docs, _Clean(model), text)

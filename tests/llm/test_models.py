@@ -1,6 +1,10 @@
 """Toxicity and language ID: held-out accuracy and defined odd cases."""
 
+import math
 import random
+import re
+import time
+import zlib
 
 import numpy as np
 
@@ -31,6 +35,69 @@ def test_noisy_or():
     assert np.allclose(got, [1 - (1 - p[0]) * (1 - p[1]), 0.0, p[2]])
 
 
+def plain_score(text, model):
+    """1 - prod(1 - p) over the sentences, word by word."""
+    clean, z, words = 1.0, model.bias, 0
+    for token in [*re.findall(r"[^\s]+|\n", text or ""), None]:
+        if token is not None:
+            z += sum(float(model.weights[c]) for c in toxicity.token_columns(token))
+            words += 1
+        if words and (token is None or token[-1] in ".!?\n…。！？"):
+            clean *= 1 - 1 / (1 + math.exp(-z))
+            z, words = model.bias, 0
+    return 1 - clean
+
+
+def test_query_equals_plain_loops_on_the_whole_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.toxicity_model(toxicity.labelled_sample(docs, labels))
+    assert model.weights.any()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.toxic_documents(docs, labels).collect():
+        want = plain_score(texts[r["doc_id"]], model)
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def plain_loss(bags, w, bias):
+    at = doc = sentence = 0
+    total = 0.0
+    for y, plain, n in zip(bags.labels, bags.plain, bags.sentences):
+        clean = (1 / (1 + math.exp(bias))) ** plain
+        for size in bags.sizes[sentence : sentence + n]:
+            clean *= 1 / (1 + math.exp(bias + sum(w[c] for c in bags.columns[at : at + size])))
+            at += size
+        sentence += n
+        total -= math.log(max(1e-12, 1 - clean if y else clean))
+        doc += 1
+    return total / doc
+
+
+def test_fit_follows_the_loss():
+    rnd = np.random.default_rng(1)
+    sentences = rnd.integers(0, 4, 60)
+    sizes = rnd.integers(1, 4, sentences.sum())
+    columns = rnd.integers(0, 5, sizes.sum())
+    labels = (rnd.random(60) < 0.4).astype(float)
+    bags = toxicity.Bags(labels, rnd.integers(0, 5, 60), sentences, sizes, columns)
+    start = np.zeros(5)
+    w, bias = toxicity.fit_noisy_or(bags, start, rounds=600, decay=0.0)
+    least = plain_loss(bags, w, bias)
+    assert least < plain_loss(bags, start, -2.0)
+    for k in range(6):  # no step in any direction does better
+        for h in (-0.05, 0.05):
+            moved = w + h * (np.arange(5) == k)
+            assert plain_loss(bags, moved, bias + h * (k == 5)) >= least - 1e-6
+
+
+def test_a_long_run_of_punctuation_takes_linear_time():
+    begin = time.process_time()
+    assert toxicity.stripped("a" + "-" * 1_000_000 + "b") == "a" + "-" * 1_000_000 + "b"
+    assert toxicity.stripped("-" * 1_000_000) == "" and toxicity.stripped("-(é1_)!") == "é1_"
+    toxicity.sentence_columns("a" + "-" * 1_000_000 + "b. c")
+    assert time.process_time() - begin < 5
+
+
 def toxic_rows(n):
     rows = []
     for i in range(n):
@@ -73,7 +140,7 @@ def test_words_of_few_toxic_documents_are_learned(spark, make_docs):
             else (i, sentence("en"), 0) for i in range(11_700)]
     docs = make_docs([(i, t) for i, t, _ in rows])
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
-    assert len(toxicity.labelled_sample(docs, labels)) > 7_500
+    assert toxicity.labelled_sample(docs, labels).count() > 7_500
     truth = {i for i, _, y in rows if y}
     held = [r for r in toxicity.toxic_documents(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["predicted"] for r in held) >= 0.8 * len(held)
