@@ -67,6 +67,50 @@ def lowest_ids(
     return keep_lowest(slim, keys, [F.col(n) for n in names], limit, salts).select(row_id)
 
 
+def keep_lowest_counted(
+    frame: DataFrame,
+    keys: Sequence[str],
+    number: Column,
+    tie: Sequence[Column],
+    limit: int,
+    width: int = 1024,
+) -> DataFrame:
+    """The first ``limit`` rows of every group by ``number``, a whole number, then ``tie``.
+
+    For limits of any size: rows are counted per range of ``width`` numbers, then per
+    number in the range with the cut, and all rows below the cut's number stay unranked.
+    Only rows of that one number are ranked.  A group's ranges, and the numbers of one
+    range, are counted on the map side and are few.  Keys may be NULL.  The frame is read
+    several times, so it should be a stored, narrow table.
+    """
+    placed = frame.withColumn("_number", number.cast("bigint"))
+    ranged = placed.withColumn("_range", F.floor(F.col("_number") / width).cast("bigint"))
+
+    def cuts(counted: DataFrame, at: str, before: Column) -> DataFrame:
+        """Per group the first ``at`` that reaches the limit, and the rows before it."""
+        upto = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counted.withColumn("_upto", F.sum("_c").over(upto) + before)
+        return summed.filter((F.col("_upto") >= limit) & (F.col("_upto") - F.col("_c") < limit)).select(
+            *keys, F.col(at).alias(f"{at}_cut"), (F.col("_upto") - F.col("_c")).alias(f"{at}_before")
+        )
+
+    count = F.count(F.lit(1)).alias("_c")
+    coarse = cuts(ranged.groupBy(*keys, "_range").agg(count), "_range", F.lit(0))
+    inside = _join(ranged.select(*keys, "_range", "_number"), coarse, keys).filter(
+        F.col("_range") == F.col("_range_cut")
+    )
+    fine = cuts(inside.groupBy(*keys, "_range_before", "_number").agg(count), "_number", F.col("_range_before"))
+    joined = _join(placed, fine, keys, "left")
+    # groups without a cut have fewer rows than the limit
+    below = joined.filter(F.col("_number_cut").isNull() | (F.col("_number") < F.col("_number_cut")))
+    ranks = Window.partitionBy(*keys).orderBy(*tie)
+    at_cut = joined.filter(F.col("_number") == F.col("_number_cut")).withColumn(
+        "_rank", F.row_number().over(ranks) + F.col("_number_before")
+    )
+    kept = below.unionByName(at_cut.filter(F.col("_rank") <= limit).drop("_rank"))
+    return kept.drop("_number", "_number_cut", "_number_before")
+
+
 def running_total(
     frame: DataFrame,
     keys: Sequence[str],
@@ -115,7 +159,7 @@ def running_total(
     return joined.withColumn(name, F.col("_in") + F.col("_o")).drop(*names, "_w", "_in", "_o")
 
 
-def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that treats NULL keys as equal."""
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") for c in on],
@@ -124,7 +168,7 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     condition = F.lit(True)
     for c in on:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, condition).drop(*[f"_r_{c}" for c in on])
+    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
 def next_in_group(

@@ -16,10 +16,12 @@ from rankwell.functions.hashing import (
 )
 from rankwell.functions.skew import (
     keep_lowest,
+    keep_lowest_counted,
     lowest_hash,
     lowest_hash_per_group,
     lowest_ids,
 )
+from rankwell.session import written
 
 PROBLEM = ("source", "problem_id")
 
@@ -125,8 +127,30 @@ def cap_per_problem(
 def cap_per_class(
     frame: DataFrame, limit: int, label: str = "time_class", row_id: str | None = "input_pos"
 ) -> DataFrame:
-    """Cap every class; rows without a label form a class of their own."""
-    return keep_lowest(frame, [label], hash_order(), limit, row_id=_id_in(frame, row_id))
+    """Cap every class; rows without a label form a class of their own.
+
+    Classes are few and their caps large, so rows are counted up to the cut, not ranked.
+    """
+    row_id = _id_in(frame, row_id)
+    number, key = hash_order()
+    if row_id is None:
+        return keep_lowest_counted(written(frame, "classes"), [label], number, [key], limit)
+    slim = written(frame.select(row_id, label, number.alias("_hash"), key.alias("_key")), "classes")
+    chosen = keep_lowest_counted(slim, [label], F.col("_hash"), [F.col("_key")], limit)
+    return frame.join(chosen.select(row_id), row_id, "left_semi")
+
+
+def decision_table(records: DataFrame, columns: Sequence[str] = (), position: str = "input_pos") -> DataFrame:
+    """What the reducers decide on, written once: id, keys, labels and the text's hash."""
+    chosen = [position, "source", *PROBLEM, "solution_id", "time_class", "space_class", *columns]
+    return written(
+        records.select(*dict.fromkeys(chosen), F.sha2("code", 256).alias("code_hash")), "decisions"
+    )
+
+
+def first_of_code(decisions: DataFrame, position: str = "input_pos") -> DataFrame:
+    """As :func:`exact_dedupe`, on a decision table."""
+    return keep_lowest(decisions, ["source", "code_hash"], [F.col(position)], 1)
 
 
 def with_split(frame: DataFrame, train_frac: float = 0.70, val_frac: float = 0.15) -> DataFrame:

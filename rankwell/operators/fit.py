@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
 )
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
-    HashingTF,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -22,28 +24,39 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions.ordinal import class_at, rank_of
 from rankwell.operators import judge, uncertain
 from rankwell.operators.curate import in_languages, known_classes_only, with_label
-from rankwell.session import shared_folder
+from rankwell.session import discard, shared_folder, written
 
 #: Words of two and more characters, Unicode letters included.
 TOKEN = r"(?U)\b\w\w+\b"
-HASH_FEATURES = 1 << 16
+#: N-grams of a text model at most, by document frequency, and the documents each needs.
+#: The bound keeps the coefficients on the driver at a fixed size.
+VOCABULARY = 1 << 16
+DOCUMENTS = 1
+#: Rows of a tree fit in one partition, about, and fits of a study at a time.
+FIT_ROWS = 50_000
+PARALLEL_FITS = 4
 
 
-def balanced(frame: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
-    """Add ``label_index`` and weights that make every class count the same.
+def class_weights(frame: DataFrame, label: str) -> DataFrame:
+    """(label, n, weight): weights with which every class counts the same.
 
-    Class counts are one row per class of a short fixed list.
+    One row per class of a short fixed list.
     """
-    counts = frame.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))
-    whole = totals.select(F.col("n") / F.col("k")).scalar()
-    weights = counts.select(label, (whole / F.col("_n")).alias("weight"))
+    counts = frame.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"))
+    whole = totals.select(F.col("rows") / F.col("k")).scalar()
+    return counts.select(label, "n", (whole / F.col("n")).alias("weight"))
+
+
+def balanced(frame: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
+    """Add ``label_index`` and the class's weight."""
+    weights = class_weights(frame, label).drop("n")
     return frame.join(F.broadcast(weights), label).withColumn(
         "label_index", rank_of(F.col(label), classes).cast("double")
     )
@@ -84,44 +97,65 @@ def _featured(frame: DataFrame, stages: Sequence) -> DataFrame:
     return vectors.drop("_grams", "_counts", "_scaled")
 
 
+def gram_stages(text: str) -> list:
+    """Words in lower case, and their pairs and triples."""
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_w1", pattern=TOKEN, gaps=False, toLowercase=True),
+        NGram(n=2, inputCol="_w1", outputCol="_w2"),
+        NGram(n=3, inputCol="_w1", outputCol="_w3"),
+    ]
+
+
+def vocabulary(
+    frame: DataFrame, text: str, most: int = VOCABULARY, documents: int = DOCUMENTS
+) -> DataFrame:
+    """(gram, df): the n-grams with the highest document frequencies, ties by the n-gram.
+
+    At most ``most``, each in ``documents`` documents or more.  An exact count over all
+    documents: one grouping, combined on the map side.
+    """
+    grams = _grams(frame.select(text), text, gram_stages(text))
+    counted = grams.select(F.explode(F.array_distinct("_grams")).alias("gram")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("df")
+    )
+    return counted.filter(F.col("df") >= documents).orderBy(F.desc("df"), "gram").limit(most)
+
+
+def smooth_idf(df: Column, n: Column) -> Column:
+    """ln((1 + n) / (1 + df)) + 1."""
+    return F.log((n + 1) / (df + 1)) + 1
+
+
 def fit_text(
     train: DataFrame,
     text: str,
     label: str,
     classes: Sequence[str],
-    vocabulary_bound: int | None = None,
+    most: int = VOCABULARY,
+    documents: int = DOCUMENTS,
     max_iter: int = 2000,
     tol: float = 1e-4,
 ) -> TextModel:
-    """Fit on labelled rows.
+    """Fit on labelled rows, over the exact vocabulary of at most ``most`` n-grams.
 
-    With ``vocabulary_bound`` (an alphabet bounds its n-grams) an exact vocabulary
-    is built; open text is hashed into 2^16 columns, so the model on the driver
-    does not grow with the corpus.  IDF is ln((1+n)/(1+df)) + 1.  The penalty is
-    1/n, the same objective as an inverse strength of 1 over summed losses.
+    IDF is ln((1+n)/(1+df)) + 1.  The penalty is 1/n, the same objective as an inverse
+    strength of 1 over summed losses.
     """
     rows = balanced(with_label(train, label), classes, label)
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_w1", pattern=TOKEN, gaps=False, toLowercase=True),
-        NGram(n=2, inputCol="_w1", outputCol="_w2"),
-        NGram(n=3, inputCol="_w1", outputCol="_w3"),
-    ]
-    grams = _grams(rows, text, stages)
-    if vocabulary_bound:
-        counter = CountVectorizer(
-            inputCol="_grams", outputCol="_counts", vocabSize=vocabulary_bound
-        ).fit(grams)
-    else:
-        counter = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=HASH_FEATURES)
-    counted = counter.transform(grams).persist()
+    stages = gram_stages(text)
+    known = vocabulary(rows, text, most, documents).collect() or [("", 0)]
+    counter = CountVectorizerModel.from_vocabulary(
+        [gram for gram, _ in known], inputCol="_grams", outputCol="_counts"
+    )
+    counted = counter.transform(_grams(rows, text, stages)).persist()
     try:
-        idf = IDF(inputCol="_counts", outputCol="_scaled").fit(counted)
-        scale = DenseVector(idf.idf.toArray() + 1.0)
+        n = counted.count()
+        scale = DenseVector([math.log((n + 1) / (df + 1)) + 1 for _, df in known])
         scaler = ElementwiseProduct(scalingVec=scale, inputCol="_counts", outputCol="_scaled")
         normalizer = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
         learner = LogisticRegression(
             featuresCol="features", labelCol="label_index", weightCol="weight",
-            family="auto", maxIter=max_iter, tol=tol, regParam=1.0 / max(1, counted.count()),
+            family="auto", maxIter=max_iter, tol=tol, regParam=1.0 / max(1, n),
             elasticNetParam=0.0, standardization=False,
         )
         model = learner.fit(normalizer.transform(scaler.transform(counted)))
@@ -155,14 +189,14 @@ class TreeModel:
         )
 
     def importance(self, spark) -> DataFrame:
-        """(feature, importance): gain-based, averaged over the one-against-rest models."""
-        parts = getattr(self.model, "models", [self.model])
-        sums = [0.0] * len(self.features)
-        for part in parts:
-            for i, value in enumerate(part.featureImportances.toArray()):
-                sums[i] += float(value) / len(parts)
+        """(feature, importance): the number of splits on it in all trees."""
+        splits = [0.0] * len(self.features)
+        for part in getattr(self.model, "models", [self.model]):
+            # every split is printed once, with the side that goes left
+            for number in re.findall(r"If \(feature (\d+) ", part.toDebugString):
+                splits[int(number)] += 1.0
         return spark.createDataFrame(
-            list(zip(self.features, sums, strict=True)), "feature string, importance double"
+            list(zip(self.features, splits, strict=True)), "feature string, importance double"
         )
 
 
@@ -175,13 +209,16 @@ def fit_trees(
     depth: int = 5,
 ) -> TreeModel:
     """Boosted trees on a feature subset; a depth of 5 allows 32 leaves."""
-    rows = assembled(balanced(with_label(train, label), classes, label), features)
+    rows = balanced(with_label(train, label), classes, label)
     booster = GBTClassifier(
         featuresCol="features", labelCol="label_index", weightCol="weight",
-        maxIter=rounds, maxDepth=depth, seed=7,
+        maxIter=rounds, maxDepth=depth, seed=7, cacheNodeIds=True,
     )
     shared_folder(train.sparkSession)  # every tenth round is checkpointed there
-    kept = rows.select("features", "label_index", "weight").persist()
+    narrow = written(rows.select(*features, "label_index", "weight"), "training")
+    # every round is a few jobs over all rows: small tables in few tasks
+    parts = max(1, -(-narrow.count() // FIT_ROWS))
+    kept = assembled(narrow, features).select("features", "label_index", "weight").repartition(parts).persist()
     try:
         if len(classes) == 2:
             model = booster.fit(kept)
@@ -192,9 +229,54 @@ def fit_trees(
             ).fit(kept)
     finally:
         kept.unpersist()
+        discard(narrow)
     return TreeModel(model, tuple(features), tuple(classes))
 
 
+def split_histogram(
+    rows: DataFrame, label_index: str, weight: str, features: Sequence[str], bins: int = 255
+) -> DataFrame:
+    """(feature, upto, total, positive): weighted sums per feature and bin of its values.
+
+    Bins end at quantiles, so a feature has ``bins`` of them at most; one grouping sums all
+    features at once.
+    """
+    shares = [k / bins for k in range(1, bins + 1)]
+    ends = rows.agg(*[F.array_distinct(F.percentile_approx(f, shares, 100_000)).alias(f) for f in features])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
+    table = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"ends of {f}"))])
+    joined = rows.select(cells.alias("cells"), label_index, weight).crossJoin(
+        F.broadcast(ends.select(*[F.col(f).alias(f"ends of {f}") for f in features]))  # one row
+    )
+    valued = joined.select(F.inline("cells"), table.alias("ends"), label_index, weight)
+    upto = F.array_min(F.filter(F.element_at("ends", F.col("feature")), lambda end: end >= F.col("value")))
+    return valued.select("feature", upto.alias("upto"), label_index, weight).groupBy("feature", "upto").agg(
+        F.sum(weight).alias("total"), F.sum(F.col(weight) * F.col(label_index)).alias("positive")
+    )
+
+
+def best_splits(histogram: DataFrame) -> DataFrame:
+    """(feature, upto, gain): per feature the split of highest gain, ties to the lower end.
+
+    The gain is the fall of the weighted variance of a 0/1 label.  Features without a
+    split are left out.  The histogram has a bounded number of rows per feature.
+    """
+    before = Window.partitionBy("feature").orderBy("upto")
+    whole = Window.partitionBy("feature")
+    summed = histogram.select(
+        "feature", "upto", F.sum("total").over(before).alias("l"), F.sum("positive").over(before).alias("lp"),
+        F.sum("total").over(whole).alias("n"), F.sum("positive").over(whole).alias("p"),
+        F.max("upto").over(whole).alias("last"),
+    ).filter(F.col("upto") < F.col("last"))
+    square = lambda total, n: total * total / n
+    gain = (
+        square(F.col("lp"), F.col("l")) + square(F.col("p") - F.col("lp"), F.col("n") - F.col("l"))
+        - square(F.col("p"), F.col("n"))
+    )
+    best = F.max_by(F.struct("upto", "gain"), F.struct(F.round("gain", 9), -F.col("upto")))
+    return summed.withColumn("gain", gain).groupBy("feature").agg(best.alias("b")).select("feature", "b.*")
+
+
 def top_importances(importance: DataFrame, most: int = 10) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(most)
 
@@ -222,9 +304,16 @@ def family_ablation(
         f"without_{name}": [f for f in features if f not in members]
         for name, members in families.items()
     }
+    # the fits do not depend on one another, so their jobs fill the cluster together
+    train, test = (written(frame.select(label, *features), "ablation") for frame in (train, test))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fits = {
+            name: pool.submit(inheritable_thread_target(train.sparkSession)(fit_trees), train, label, classes, chosen, rounds)
+            for name, chosen in variants.items()
+        }
+        models = {name: done.result() for name, done in fits.items()}
     results = None
-    for name, chosen in variants.items():
-        model = fit_trees(train, label, classes, chosen, rounds)
+    for name, model in models.items():
         scored = judge.metrics(model.score(with_label(test, label)), classes, label=label)
         named = scored.select(F.lit(name).alias("name"), "*")
         results = named if results is None else results.unionByName(named)
@@ -236,13 +325,13 @@ def text_ablation(
     test: DataFrame,
     label: str,
     classes: Sequence[str],
-    inputs: Mapping[str, tuple[str, int | None]],
+    inputs: Mapping[str, str],
     max_iter: int = 2000,
 ) -> DataFrame:
-    """The same text model on several inputs: name -> (column, vocabulary bound)."""
+    """The same text model on several inputs: name -> column."""
     results = None
-    for name, (column, bound) in inputs.items():
-        model = fit_text(train, column, label, classes, bound, max_iter)
+    for name, column in inputs.items():
+        model = fit_text(train, column, label, classes, max_iter=max_iter)
         scored = judge.metrics(model.score(with_label(test, label)), classes, label=label)
         named = scored.select(F.lit(name).alias("name"), "*")
         results = named if results is None else results.unionByName(named)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions.ordinal import class_array, literal_map
@@ -469,14 +469,48 @@ def structure_signature(nodes: DataFrame, edges: DataFrame, position: str = "pos
     )
 
 
-def symbol_text(indexed: DataFrame, piece: int = 1024) -> DataFrame:
-    """Symbols in document order as text, in numbered pieces of at most ``piece`` symbols."""
+#: Symbols of one text at most, and of one task of :func:`symbol_grams`.
+TEXT_SYMBOLS = 1 << 20
+
+
+def symbol_text(indexed: DataFrame, piece: int = TEXT_SYMBOLS) -> DataFrame:
+    """The symbols of each graph in document order as one text.
+
+    Only graphs of more than ``piece`` symbols have several, numbered ones.
+    """
     symbols = F.array_sort(F.collect_list(F.struct("position", "symbol")))
     return indexed.groupBy(
         "graph_id", F.floor(F.col("position") / piece).alias("piece")
     ).agg(F.array_join(F.transform(symbols, lambda s: s["symbol"]), " ").alias("text"))
 
 
+def symbol_grams(indexed: DataFrame, piece: int = TEXT_SYMBOLS) -> DataFrame:
+    """(graph_id, gram, n): single symbols, pairs and triples of whole graphs.
+
+    A graph is cut into pieces, and each takes the first two symbols of the next one
+    along, so no n-gram is lost at a cut.
+    """
+    if piece < 2:
+        raise ValueError("a piece holds two symbols or more")
+    cut = indexed.select(
+        "graph_id", "position", "symbol", F.floor(F.col("position") / piece).alias("piece")
+    )
+    at = F.col("position") % piece
+    heads = cut.filter(at < 2).groupBy("graph_id", (F.col("piece") - 1).alias("piece")).agg(
+        F.max(F.when(at == 0, F.col("symbol"))).alias("first"), F.max(F.when(at == 1, F.col("symbol"))).alias("second")
+    )
+    inside = Window.partitionBy("graph_id", "piece").orderBy("position")
+    led = cut.withColumns({"one": F.lead("symbol", 1).over(inside), "two": F.lead("symbol", 2).over(inside)})
+    joined = led.join(heads, ["graph_id", "piece"], "left")
+    one = F.coalesce("one", "first")
+    two = F.coalesce(F.col("two"), F.when(F.col("one").isNull(), F.col("second")).otherwise(F.col("first")))
+    grams = F.array(F.col("symbol"), F.concat_ws(" ", "symbol", one), F.concat_ws(" ", "symbol", one, two))
+    n = F.when(two.isNotNull() & one.isNotNull(), 3).when(one.isNotNull(), 2).otherwise(1)
+    return joined.select("graph_id", F.explode(F.slice(grams, 1, n)).alias("gram")).groupBy("graph_id", "gram").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 # ------------------------------------------------------------------ summaries
 def symbol_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id", "symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from rankwell.operators.curate import (
     cap_per_class,
     cap_per_problem,
-    exact_dedupe,
+    decision_table,
+    first_of_code,
     structure_dedupe,
     with_split,
 )
@@ -24,14 +25,18 @@ def build_corpus(
 ) -> DataFrame:
     """Exact dedupe, then the optional reducers, then the split column.
 
-    The order is part of the result.  Structure dedupe needs a ``signature``
+    The order is part of the result.  All reducers decide on one narrow table, which is
+    written once, so ``records`` are read twice: for that table, and for the rows that
+    stay.  Their ``input_pos`` is unique and the same in both reads.  Structure dedupe needs a ``signature``
     column; see :func:`rankwell.operators.graph.structure_signature`.
     """
-    kept = exact_dedupe(records)
+    decisions = decision_table(records, ["signature"] if dedupe_structure else [])
+    kept = first_of_code(decisions)
     if dedupe_structure:
-        kept = structure_dedupe(kept)
+        kept = structure_dedupe(kept, row_id=None)
     if max_per_problem is not None:
-        kept = cap_per_problem(kept, max_per_problem)
+        kept = cap_per_problem(kept, max_per_problem, row_id=None)
     if max_per_class is not None:
-        kept = cap_per_class(kept, max_per_class)
-    return with_split(kept, train_frac, val_frac)
+        kept = cap_per_class(kept, max_per_class, row_id=None)
+    chosen = records.join(kept.select("input_pos"), "input_pos", "left_semi")
+    return with_split(chosen, train_frac, val_frac)

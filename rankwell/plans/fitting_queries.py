@@ -12,6 +12,7 @@ from rankwell.operators import fit, judge, serve
 from rankwell.operators.curate import with_split
 from rankwell.plans.adapters import corpus, table, with_views
 from rankwell.plans.catalog import query
+from rankwell.plans.curation_queries import SPLIT_SQL
 from rankwell.plans.judging_queries import rounded
 
 CLASSES = ("0", "1")
@@ -87,6 +88,56 @@ def _text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(judge.metrics(model.score(splits["test"]), CLASSES, label="time_class"), *METRICS)
 
 
+_TRAIN = f"""{_FEATURES}, train AS (SELECT * FROM feats WHERE {SPLIT_SQL} = 'train' AND time_class IS NOT NULL)"""
+_WEIGHTS_SQL = """weights AS (SELECT time_class, count(*) AS n,
+    (SELECT count(*) / count(DISTINCT time_class) FROM train) / count(*) AS weight FROM train GROUP BY 1)"""
+
+
+@query("class_weights", "M1", "M2", sql=with_views(
+    f"""{_TRAIN}, {_WEIGHTS_SQL} SELECT time_class, n, round(weight, 9) AS weight FROM weights""", "corpus"))
+def _class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.class_weights(labelled(spark, sf_dir)["train"], "time_class").withColumn(
+        "weight", F.round("weight", 9)
+    )
+
+
+@query("ngram_vocabulary", "M1", "M4", sql=with_views(
+    f"""{_TRAIN}, w AS (SELECT solution_id,
+      regexp_extract_all(lower(code), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_][\\p{{L}}\\p{{M}}\\p{{Nd}}_]+') AS w FROM train),
+    g AS (SELECT DISTINCT solution_id, unnest(list_concat(w,
+      list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w)
+    SELECT gram, count(*) AS df, round(ln(((SELECT count(*) FROM train) + 1) / (count(*) + 1)) + 1, 9) AS idf
+    FROM g GROUP BY gram ORDER BY df DESC, gram LIMIT {fit.VOCABULARY}""", "corpus"))
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = labelled(spark, sf_dir)["train"]
+    n = train.agg(F.count(F.lit(1))).scalar()
+    return fit.vocabulary(train, "code").select(
+        "gram", "df", F.round(fit.smooth_idf(F.col("df"), n), 9).alias("idf")
+    )
+
+
+@query("first_splits", "M2", "M12", sql=with_views(
+    f"""{_TRAIN}, {_WEIGHTS_SQL}, v AS (UNPIVOT (SELECT time_class, weight, {', '.join(TEXT_FEATURES)}
+      FROM train JOIN weights USING (time_class)) ON {', '.join(TEXT_FEATURES)} INTO NAME feature VALUE value),
+    e AS (SELECT feature, unnest(list_distinct(quantile_disc(value, {[k / 255 for k in range(1, 256)]}))) AS upto
+      FROM v GROUP BY feature),
+    h AS (SELECT v.feature, (SELECT min(upto) FROM e WHERE e.feature = v.feature AND upto >= value) AS upto,
+      weight, time_class FROM v),
+    b AS (SELECT feature, upto, sum(weight) AS t, sum(weight * time_class::INT) AS p FROM h GROUP BY 1, 2),
+    c AS (SELECT feature, upto, sum(t) OVER w AS l, sum(p) OVER w AS lp, sum(t) OVER a AS n, sum(p) OVER a AS p,
+      max(upto) OVER a AS last FROM b
+      WINDOW w AS (PARTITION BY feature ORDER BY upto), a AS (PARTITION BY feature)),
+    g AS (SELECT feature, upto, lp * lp / l + (p - lp) * (p - lp) / (n - l) - p * p / n AS gain
+      FROM c WHERE upto < last)
+    SELECT feature, upto, round(gain, 6) AS gain FROM g
+    QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, upto) = 1""", "corpus"))
+def _first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fit.balanced(labelled(spark, sf_dir)["train"], CLASSES, "time_class")
+    histogram = fit.split_histogram(train, "label_index", "weight", TEXT_FEATURES)
+    return fit.best_splits(histogram).withColumn("gain", F.round("gain", 6))
+
+
 @query("tree_model", "M2")
 def _tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
@@ -106,8 +157,7 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("symbols_vs_tokens_ablation", "M4")
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = labelled(spark, sf_dir)
-    # 13 shape words bound the vocabulary at 13 + 13^2 + 13^3 grams
-    inputs = {"ir_symbol_tfidf": ("shape", 13 + 13**2 + 13**3), "raw_token_tfidf": ("code", None)}
+    inputs = {"ir_symbol_tfidf": "shape", "raw_token_tfidf": "code"}
     results = fit.text_ablation(splits["train"], splits["test"], "time_class", CLASSES, inputs, ITERATIONS)
     return rounded(results, *METRICS)
 

@@ -220,10 +220,20 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("symbol_sequence_text", "X7", sql=with_views(
-    f"""{_INDEX} SELECT graph_id, position // 32 AS piece,
+    f"""{_INDEX} SELECT graph_id, position // {graph.TEXT_SYMBOLS} AS piece,
       string_agg(symbol, ' ' ORDER BY position) AS text FROM idx GROUP BY 1, 2""", "tree"))
 def _symbol_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.symbol_text(graph.local_index(nodes(spark, sf_dir)), piece=32)
+    return graph.symbol_text(graph.local_index(nodes(spark, sf_dir)))
+
+
+@query("symbol_gram_counts", "X7", "M4", sql=with_views(
+    f"""{_INDEX}, l AS (SELECT graph_id, symbol AS a, lead(symbol) OVER w AS b, lead(symbol, 2) OVER w AS c FROM idx
+      WINDOW w AS (PARTITION BY graph_id ORDER BY position)),
+    g AS (SELECT graph_id, a AS gram FROM l UNION ALL SELECT graph_id, a || ' ' || b FROM l WHERE b IS NOT NULL
+      UNION ALL SELECT graph_id, a || ' ' || b || ' ' || c FROM l WHERE c IS NOT NULL)
+    SELECT graph_id, gram, count(*) AS n FROM g GROUP BY 1, 2""", "tree"))
+def _symbol_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.symbol_grams(graph.local_index(nodes(spark, sf_dir)))
 
 
 @query("symbol_histogram", "D27", sql=with_views(

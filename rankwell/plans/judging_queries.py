@@ -458,8 +458,7 @@ def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("experiment_readout", "D29", sql=with_views(
     f"""m AS ({metrics_sql('''(SELECT dimension || '/' || predictor || '/' || certainty AS name,
-        label, answer FROM answers WHERE dimension = 'time' AND label IS NOT NULL
-        AND answer IS NOT NULL)''', P, 'name')}),
+        label, answer FROM answers WHERE dimension = 'time' AND label IS NOT NULL)''', P, 'name')}),
     base AS (SELECT macro_f1 AS f FROM m WHERE name = 'time/rule/certain')
     SELECT (SELECT arg_max(name, (macro_f1, name)) FROM m) AS winner,
       (SELECT max(macro_f1) FROM m) AS winner_macro_f1,

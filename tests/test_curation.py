@@ -157,3 +157,38 @@ def test_case_violations(spark):
         ("Bad", "bad_expression"), ("Bad", "missing_language"), ("Bad", "empty_source"),
         ("Bad", "stray_override"), ("Bad", "bad_override_class"), ("Bad", "unexplained_override"),
     }
+
+
+def test_counted_selection_equals_a_sort(spark):
+    import random
+
+    from rankwell.functions.skew import keep_lowest_counted
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([rnd.randrange(5000), 7, 8]), i) for i in range(3000)]
+    rows += [("few", 1, -1), ("few", 5000, -2)]
+    table = spark.createDataFrame(rows, "g string, n long, id long")
+    for limit in (1, 40, 500, 2500):
+        want = {
+            r for g in ("a", "b", "few", None) for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])[:limit]
+        }
+        got = keep_lowest_counted(table, ["g"], F.col("n"), [F.col("id")], limit, width=64)
+        assert {tuple(r) for r in got.collect()} == want and got.columns == table.columns
+
+
+def test_build_reads_the_texts_twice(spark, tmp_path):
+    rows = [record(i, problem=f"p{i % 7}", code=f"c{i % 90}", signature=str(i % 11), time="O(n)" if i % 3 else None)
+            for i in range(200)]
+    frame(spark, rows).write.parquet(str(tmp_path / "records"))
+    records = spark.read.parquet(str(tmp_path / "records"))
+    built = build_corpus(records, dedupe_structure=True, max_per_problem=12, max_per_class=50)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    # the other read made the table of decisions, which holds no text
+    tables = [line for line in plan.splitlines() if "Relation [" in line]
+    assert sum("code#" in line for line in tables) == 1
+    kept = built.collect()
+    want = curate.exact_dedupe(records)
+    want = curate.structure_dedupe(want)
+    want = curate.cap_per_problem(want, 12)
+    want = {r.input_pos for r in curate.keep_lowest(want, ["time_class"], curate.hash_order(), 50).collect()}
+    assert {r.input_pos for r in kept} == want

@@ -317,3 +317,19 @@ def test_label_spread_writes_changes_only(spark):
     want = {i: min(label[j] for j in range(i, 300)) for i in range(300)}
     assert {r.node_id: r.label for r in got.collect()} == want
     assert len(rows) < 60 and sum(rows) < 300 * len(rows) / 3  # not 300 rounds, not all rows
+
+
+@pytest.mark.parametrize("piece", [2, 3, 1000])
+def test_no_gram_is_lost_at_a_cut(spark, piece):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(piece)
+    rows, want = [], Counter()
+    for g, size in enumerate((1, 2, 3, 20, 41)):
+        symbols = [rnd.choice("ABC") for _ in range(size)]
+        rows += [(g, i, s) for i, s in enumerate(symbols)]
+        want.update((g, " ".join(symbols[i : i + k])) for k in (1, 2, 3) for i in range(size - k + 1))
+    placed = spark.createDataFrame(rows, "graph_id long, position long, symbol string")
+    got = {(r.graph_id, r.gram): r.n for r in graph.symbol_grams(placed, piece).collect()}
+    assert got == dict(want)

@@ -1,6 +1,7 @@
 """Text variants, the limiter and the metrics."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import text
 from rankwell.functions import variants as tv
 from rankwell.operators import serve, variants
-from rankwell.streaming import metrics
+from rankwell.streaming import limiter, metrics
 from rankwell.streaming.limiter import Bucket, limit_requests, limit_stream
 from rankwell.streaming.scoring import run_to_folder
 
@@ -126,3 +127,70 @@ def test_top_contributions(spark):
     scales = F.create_map(F.lit("b"), F.lit(6.0))
     got = frame.select(serve.top_contributions(frame, ["a", "b", "c"], weights, scales).alias("x")).first().x
     assert [tuple(r) for r in got] == [("a", 1.0), ("b", 0.25)]
+
+
+def test_block_maps_equal_a_walk_from_every_credit():
+    rng = random.Random(5)
+    for _ in range(200):
+        credit = limiter.Credit.of(Bucket(capacity=rng.choice([1, 2.5, 4]), refill=rng.choice([0.5, 0.3]), time_scale=1e-5))
+        times = [rng.randrange(300)]
+        for _ in range(rng.randrange(40)):
+            times.append(times[-1] + rng.choice([0, 0, 3, 11, 40]))
+        whole = limiter.block_map(times, credit)
+        cut = rng.randrange(len(times) + 1)
+        gap = [times[cut - 1]] if 0 < cut < len(times) else []
+        parts = [limiter.block_map(times[:cut], credit)] + (
+            [limiter._gap_map(gap, times[cut:], credit)] if cut < len(times) else [])
+        for start in [0, credit.full, *(rng.randrange(credit.full + 1) for _ in range(60))]:
+            want = credit.decided(times, start, None)[1]
+            assert limiter.mapped(whole, start) == want
+            through = start
+            for part in parts:
+                through = limiter.mapped(part, through)
+            assert through == want
+            if len(parts) == 2:
+                assert limiter.mapped(limiter.composed(*parts), start) == want
+
+
+def test_block_maps_stay_short():
+    rng = random.Random(6)
+    credit = limiter.Credit.of(Bucket(capacity=20.0, refill=0.5))
+    for widest in (400_000, 1_000_000, 4_000_000):
+        times = [0]
+        for _ in range(4000):
+            times.append(times[-1] + rng.randrange(widest))
+        assert len(limiter.block_map(times, credit)) <= 22
+
+
+def test_one_client_of_a_million_requests_is_spread(spark):
+    """A client that never pauses, among others: sixteen ranges, the flags of one walk."""
+    n = 1_000_000
+    log = spark.range(n, numPartitions=8).selectExpr(
+        "id AS event_id", "IF(id % 50 = 0, concat('u', id % 7), 'hot') AS user_id",
+        "timestamp_micros(id * 400000 + (id * id) % 1000) AS ts", "id % 11 <> 0 AS counts")
+    bucket = Bucket(capacity=20.0, refill=0.5)
+    got = limiter.limit_requests(log, bucket, parts=16)
+    seen = []
+    original = limiter.written
+
+    def watching(frame, name):
+        out = original(frame, name)
+        if name == "requests":
+            seen.append(out.filter("owner = 'hot'").select("part").distinct().count())
+        return out
+
+    limiter.written = watching
+    try:
+        got = limiter.limit_requests(log, bucket, parts=16)
+    finally:
+        limiter.written = original
+    assert seen and seen[0] >= 15
+    credit = limiter.Credit.of(bucket)
+    times = {}
+    for i in range(n):
+        if i % 11:
+            times.setdefault(f"u{i % 7}" if i % 50 == 0 else "hot", []).append(i * 400000 + (i * i) % 1000)
+    want = {u: sum(credit.decided(sorted(t), credit.full, None)[0]) for u, t in times.items()}
+    counted = got.filter("counts").groupBy("user_id").agg(F.count_if("allowed").alias("n")).collect()
+    assert {r.user_id: r.n for r in counted} == want
+    assert got.filter("NOT counts AND NOT allowed").isEmpty() and got.count() == n
