@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,6 @@ from rankwell.session import written
 
 #: Share of the content of a page that its container must hold; scraps are the rest.
 COVERAGE = 0.95
-#: A class says nothing against an element that holds more than this share of a page.
-MOST = 0.5
 
 # Element names of the HTML standard, and words of class names.
 _VOID = frozenset(
@@ -58,9 +59,17 @@ _PAGE_WORDS = frozenset(
     " topbar widget widgets".split()
 )
 
+_FRAME_WORDS = frozenset(
+    "area articles bar block bottom box button buttons caption cell col column container content count desktop"
+    " fixed form group icon icons inline inner item items left link links list main message mobile module outer"
+    " panel post posts row section site sticky stories story text thread title top total user users wrap wrapper"
+    " page right small large the a of and number on".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # a quote opens a value right after an equals sign only
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(
@@ -72,6 +81,17 @@ _DIGITS = re.compile(r"\d+")
 _BLANKS = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=100_000)
+def speaks_against(name: str, in_article: bool) -> bool:
+    """Whether a class or id names boilerplate or comments, and nothing besides but its frame.
+
+    So ``comments-area`` does, and ``has-comments``, ``comments-open`` and ``related-work`` do not.
+    """
+    words = {w.lower() for w in _CLASS_WORD.findall(name) if not w.isdigit()}
+    told = _PAGE_WORDS | _COMMENT_WORDS if in_article else _PAGE_WORDS | _COMMENT_WORDS | _HEADER_WORDS
+    return bool(words & told) and words <= told | _FRAME_WORDS
+
+
 @dataclass
 class Node:
     """One element: its place, what speaks against it, and what it holds."""
@@ -82,6 +102,7 @@ class Node:
     dropped: bool
     doubtful: bool
     named: bool
+    inside: bool = False
     text: int = 0
     content: int = 0
     links: int = 0
@@ -109,6 +130,7 @@ class Page:
         self.nodes = [Node(-1, "", "", False, False, False)]
         self.blocks: list[Block] = []
         self._open = [0]
+        self._tags: Counter[str] = Counter([""])
         self._links = 0
         self._block = Block(0)
         at = 0
@@ -170,27 +192,29 @@ class Page:
         above = self.nodes[parent]
         attributes = _attributes(source) if source.strip() else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        words = {w.lower() for w in _CLASS_WORD.findall(names)}
-        in_article = above.named or any(self.nodes[n].named for n in self._open)
+        in_article = above.inside
         top = tag in ("html", "body")
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(
             r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")
         ) is not None
         role = attributes.get("role", "")
         dropped = not top and (
-            tag in _DROPPED or tag in _RAW or hidden or bool(words & _COMMENT_WORDS)
+            tag in _DROPPED or tag in _RAW or hidden
             or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
             or (tag == "header" and not in_article)
         )
-        doubtful = not top and tag not in _ARTICLE and (
-            bool(words & _PAGE_WORDS) or (bool(words & _HEADER_WORDS) and not in_article)
+        doubtful = not top and tag not in _ARTICLE and any(
+            speaks_against(name, in_article) for name in names.split()
         )
         named = tag in _ARTICLE or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
         label = tag + "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(attributes.get("class", "").split()))
+        # a path is a hash of fixed length, however deep it is
+        path = blake2b(f"{above.path}>{label}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
         self.nodes.append(
-            Node(parent, tag, f"{above.path}>{label}", above.dropped or dropped, doubtful, named, depth=above.depth + 1)
+            Node(parent, tag, path, above.dropped or dropped, doubtful, named, in_article or named, depth=above.depth + 1)
         )
         self._open.append(len(self.nodes) - 1)
+        self._tags[tag] += 1
         if tag in _BLOCK:
             self._block = Block(self._open[-1])
         elif dropped:
@@ -206,10 +230,11 @@ class Page:
             return
         if tag in _BLOCK:
             self._break()
-        if not any(self.nodes[n].tag == tag for n in self._open):
+        if not self._tags[tag]:
             return
         while True:
             node = self._open.pop()
+            self._tags[self.nodes[node].tag] -= 1
             if self.nodes[node].tag in _BLOCK or self.nodes[node].dropped:
                 self._break()
             if self.nodes[node].tag == tag:
@@ -223,30 +248,42 @@ class Page:
         for node in reversed(self.nodes[1:]):
             self.nodes[node.parent].text += node.text
             self.nodes[node.parent].links += node.links
-        # a class name counts against an element unless most of the page stands in it;
-        # beside an article or main it always does
-        within = [n.named for n in self.nodes]
-        holds = list(within)
-        for i in range(1, len(self.nodes)):
-            within[i] = within[i] or within[self.nodes[i].parent]
+        # a class name says nothing against what holds an article
+        holds = [n.named for n in self.nodes]
         for i in range(len(self.nodes) - 1, 0, -1):
             holds[self.nodes[i].parent] |= holds[i]
-        has_main = any(n.named and n.text and not n.dropped for n in self.nodes)
-        whole = self.nodes[0].text - sum(
-            n.text for n in self.nodes[1:] if n.dropped and not self.nodes[n.parent].dropped
-        )
+        certain = [n.dropped for n in self.nodes]
+        own = self._own_words()
         for i, node in enumerate(self.nodes[1:], 1):
-            above = self.nodes[node.parent].dropped
-            list_of_links = node.tag in ("ul", "ol", "dl") and node.text and node.links > 0.9 * node.text
-            beside = has_main and not within[i] and not holds[i]
-            against = node.doubtful and (beside or node.text <= MOST * whole)
-            node.dropped = node.dropped or above or against or bool(list_of_links)
+            certain[i] = certain[i] or certain[node.parent] or self._is_menu(i, own)
+            node.dropped = certain[i] or self.nodes[node.parent].dropped or (node.doubtful and not holds[i])
+        if not any(not self.nodes[b.node].dropped for b in self.blocks):
+            # where class names would take all, they are not believed
+            for node, drop in zip(self.nodes, certain, strict=True):
+                node.dropped = drop
         for block in self.blocks:
             if not self.nodes[block.node].dropped:
                 self.nodes[block.node].content += len(block.parts[0])
         for node in reversed(self.nodes[1:]):
             self.nodes[node.parent].content += node.content
 
+    def _own_words(self) -> dict[int, tuple[int, int]]:
+        """First and last child of each element with words that are no links."""
+        own: dict[int, tuple[int, int]] = {}
+        for i, node in enumerate(self.nodes[1:], 1):
+            if node.text > node.links:
+                first, _ = own.get(node.parent, (i, i))
+                own[node.parent] = first, i
+        return own
+
+    def _is_menu(self, i: int, own: dict[int, tuple[int, int]]) -> bool:
+        """A list of links outside an article, unless it stands between other words."""
+        node = self.nodes[i]
+        if node.tag not in ("ul", "ol", "dl") or node.inside or not node.text or node.links <= 0.9 * node.text:
+            return False
+        first, last = own.get(node.parent, (i, i))
+        return not first < i < last
+
     def proposal(self) -> tuple[int, list[int]]:
         """The deepest element beside which only scraps stand, and these scraps."""
         nodes = self.nodes
@@ -280,12 +317,12 @@ class Page:
         if not holders:
             return self.proposal()[1]
         kept = [False] * len(self.nodes)
+        around = [i in holders for i in range(len(self.nodes))]
         for i, node in enumerate(self.nodes):
             kept[i] = i in holders or (node.parent >= 0 and kept[node.parent])
-        return [
-            i for i, n in enumerate(self.nodes)
-            if n.path in rejected and not kept[i] and not f"{agreed}>".startswith(f"{n.path}>")
-        ]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            around[self.nodes[i].parent] |= around[i]
+        return [i for i, n in enumerate(self.nodes) if n.path in rejected and not kept[i] and not around[i]]
 
     def text(self, container: int, without: Sequence[int] = ()) -> str:
         """Blocks inside the container; nothing of the elements ``without``."""

@@ -92,3 +92,49 @@ def test_a_host_keeps_siblings_at_its_path(spark):
 
 def test_an_advert_longer_than_a_short_article_goes():
     assert extracted(f"<body><div class='ad'>{MAIN}</div><article><p>Short.</p></article></body>") == "Short."
+
+
+def kept(page):
+    p = Page(page)
+    return p.text(0, p.outvoted(None, frozenset()))
+
+
+def test_a_stray_quote_opens_nothing():
+    page = "<p>Start.</p><p title=it's>One.</p><p>Two here.</p><p>Three don't lose this.</p>"
+    assert kept(page) == "Start.\nOne.\nTwo here.\nThree don't lose this."
+    assert kept("<p a=\"x>y\" b='>' c = \"d\">In.</p><p \">Out.</p><p a=\"never closed>On.</p>") == "In.\nOut.\nOn."
+
+
+def test_class_words_take_no_article():
+    for page in (
+        f"<article class='post comments-open'><p>{MAIN}</p></article>",
+        f"<div id='content' class='has-comments'><p>{MAIN}</p></div>",
+        f"<div class='comments'><article><p>{MAIN}</p></article></div>",
+        f"<div class='with-sidebar no-ads'><p>{MAIN}</p></div>",
+    ):
+        assert kept(page) == MAIN
+    work = "<article><p>One.</p><section class='related-work'><p>Two.</p></section><p>Three.</p></article>"
+    assert kept(work) == "One.\nTwo.\nThree."
+
+
+def test_boilerplate_goes_whatever_its_size():
+    long = "<p>Some reader says a lot about this. </p>" * 50
+    for name in ("comments", "comment-list", "commentsArea", "related-posts", "cookie-notice", "share-buttons", "sidebar2"):
+        assert kept(f"<div><p>{MAIN}</p></div><div class='{name}'>{long}</div>") == MAIN
+
+
+def test_lists_of_links_in_an_article_stay():
+    links = "<ul><li><a href='/a'>One source</a></li><li><a href='/b'>Another source</a></li></ul>"
+    assert kept(f"<article><p>Before.</p>{links}<p>After.</p></article>") == "Before.\nOne source\nAnother source\nAfter."
+    assert kept(f"<div><p>Before.</p>{links}<p>After.</p></div>") == "Before.\nOne source\nAnother source\nAfter."
+    assert kept(f"<div>{links}<p>After.</p></div>") == "After."
+
+
+def test_depth_and_strays_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    assert kept("<div>" * 40_000 + "deep") == "deep"
+    assert kept("<p>x</span></b>" * 20_000).count("x") == 20_000
+    assert kept("<p a=\"" * 5_000 + "end") == ""
+    assert time.process_time() - begin < 20
