@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from rankwell.llm.common import slim
 MEMO = 500_000
 #: Cells of one matrix, so that memory stays bounded whatever a batch holds.
 CELLS = 1 << 20
+#: Bytes of a piece from which its pairs go through a heap.
+LONG = 512
 #: Documents encoded at once.
 PART = 1000
 #: Code points with the Unicode property White_Space (fixed values).
@@ -68,6 +71,7 @@ class Ranks:
             for k in range(1, len(piece))
             if piece[:k] in ranks and piece[k:] in ranks
         ]
+        self.lookup: dict[int, int] | None = None
         self.bits = max(4, int(len(pairs) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, _NONE, np.int32)
@@ -112,6 +116,9 @@ class Ranks:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         done = [b""] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        while order and len(pieces[order[-1]]) > LONG:
+            done[order[-1]] = self._merge_long(pieces[order[-1]])
+            order.pop()
         start = 0
         while start < len(order):
             longest = 1 << max(2, (len(pieces[order[start]]) - 1).bit_length())
@@ -151,11 +158,6 @@ class Ranks:
                 at, best, rows = at[keep], best[keep], np.arange(len(live))
                 if not len(live):
                     return
-            if len(live) == 1 and lengths[0] > 256:
-                ids = self._merge_alike(ids[:, : lengths[0]], int(best[0]))
-                lengths = np.array([ids.shape[1]])
-                ranks = self.rank(ids[:, :-1], ids[:, 1:])
-                continue
             ids[rows, at] = best
             # compaction: what follows the merged pair moves one to the left
             ids = np.where(np.arange(ids.shape[1] - 1) <= at[:, None], ids[:, :-1], ids[:, 1:])
@@ -171,38 +173,46 @@ class Ranks:
                 r, c = rows[ok], where[ok]
                 ranks[r, c] = self.rank(ids[r, c], ids[r, c + 1])
 
-    def _merge_alike(self, ids: np.ndarray, best: int) -> np.ndarray:
-        """One long row: all pairs of rank ``best`` from the left, where that is the same.
+    def _merge_long(self, piece: bytes) -> bytes:
+        """A long row by itself: the same merges, each pair found by a heap.
 
-        It is if no merge on the way makes a pair of a smaller rank; else only the
-        leftmost pair is merged, as in every other row.
+        A matrix would look at the whole row in each round; here a merge only looks at the
+        two pairs it makes, so an unbroken run takes little more than linear time.
         """
-        row = ids[0]
-        hits = np.flatnonzero(self.rank(row[:-1], row[1:]) == best)
-        taken, last = [], -2
-        for h in hits.tolist():
-            if h != last + 1:
-                taken.append(h)
-                last = h
-            # a pair that overlaps the one just taken is gone
-        at = np.array(taken)
-        merged = row.copy()
-        merged[at] = best
-        keep = np.ones(len(row), bool)
-        keep[at + 1] = False
-        out = merged[keep]
-        new = np.flatnonzero(keep)
-        place = np.searchsorted(new, at)
-        left = np.where(place > 0, out[place - 1], _PAD)
-        right = np.where(at + 2 < len(row), row[np.minimum(at + 2, len(row) - 1)], _PAD)
-        made = np.full(len(at), best, np.int32)
-        least = min(
-            int(self.rank(left, made).min(initial=_NONE)), int(self.rank(made, right).min(initial=_NONE))
-        )
-        if least < best:
-            first = taken[0]
-            out = np.concatenate([row[:first], [best], row[first + 2 :]]).astype(np.int32)
-        return out[None, :]
+        if self.lookup is None:
+            used = self.keys != -1
+            self.lookup = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        row = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n = len(row)
+        found = self.rank(row[:-1], row[1:]).astype(np.int64)
+        heap = (found * n + np.arange(n - 1))[found != _NONE].tolist()
+        heapify(heap)
+        ids, ranks = row.tolist(), [*found.tolist(), _NONE]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def place(at: int, left: int, right: int) -> None:
+            ranks[at] = self.lookup.get((left << 32) | right, _NONE) if left >= 0 and right >= 0 else _NONE
+            if ranks[at] != _NONE:
+                heappush(heap, ranks[at] * n + at)
+
+        while heap:
+            rank, at = divmod(heappop(heap), n)
+            if ranks[at] != rank:
+                continue  # merged or changed since
+            gone = after[at]
+            ids[at], ranks[gone], after[at] = rank, -1, after[gone]
+            if after[at] < n:
+                before[after[at]] = at
+                place(at, rank, ids[after[at]])
+            else:
+                ranks[at] = _NONE
+            if before[at] >= 0:
+                place(before[at], ids[before[at]], rank)
+        out, at = [], 0
+        while at < n:
+            out.append(ids[at])
+            at = after[at]
+        return np.array(out).astype("<u4").tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

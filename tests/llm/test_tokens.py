@@ -104,3 +104,28 @@ def test_packing_in_spark(make_docs, odd_docs):
         assert at <= capacity
     assert len(sequences) <= sum(r["length"] for r in got) / capacity * 1.1 + 2
     assert pack_documents(make_docs([]), JSON).collect() == []
+
+
+def test_long_unbroken_runs_are_exact_and_near_linear(reference):
+    import time
+
+    rnd = random.Random(8)
+    runs = ["".join(rnd.choice("etaoinshrdlu") for _ in range(n)) for n in (600, 5_000, 40_000)]
+    runs += ["ab" * 20_000, "a" * 30_001, "é" * 9_000, "-" * 20_000, "日本" * 3_000]
+    encoder = Encoder(RANKS, PATTERN)
+    for text in runs:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+    begin = time.process_time()
+    encoder.encode(["".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000)), "-" * 1_000_000])
+    assert time.process_time() - begin < 60
+
+
+def test_digests_are_those_of_the_library(spark, reference):
+    import hashlib
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    for r in round_trip_digests(rows, RANKS, PATTERN).collect():
+        ids = np.array(reference.encode_ordinary(texts[r["doc_id"]])).astype("<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
