@@ -28,7 +28,7 @@ CAPACITY = 2048
 #: Blocks in which the pieces of one length are numbered.
 BLOCKS = 128
 #: Documents tokenized at once.
-PART = 1000
+PART = 250
 
 Run = tuple[int, int, int, int, int]
 
@@ -150,8 +150,8 @@ class _Ids:
         if len(memo) > MEMO:
             memo.clear()
         new = list(set().union(*cut).difference(memo))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 2_000):
+            some = new[at : at + 2_000]
             for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[unit] = np.array(e.ids, "<u4").tobytes()
         return [b"".join([memo[u] for u in units]) for units in cut]
