@@ -22,21 +22,46 @@ from rankwell.llm.packing import pack_documents
 from rankwell.llm.toxicity import drop_toxic
 from rankwell.session import written
 
+#: Rows in one transfer to a Python worker.  Texts are long, and the JVM keeps the largest
+#: buffers it ever needed, so all stages together must get along with small ones.
+BATCH_ROWS = 1000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.
+
+    NULL and empty texts stay; repeated rows are judged alike; without labels or documents
+    nothing goes; very long texts are read whole; all columns stay, whatever their names.
+    """
+    _small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or between languages, go."""
+    """Documents without letters, or between languages, go.
+
+    So NULL, empty and blank texts go; repeated rows are judged alike; without documents
+    nothing is learned and nothing stays; very long texts are read whole; all columns stay,
+    whatever their names.
+    """
+    _small_batches(spark)
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stood in an earlier place go, and documents that lose all their words."""
+    """Lines that stood in an earlier place go, and documents that lose all their words.
+
+    NULL, empty and blank texts lose nothing and stay; of equal rows the lines of one stay;
+    very long texts are read whole; an empty table gives an empty table; a column with the
+    name of the report is kept, as the report takes another name.
+    """
+    _small_batches(spark)
     report = "line report"
     while report in docs.columns:
         report += "_"
@@ -49,7 +74,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; equal rows are one."""
+    """Of each component the document with the smallest id stays; equal rows are one.
+
+    NULL and empty texts are linked with nothing and stay; rows of one id and text are one;
+    very long texts are compared whole; an empty table gives an empty table; columns with
+    the names used here are kept, as those take other names.
+    """
+    _small_batches(spark)
     component, key = "component of id", "component key"
     while {component, key} & set(docs.columns):
         component, key = component + "_", key + "_"
@@ -59,7 +90,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their place in sequences of 2048 tokens."""
+    """The pieces of all documents and their place in sequences of 2048 tokens.
+
+    NULL and empty texts are one token; every repeated row is packed; texts of any length
+    are cut into pieces; an empty table gives an empty table; other columns are not read.
+    """
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
