@@ -194,3 +194,38 @@ def test_one_client_of_a_million_requests_is_spread(spark):
     counted = got.filter("counts").groupBy("user_id").agg(F.count_if("allowed").alias("n")).collect()
     assert {r.user_id: r.n for r in counted} == want
     assert got.filter("NOT counts AND NOT allowed").isEmpty() and got.count() == n
+
+
+def test_lines_of_long_strings_and_comments_stay(spark):
+    python = 'a = 1\nb = """x\n  y  \n"""  \nc = "#" \n# it\'s """\n  d = 2  \n'
+    assert one(spark, tv.add_comments, python).split("\n")[1:] == [
+        "a = 1  # note", 'b = """x', "  y  ", '"""  ', 'c = "#"   # note', "# it's \"\"\"", "  d = 2    # note", ""]
+    assert one(spark, tv.reformat_whitespace, python) == (
+        'a = 1\nb = """x\n  y  \n"""  \nc = "#"\n# it\'s """\n    d = 2\n')
+    cpp = 'int a; // "/*"\n/* one\n   two */ int b;\n  char* c = "/*";\n  int d;\n'
+    assert one(spark, tv.reformat_whitespace, cpp, "cpp") == (
+        'int a; // "/*"\n/* one\n   two */ int b;\nchar* c = "/*";\nint d;\n')
+    go = 'x := `a\n  b` // c\n  y := "`"\n'
+    assert one(spark, tv.reformat_whitespace, go, "go") == 'x := `a\n  b` // c\ny := "`"\n'
+    quoted = "s = 'it\\'s \\\\' \n" + 't = "\\"" \n'
+    assert one(spark, tv.reformat_whitespace, quoted) == "s = 'it\\'s \\\\'\n" + 't = "\\""\n'
+
+
+def test_helpers_of_go_and_java(spark):
+    go = "package p\n\nvar s = `\nfunc no()`\n\nfunc main() {}\n"
+    assert one(spark, tv.insert_unused_helper, go, "go") == go.replace(
+        "func main", tv.HELPERS["go"] + "func main")
+    assert one(spark, tv.insert_unused_helper, "package p\n", "go") is None
+    java = "import x;\n/*\nclass No {}\n*/\npublic final class A extends B {\n  int c;\n}\nclass D {}\n"
+    assert one(spark, tv.insert_unused_helper, java, "java") == java.replace(
+        "extends B {", "extends B {" + tv.HELPERS["java"])
+    assert one(spark, tv.insert_unused_helper, "interface X {}", "java") is None
+
+
+def test_long_texts_are_scanned_in_linear_time(spark):
+    import time
+
+    begin = time.time()
+    for unit, language in (("'", "python"), ('"""', "python"), ('"\\"', "java"), ("/*", "cpp"), ("`a\n", "go"), ("x = 'a\\'b' # c\n", "python")):
+        one(spark, tv.add_comments, unit * 60_000, language)
+    assert time.time() - begin < 60
