@@ -34,6 +34,11 @@ HEADLINE = (
     "tabular_features",
     "loop_carry_edges",
     "structure_signature",
+    "transitive_closure",
+    "global_edges",
+    "entry_selection",
+    "ngram_vocabulary",
+    "first_splits",
     "message_round",
     "text_variants",
     "invariance_report",

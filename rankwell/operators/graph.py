@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankwell.functions.ordinal import class_array, literal_map
 from rankwell.functions.skew import keep_lowest, next_in_group, running_total
 from rankwell.functions.stats import share
-from rankwell.session import discard, written, written_counted
+from rankwell.session import discard, written, written_bucketed, written_counted
 
 # The symbol alphabet in its order, edge kinds, and symbol groups.
 SYMBOLS = (
@@ -435,16 +435,28 @@ def global_index(nodes: DataFrame, coarse_bits: int = 46) -> DataFrame:
 
 
 def reindexed_edges(edges: DataFrame, indexed: DataFrame, index: str) -> DataFrame:
-    """Edges whose ends are replaced by ``index`` of the node table."""
+    """Edges whose ends are replaced by ``index`` of the node table.
+
+    The index is stored once in buckets by node, so both lookups shuffle the edges only.
+    """
+    spark = edges.sparkSession
+    places, table = written_bucketed(
+        indexed.select(*NODE, F.col(index).alias("place")), "places", *NODE
+    )
 
     def end(name: str) -> DataFrame:
-        return indexed.select(
-            "graph_id", F.col("node_id").alias(name), F.col(index).alias(f"_{name}")
+        return places.select(
+            "graph_id", F.col("node_id").alias(name), F.col("place").alias(f"_{name}")
         )
 
-    return (
+    placed = written(
         edges.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"])
-    ).select("graph_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "kind")
+        .select("graph_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "kind"),
+        "edges",
+    )
+    discard(places)
+    spark.sql(f"DROP TABLE {table}")
+    return placed
 
 
 def structure_signature(nodes: DataFrame, edges: DataFrame, position: str = "position") -> DataFrame:

@@ -215,7 +215,7 @@ def _global_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
       AS signature FROM h GROUP BY graph_id""", "tree"))
 def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_nodes, edges = tree(spark, sf_dir)
-    placed = graph.local_index(all_nodes)
+    placed = written(graph.local_index(all_nodes).select("graph_id", "node_id", "position", "symbol"), "placed")
     return graph.structure_signature(placed, graph.reindexed_edges(edges, placed, "position"))
 
 

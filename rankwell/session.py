@@ -103,10 +103,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def written_bucketed(frame: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """As :func:`written`, as a table bucketed by ``key``, with the table's name.
+def written_bucketed(frame: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
+    """As :func:`written`, as a table bucketed by ``keys``, with the table's name.
 
-    Joins on ``key`` read the buckets as they lie and shuffle the other side only.
+    Joins on the keys read the buckets as they lie and shuffle the other side only.
     There are as many buckets as shuffle partitions.  The files are in the shared folder;
     drop the table by its name after :func:`discard`.
     """
@@ -114,7 +114,7 @@ def written_bucketed(frame: DataFrame, name: str, key: str) -> tuple[DataFrame,
     path = scratch_path(spark, name)
     table = f"rankwell_{name}_{path[-12:]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    frame.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
     return spark.table(table), table
 
 
