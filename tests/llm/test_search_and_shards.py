@@ -87,3 +87,43 @@ def test_one_more_shard_moves_few_rows(make_docs):
     after = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 25).collect()}
     moved = sum(before[i] != after[i] for i in before) / len(before)
     assert moved < 0.35  # a plain modulus moves 96 of 100
+
+
+def test_shards_equal_a_walk_row_by_row(spark):
+    """Every row on its own: to its node if there is room, else clockwise in a second pass."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from rankwell.llm import sharding
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    nodes = sorted(
+        (zlib.crc32(f"shard {s} node {v}".encode()) >> 18, s) for s in range(24) for v in range(64)
+    )
+    room = [len(rows) // 24 + (s < len(rows) % 24) for s in range(24)]
+    want, waiting = {}, []
+    for r in sorted(rows, key=lambda r: r["h"] % (1 << 64)):
+        cell = (r["h"] % (1 << 64)) >> 50
+        at = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        if room[nodes[at][1]]:
+            room[nodes[at][1]] -= 1
+            want[r["doc_id"]] = nodes[at][1]
+        else:
+            waiting.append((r["doc_id"], at))
+    for doc_id, at in waiting:
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        want[doc_id] = nodes[at][1]
+    got = sharding.shard_documents(docs).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    for r in got:
+        body = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(body) + 8, zlib.crc32(body), "rows", None)
+    for s in range(24):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
