@@ -70,8 +70,33 @@ def expr_rejected(text: Column) -> Column:
     return _folded(text).rlike("[()]")
 
 
-#: A function and the name it is applied to, without brackets: ``log n``.
-_APPLIED = r"(?<!\w)(log|sqrt) +(\p{L}\w*|_\w*)"
+#: Functions that may stand before their argument without brackets, as in ``log n``.
+FUNCTIONS = ("log", "sqrt")
+#: Words, runs of blanks, and single marks.
+_PARTS = r"(?U)\w+|\s+|[^\w\s]"
+
+
+def _applied(text: Column) -> Column:
+    """Brackets around a name that follows a function after blanks.
+
+    One walk over the parts remembers whether the last word was a function that has no
+    argument yet, and holds the blanks behind it back until the next part is known.
+    """
+
+    def step(state: Column, part: Column) -> Column:
+        waiting = state["function"]
+        argument = waiting & (state["blanks"] != "") & F.rlike(part, F.lit(r"^[\p{L}_]"))
+        holds = waiting & (state["blanks"] == "") & F.rlike(part, F.lit(r"^(?U)\s"))
+        return F.struct(
+            F.when(argument, F.concat(state["text"], F.lit("("), part, F.lit(")")))
+            .when(holds, state["text"]).otherwise(F.concat(state["text"], state["blanks"], part)).alias("text"),
+            F.when(holds, part).otherwise("").alias("blanks"),
+            (holds | (~argument & part.isin(*FUNCTIONS))).alias("function"),
+        )
+
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("blanks"), F.lit(False).alias("function"))
+    parts = F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0))
+    return F.aggregate(parts, start, step, lambda state: F.concat(state["text"], state["blanks"]))
 
 
 def _folded(text: Column) -> Column:
@@ -84,7 +109,7 @@ def _folded(text: Column) -> Column:
     def strip(t: Column) -> Column:
         wrapped = t.startswith("O(") & t.endswith(")")
         bare = F.when(wrapped, F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(t)
-        return F.regexp_replace(bare, _APPLIED, "$1($2)")
+        return _applied(bare)
 
     def passes(t: Column) -> Column:
         opened = F.length(t) - F.length(F.translate(t, "(", ""))

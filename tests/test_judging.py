@@ -90,6 +90,13 @@ def test_expressions(spark, a, b, same):
     assert row.same is same and row.bad is False
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("O(n log\tm)", "log(m)*n"), ("log log n", "log(log)*n"), ("log  2", "2*log"), ("2log n", "2log*n"),
+    ("sqrt n + log", "log+sqrt(n)"), ("log(n) log k", "log(k)*log(n)"), ("log \u00e9", "log(\u00e9)"), ("log", "log")])
+def test_functions_take_the_name_behind_them(spark, text, want):
+    assert spark.range(1).select(normalize_expr(F.lit(text)).alias("x")).first().x == want
+
+
 def test_consistency_counts_null_pairs(spark):
     columns = ("case_id, language, known_limitation, has_overrides, error, answer_time, "
                "answer_space, time_ok, space_ok")
