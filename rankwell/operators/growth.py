@@ -230,15 +230,13 @@ EXACT_SCALE: Scale = (("O(sqrt n)", 0, 0.5, 0.0), ("O(n^2 log n)", 0, 2.0, 1.0))
 FACTORIAL_SCALE: Scale = (("O(n!)", 2, 1.0, 0.0),)
 
 
-def _term_size() -> Column:
-    """struct<kind, a, b> of a dominant term, comparable with the classes."""
+def _term_size() -> tuple[Column, Column, Column]:
+    """Kind, first and second size of a dominant term, comparable with the classes."""
     facts, base = F.col("facts").cast("double"), F.col("base").cast("double")
     power, log = F.col("power").cast("double"), F.col("log").cast("double")
     kind = F.when(facts > 0, 2).when(base > 0, 1).otherwise(0)
     lead = F.when(facts > 0, facts).when(base > 0, base).otherwise(power)
-    return F.struct(
-        kind.alias("kind"), lead.alias("a"), F.when(kind == 0, log).otherwise(0.0).alias("b")
-    )
+    return kind, lead, F.when(kind == 0, log).otherwise(0.0)
 
 
 def _on_scale(scale: Scale) -> Column:
@@ -246,24 +244,22 @@ def _on_scale(scale: Scale) -> Column:
 
     Above all classes of its kind a term takes the last of them; a kind the scale does
     not know takes its last class.  Lossy if the class is not of the term's size, or the
-    term holds factors beside its dominant one.
+    term holds factors beside its dominant one.  Plain comparisons, class by class.
     """
-    size = _term_size()
-    classes = F.array(*[
-        F.struct(
-            F.struct(F.lit(k).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")).alias("size"),
-            F.lit(name).alias("class"),
-        )
-        for name, k, a, b in scale
-    ])
-    akin = F.filter(classes, lambda c: c["size"]["kind"] == size["kind"])
-    enough = F.filter(akin, lambda c: c["size"] >= size)
-    found = F.coalesce(
-        F.get(enough, F.lit(0)), F.get(akin, F.size(akin) - 1), F.element_at(classes, -1)
-    )
-    return F.struct(
-        found["class"].alias("class"), ((found["size"] != size) | F.col("extras")).alias("lossy")
-    )
+    kind, lead, second = _term_size()
+
+    def answer(name: str, lossy: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), (lossy | F.col("extras")).alias("lossy"))
+
+    found = None
+    last = {k: name for name, k, _, _ in scale}
+    for name, k, a, b in scale:
+        same = (lead == a) & (second == b)
+        fits = (kind == k) & ((lead < a) | ((lead == a) & (second <= b)))
+        found = F.when(fits, answer(name, ~same)) if found is None else found.when(fits, answer(name, ~same))
+    for k, name in last.items():
+        found = found.when(kind == k, answer(name, F.lit(True)))
+    return found.otherwise(answer(scale[-1][0], F.lit(True)))
 
 
 def project_time() -> Column:
