@@ -25,8 +25,8 @@ from rankwell.llm.common import slim
 from rankwell.session import written
 
 CAPACITY = 2048
-#: Blocks in which the pieces of one length are numbered.
-BLOCKS = 128
+#: Pieces of one length that are numbered together, about.
+BLOCK_ROWS = 1 << 17
 #: Documents tokenized at once.
 PART = 250
 
@@ -225,15 +225,21 @@ def pack_documents(
     spark = docs.sparkSession
     # narrow, and tokenized once: the counts and the numbering both read it
     pieces = written(pieces_of(docs, tokenizer, end_id, capacity, doc_id, text), "pieces")
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BLOCKS)).cast("int"))
-    # at most capacity * BLOCKS rows
+    # at most capacity rows; a length has as many blocks as its pieces need
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    blocks = spark.createDataFrame(
+        [(length, -(-n // BLOCK_ROWS)) for length, n in lengths.items()], "of_length int, blocks bigint"
+    )
+    pieces = pieces.join(F.broadcast(blocks), F.col("length") == F.col("of_length")).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))
+    )
+    # a row per block
     counts = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col("length").alias("of"), F.col("block").alias("in"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("over"),
     )
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan_packing(lengths, capacity)
     plan = spark.createDataFrame(
         runs, "run_length int, first bigint, last bigint, sequence_first bigint, offset bigint"
