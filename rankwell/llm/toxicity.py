@@ -119,12 +119,16 @@ class Model:
     bias: float
 
 
-def sentence_columns(text: str | None) -> tuple[array, array]:
+def sentence_columns(text: str | None, memo: dict[str, list[int]] | None = None) -> tuple[array, array]:
     """Hashed columns of all words of a text in order, and how many each sentence has."""
     columns, lengths = array("i"), array("i")
+    known = {} if memo is None else memo
     begin = 0
     for token in _TOKEN.findall(text or ""):
-        columns.extend(token_columns(token))
+        found = known.get(token)
+        if found is None:
+            found = known[token] = token_columns(token)
+        columns.extend(found)
         if ends_sentence(token):
             lengths.append(len(columns) - begin)
             begin = len(columns)
@@ -209,10 +213,13 @@ def labelled_sample(
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[str, list[int]] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
-            cut = [sentence_columns(t) for t in part.column("text").to_pylist()]
+            if len(memo) > MEMO // 4:
+                memo.clear()
+            cut = [sentence_columns(t, memo) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("y"),
                  *(pa.array([np.frombuffer(c[i], np.int32) for c in cut], pa.list_(pa.int32())) for i in (0, 1))],
