@@ -52,7 +52,7 @@ def test_stages_on_an_empty_table_and_with_clashing_names(spark):
         assert out.dtypes == some.dtypes and nothing.dtypes == some.dtypes
         ids = {r["doc_id"] for r in out.collect()}
         assert ids == {
-            "toxicity": {1, 2, 3, 4, 5, 6}, "language_id": ids, "line_dedup": {1, 3, 4, 5, 6}, "ngram_join": ids,
+            "toxicity": {1, 2, 3, 4, 5, 6}, "language_id": ids, "line_dedup": {1, 4, 5}, "ngram_join": ids,  # the lines of 3 and 6 are near the first
         }[name]
         if name == "ngram_join":
             assert 1 in ids and 2 not in ids and {4, 5} <= ids
