@@ -12,6 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     OneVsRest,
 )
 from pyspark.ml.feature import (
@@ -24,13 +25,13 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions.ordinal import class_at, rank_of
 from rankwell.operators import judge, uncertain
 from rankwell.operators.curate import in_languages, known_classes_only, with_label
-from rankwell.session import discard, shared_folder, written
+from rankwell.session import discard, discard_folder, scratch_path, shared_folder, written
 
 #: Words of two and more characters, Unicode letters included.
 TOKEN = r"(?U)\b\w\w+\b"
@@ -126,6 +127,20 @@ def smooth_idf(df: Column, n: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
+def _plain(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model without its training summary, by saving and loading it.
+
+    The summary holds the session, which cannot be sent to tasks once it has observed rows.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    try:
+        return LogisticRegressionModel.load(path)
+    finally:
+        discard_folder(spark, path)
+
+
 def fit_text(
     train: DataFrame,
     text: str,
@@ -158,7 +173,7 @@ def fit_text(
             family="auto", maxIter=max_iter, tol=tol, regParam=1.0 / max(1, n),
             elasticNetParam=0.0, standardization=False,
         )
-        model = learner.fit(normalizer.transform(scaler.transform(counted)))
+        model = _plain(learner.fit(normalizer.transform(scaler.transform(counted))))
     finally:
         counted.unpersist()
     # a class never seen in training has no coefficient beyond the last one seen

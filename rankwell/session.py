@@ -121,10 +121,14 @@ def written_bucketed(frame: DataFrame, name: str, *keys: str) -> tuple[DataFrame
 def discard(frame: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing will read again."""
     files = frame.inputFiles()
-    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if files:
+        discard_folder(frame.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder named by :func:`scratch_path`; others are left alone."""
     if not folder.rsplit("/", 1)[-1].startswith("rankwell-"):
         return
-    spark = frame.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

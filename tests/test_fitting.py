@@ -1,6 +1,8 @@
 """The registered tree fits use the library's rounds."""
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from rankwell.operators import fit
 from rankwell.plans.catalog import load_all
@@ -22,3 +24,13 @@ def test_registered_tree_fits_are_not_cut(spark, monkeypatch, name):
     with pytest.raises(Seen) as seen:
         load_all()[name].run(spark, "/root/testdata/sf0.001")
     assert seen.value.args == (300,)
+
+
+def test_text_model_scores_in_a_session_that_observed_rows(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = [(f"good fine word{i % 3}", "1") for i in range(6)] + [(f"bad poor word{i % 3}", "0") for i in range(6)]
+    train = spark.createDataFrame(rows, "code string, time_class string")
+    model = fit.fit_text(train, "code", "time_class", ("0", "1"), max_iter=20)
+    assert model.score(train).filter(F.col("answer") == F.col("time_class")).count() == 12
