@@ -229,33 +229,32 @@ def value_at_ranks(
         *keys, "_n", F.array(*[bracket(name, rank) for name, rank in ranks]).alias("_b")
     )
     rows = _join(frame.select(*keys, value), brackets, keys)
-    below = rows.groupBy(*keys).agg(
-        F.first("_n").alias("n"),
-        *[
-            F.count_if(F.col(value) < F.col("_b")[k]["low"]).alias(f"_below{k}")
-            for k in range(len(ranks))
-        ],
+    # One evaluation of the brackets decides for every row: approximate quantiles differ from
+    # run to run, so counts below and inside must not come from two of them.  Rows below are
+    # counted under NULL, which comes first in the order.
+    low = F.col("_t.low")
+    cell = F.when(low.isNull() | (F.col(value) >= low), F.col(value))
+    counted = (
+        rows.filter(F.col(value).isNotNull())
+        .select(
+            *keys, "_n", value,
+            F.explode(F.filter("_b", lambda t: t["high"].isNull() | (F.col(value) <= t["high"]))).alias("_t"),
+        )
+        .groupBy(*keys, F.col("_t.name").alias("_name"), cell.alias("_cell"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_t.rank").alias("_rank"), F.first("_n").alias("_n"))
     )
-    inside = rows.select(
-        *keys, value,
-        F.explode(F.filter("_b", lambda t: (
-            (t["low"].isNull() | (F.col(value) >= t["low"]))
-            & (t["high"].isNull() | (F.col(value) <= t["high"]))
-        ))).alias("_t"),
+    order = Window.partitionBy(*keys, "_name").orderBy(F.col("_cell").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    counted = inside.groupBy(*keys, F.col("_t.name").alias("_name"), value).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_t.rank").alias("_rank")
+    upto = F.sum("_c").over(order)
+    placed = counted.select(
+        *keys, "_n", "_name", "_cell",
+        ((upto - F.col("_c") < F.col("_rank")) & (upto >= F.col("_rank"))).alias("_here"),
     )
-    order = Window.partitionBy(*keys, "_name").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    return placed.groupBy(*keys).agg(
+        F.first("_n").alias("n"),
+        *[F.max(F.when(F.col("_here") & (F.col("_name") == name), F.col("_cell"))).alias(name) for name, _ in ranks],
     )
-    placed = _join(counted.withColumn("_upto", F.sum("_c").over(order)), below, keys)
-    picks = []
-    for k, (name, _) in enumerate(ranks):
-        upto = F.col("_upto") + F.col(f"_below{k}")
-        here = (F.col("_name") == name) & (upto - F.col("_c") < F.col("_rank")) & (upto >= F.col("_rank"))
-        picks.append(F.max(F.when(here, F.col(value))).alias(name))
-    return placed.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
 
 
 def numbered(frame: DataFrame, file: str, start: str, name: str = "row_index") -> DataFrame:

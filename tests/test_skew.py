@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def test_value_at_ranks_with_an_outlier(spark):
     assert (row.low, row.mid, row.high) == (ordered[0], ordered[len(values) // 2 - 1], ordered[-1])
 
 
+def test_value_at_ranks_of_rows_that_come_in_another_order_each_time(spark):
+    def mixed(frames):
+        yield pd.concat(frames).sample(frac=1.0)
+
+    # approximate quantiles depend on the order in which rows come
+    n = 800_000
+    frame = spark.range(0, n, 1, 4).select("id", (F.col("id") * 7919 % n).alias("v")).mapInPandas(mixed, "id long, v long")
+    ranks = [(f"q{i}", F.lit(n * i // 10)) for i in range(1, 10)]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        row = skew.value_at_ranks(frame, [], "v", ranks, steps=20).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert [row[f"q{i}"] for i in range(1, 10)] == [n * i // 10 - 1 for i in range(1, 10)]
+
+
 def test_numbered_follows_the_lines_of_all_files(spark, tmp_path):
     lines = {"a": 30, "b": 5000, "c": 1, "d": 700}
     for name, n in lines.items():
