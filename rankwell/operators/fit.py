@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rankwell.functions.ordinal import class_at, rank_of
 from rankwell.operators import judge, uncertain
 from rankwell.operators.curate import in_languages, known_classes_only, with_label
-from rankwell.session import discard, discard_folder, scratch_path, shared_folder, written
+from rankwell.session import discard, discard_folder, scratch_path, shared_folder, written, written_counted
 
 #: Words of two and more characters, Unicode letters included.
 TOKEN = r"(?U)\b\w\w+\b"
@@ -42,6 +42,8 @@ DOCUMENTS = 1
 #: Rows of a tree fit in one partition, about, and fits of a study at a time.
 FIT_ROWS = 50_000
 PARALLEL_FITS = 4
+#: N-grams of one document frequency that are ranked in one task, about.
+TIED_ROWS = 250_000
 
 
 def class_weights(frame: DataFrame, label: str) -> DataFrame:
@@ -113,13 +115,49 @@ def vocabulary(
     """(gram, df): the n-grams with the highest document frequencies, ties by the n-gram.
 
     At most ``most``, each in ``documents`` documents or more.  An exact count over all
-    documents: one grouping, combined on the map side.
+    documents: one grouping, combined on the map side.  N-grams of one document, most of
+    all, are stored only where the others are too few.
     """
     grams = _grams(frame.select(text), text, gram_stages(text))
     counted = grams.select(F.explode(F.array_distinct("_grams")).alias("gram")).groupBy("gram").agg(
         F.count(F.lit(1)).alias("df")
     )
-    return counted.filter(F.col("df") >= documents).orderBy(F.desc("df"), "gram").limit(most)
+    least = max(documents, 2)
+    stored, n = written_counted(counted.filter(F.col("df") >= least), "grams")
+    if n < most and documents < least:
+        discard(stored)
+        stored = written(counted.filter(F.col("df") >= documents), "grams")
+    return most_frequent(stored, most).orderBy(F.desc("df"), "gram")
+
+
+def most_frequent(stored: DataFrame, most: int, step: int = TIED_ROWS) -> DataFrame:
+    """The ``most`` rows (gram, df) of a stored table with the highest df, ties by the n-gram.
+
+    Rows above the df of the cut are taken as they are.  Those of that df are dealt by
+    ranges of about ``step`` rows, and the rows of one range are ranked, so no task reads
+    the candidates of all others.
+    """
+    upto = Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per distinct frequency
+    counts = stored.groupBy("df").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto))
+    cut = counts.filter((F.col("upto") >= most) & (F.col("upto") - F.col("c") < most)).first()
+    if cut is None:
+        return stored
+    above = stored.filter(F.col("df") > cut.df)
+    need = most - (cut.upto - cut.c)
+    ties = stored.filter(F.col("df") == cut.df)
+    if need == cut.c:
+        return above.unionByName(ties)
+    dealt = ties.repartitionByRange(-(-cut.c // step), "gram").withColumn("part", F.spark_partition_id())
+    ranged = written(dealt, "ties")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    offsets = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select(
+        "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before")
+    ).filter(F.col("before") < need)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("gram")) + F.col("before")
+    lowest = ranged.join(F.broadcast(offsets), "part").withColumn("place", place).filter(F.col("place") <= need)
+    return above.unionByName(lowest.select("gram", "df"))
 
 
 def smooth_idf(df: Column, n: Column) -> Column:
@@ -158,13 +196,16 @@ def fit_text(
     """
     rows = balanced(with_label(train, label), classes, label)
     stages = gram_stages(text)
-    known = vocabulary(rows, text, most, documents).collect() or [("", 0)]
+    grams = vocabulary(rows, text, most, documents)
+    known = grams.collect() or [("", 0)]
+    discard(grams)
     counter = CountVectorizerModel.from_vocabulary(
         [gram for gram, _ in known], inputCol="_grams", outputCol="_counts"
     )
-    counted = counter.transform(_grams(rows, text, stages)).persist()
+    # every iteration reads the vectors alone: texts and n-grams are not kept beside them
+    vectors = counter.transform(_grams(rows, text, stages)).select("label_index", "weight", "_counts")
+    counted, n = written_counted(vectors, "counts")
     try:
-        n = counted.count()
         scale = DenseVector([math.log((n + 1) / (df + 1)) + 1 for _, df in known])
         scaler = ElementwiseProduct(scalingVec=scale, inputCol="_counts", outputCol="_scaled")
         normalizer = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
@@ -175,7 +216,7 @@ def fit_text(
         )
         model = _plain(learner.fit(normalizer.transform(scaler.transform(counted))))
     finally:
-        counted.unpersist()
+        discard(counted)
     # a class never seen in training has no coefficient beyond the last one seen
     return TextModel((*stages, counter, scaler, normalizer, model), tuple(classes))
 

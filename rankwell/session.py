@@ -120,9 +120,8 @@ def written_bucketed(frame: DataFrame, name: str, *keys: str) -> tuple[DataFrame
 
 def discard(frame: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing will read again."""
-    files = frame.inputFiles()
-    if files:
-        discard_folder(frame.sparkSession, files[0].rsplit("/", 1)[0])
+    for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+        discard_folder(frame.sparkSession, folder)
 
 
 def discard_folder(spark: SparkSession, folder: str) -> None:

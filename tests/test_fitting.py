@@ -34,3 +34,19 @@ def test_text_model_scores_in_a_session_that_observed_rows(spark):
     train = spark.createDataFrame(rows, "code string, time_class string")
     model = fit.fit_text(train, "code", "time_class", ("0", "1"), max_iter=20)
     assert model.score(train).filter(F.col("answer") == F.col("time_class")).count() == 12
+
+
+@pytest.mark.parametrize("most", [1, 60, 700, 5000])
+def test_vocabulary_is_cut_without_one_task_for_all(spark, monkeypatch, most):
+    monkeypatch.setattr(fit.most_frequent, "__defaults__", (50,))
+    texts = [" ".join(f"w{(i * 7 + j * j) % 90}x" for j in range(12)) for i in range(40)]
+    frame = spark.createDataFrame([(t,) for t in texts], "code string").repartition(3)
+    seen = {}
+    for t in texts:
+        w = t.split()
+        for gram in {" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}:
+            seen[gram] = seen.get(gram, 0) + 1
+    want = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+    got = fit.vocabulary(frame, "code", most)
+    assert [tuple(r) for r in got.collect()] == want
+    assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
