@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
     OneVsRest,
 )
 from pyspark.ml.feature import (
+    Bucketizer,
     CountVectorizerModel,
     ElementwiseProduct,
     NGram,
@@ -40,8 +41,11 @@ TOKEN = r"(?U)\b\w\w+\b"
 VOCABULARY = 1 << 16
 DOCUMENTS = 1
 #: Rows of a tree fit in one partition, about, and fits of a study at a time.
-FIT_ROWS = 50_000
+FIT_ROWS = 10_000
 PARALLEL_FITS = 4
+#: Bins of a feature's values in a tree fit, and the quantiles per class that place them.
+TREE_BINS = 32
+QUANTILES = 1_000
 #: N-grams of one document frequency that are ranked in one task, about.
 TIED_ROWS = 250_000
 
@@ -234,14 +238,15 @@ class TreeModel:
     model: object
     features: tuple[str, ...]
     classes: tuple[str, ...]
+    bins: Bucketizer
 
     def score(self, frame: DataFrame) -> DataFrame:
-        scored = self.model.transform(assembled(frame, self.features))
+        scored = self.model.transform(assembled(self.bins.transform(frame), self.bins.getOutputCols()))
         raw = vector_to_array("rawPrediction")
         return (
             scored.withColumn("scores", raw)
             .withColumn("answer", class_at(F.col("prediction"), self.classes))
-            .drop("features", "rawPrediction", "probability", "prediction")
+            .drop("features", "rawPrediction", "probability", "prediction", *self.bins.getOutputCols())
         )
 
     def importance(self, spark) -> DataFrame:
@@ -256,6 +261,41 @@ class TreeModel:
         )
 
 
+def bin_ends(points: Sequence[float], bins: int = TREE_BINS) -> list[float]:
+    """The first values of all bins but the lowest, so that bins hold equal shares of ``points``.
+
+    Values that fill several shares leave ends over, so the shares are made as fine as
+    ``bins`` allows.
+    """
+    ordered = sorted(points)
+    best: list[float] = []
+    for shares in range(2, len(ordered) + 1):
+        at = [ordered[k * len(ordered) // shares] for k in range(1, shares)]
+        ends = sorted(set(at) - {ordered[0]})
+        if len(ends) >= bins:
+            break
+        best = max(best, ends, key=len)
+    return best
+
+
+def tree_bins(rows: DataFrame, label: str, features: Sequence[str]) -> Bucketizer:
+    """The bin of each feature's value, from quantiles of each class over all its rows.
+
+    Classes count the same, as in the fit.  The driver gets ``QUANTILES`` numbers per class
+    and feature.
+    """
+    shares = [(k + 0.5) / QUANTILES for k in range(QUANTILES)]
+    points = rows.groupBy(label).agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in features]).collect()
+    splits = []
+    for f in features:
+        pooled = [p for row in points for p in row[f] or ()]
+        ends = bin_ends(pooled) or [0.0]
+        splits.append([-math.inf, *ends, math.inf])
+    return Bucketizer(
+        splitsArray=splits, inputCols=list(features), outputCols=[f"_bin_{f}" for f in features]
+    )
+
+
 def fit_trees(
     train: DataFrame,
     label: str,
@@ -264,17 +304,27 @@ def fit_trees(
     rounds: int = 300,
     depth: int = 5,
 ) -> TreeModel:
-    """Boosted trees on a feature subset; a depth of 5 allows 32 leaves."""
+    """Boosted trees on a feature subset; a depth of 5 allows 32 leaves.
+
+    Trees see a value only by its bin, so rows of one class with equal bins are one row of
+    their summed weight in every round: the sums of every split are those over all rows.
+    """
     rows = balanced(with_label(train, label), classes, label)
     booster = GBTClassifier(
         featuresCol="features", labelCol="label_index", weightCol="weight",
-        maxIter=rounds, maxDepth=depth, seed=7,
+        maxIter=rounds, maxDepth=depth, maxBins=TREE_BINS, seed=7,
     )
     shared_folder(train.sparkSession)  # every tenth round is checkpointed there
     narrow = written(rows.select(*features, "label_index", "weight"), "training")
+    bins = tree_bins(narrow, "label_index", features)
+    cells, n = written_counted(
+        bins.transform(narrow).groupBy("label_index", *bins.getOutputCols()).agg(F.sum("weight").alias("weight")),
+        "cells",
+    )
     # every round is a few jobs over all rows: small tables in few tasks
-    parts = max(1, -(-narrow.count() // FIT_ROWS))
-    kept = assembled(narrow, features).select("features", "label_index", "weight").repartition(parts).persist()
+    parts = max(1, -(-n // FIT_ROWS))
+    vectors = assembled(cells, bins.getOutputCols()).select("features", "label_index", "weight")
+    kept = vectors.repartition(parts).persist()
     try:
         if len(classes) == 2:
             model = booster.fit(kept)
@@ -286,7 +336,8 @@ def fit_trees(
     finally:
         kept.unpersist()
         discard(narrow)
-    return TreeModel(model, tuple(features), tuple(classes))
+        discard(cells)
+    return TreeModel(model, tuple(features), tuple(classes), bins)
 
 
 def split_histogram(

@@ -50,3 +50,31 @@ def test_vocabulary_is_cut_without_one_task_for_all(spark, monkeypatch, most):
     got = fit.vocabulary(frame, "code", most)
     assert [tuple(r) for r in got.collect()] == want
     assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_fit_on_one_row_per_class_and_bins(spark, monkeypatch):
+    fitted = {}
+
+    class Booster(fit.GBTClassifier):
+        def fit(self, rows):
+            fitted["rows"], fitted["weight"] = rows.count(), rows.agg(F.sum("weight")).first()[0]
+            return super().fit(rows)
+
+    monkeypatch.setattr(fit, "GBTClassifier", Booster)
+    frame = spark.range(4000).select(
+        (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 1000).cast("double").alias("y"),
+        F.when((F.col("id") % 5 < 2) != (F.col("id") % 1000 < 700), "1").otherwise("0").alias("c"),
+    )
+    model = fit.fit_trees(frame, "c", ("0", "1"), ["x", "y"], rounds=5)
+    assert fitted["rows"] <= 2 * 5 * fit.TREE_BINS
+    assert abs(fitted["weight"] - 4000) < 1e-6
+    right = model.score(frame).filter(F.col("answer") == F.col("c")).count()
+    assert right > 3900
+
+
+def test_bin_ends_hold_equal_shares_and_split_after_heavy_values():
+    assert fit.bin_ends([float(i) for i in range(1000)], 4) == [250.0, 500.0, 750.0]
+    assert fit.bin_ends([0.0] * 900 + [float(i) for i in range(1, 101)], 4)[-1] > 1
+    assert fit.bin_ends([1.0] * 50) == []
+    assert fit.bin_ends([0.0, 1.0] * 50) == [1.0]
+    assert fit.bin_ends([]) == []
