@@ -10,6 +10,8 @@ Spark then numbers the pieces of each length and looks their place up in the pla
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -17,10 +19,11 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwell.llm.bpe import MEMO, unit_pattern
+from rankwell.llm.bpe import _WHITE, MEMO, unit_pattern
 from rankwell.llm.common import slim
 from rankwell.session import written
 
@@ -28,7 +31,7 @@ CAPACITY = 2048
 #: Pieces of one length that are numbered together, about.
 BLOCK_ROWS = 1 << 17
 #: Documents tokenized at once.
-PART = 250
+PART = 1000
 
 Run = tuple[int, int, int, int, int]
 
@@ -133,6 +136,20 @@ def plan_packing(counts: Mapping[int, int], capacity: int = CAPACITY) -> tuple[l
     return plan.runs, plan.sequences
 
 
+#: White space as itself, for Arrow's expressions, and a text in which cutting at single
+#: spaces is not the same as cutting into units: a run of white space with a space in it.
+_BLANK = _WHITE.encode().decode("unicode_escape")
+_RUNS = f"[{_BLANK}] | [{_BLANK}]"
+#: A word of Latin letters and the marks behind it: one or two pieces of the pattern.
+_PLAIN = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-^`{-~]*)")
+
+
+def _numbered(units: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct units and the place of each unit among them."""
+    found = units.dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class _Ids:
     """Ids of whole texts by a tokenizer file, with a bounded memo of units."""
 
@@ -143,18 +160,72 @@ class _Ids:
         self.tokenizer.encode_special_tokens = True
         self.units = unit_pattern()
         self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units.findall(t or "") for t in texts]
+        #: The characters that stand for bytes in the names of tokens: printable ones are themselves.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.names = {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizing pattern."""
+        ids = self.memo.get(piece)
+        if ids is None:
+            if piece.isascii():  # printable but for the space
+                named = piece.replace(" ", self.names[32])
+            else:
+                named = piece.encode().decode("latin-1").translate(self.names)
+            found = [t.id for t in self.tokenizer.model.tokenize(named)]
+            ids = self.memo[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _remember(self, units: list[str]) -> None:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list(set().union(*cut).difference(memo))
-        for at in range(0, len(new), 2_000):
-            some = new[at : at + 2_000]
+        others = []
+        for unit in units:
+            if unit in memo:
+                continue
+            if plain := _PLAIN.fullmatch(unit):
+                word, marks = plain.groups()
+                memo[unit] = self._piece(word) + self._piece(marks) if marks else self._piece(word)
+            else:
+                others.append(unit)
+        for at in range(0, len(others), 2_000):
+            some = others[at : at + 2_000]
             for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[unit] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[u] for u in units]) for units in cut]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _RUNS)
+        rows = np.concatenate([np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), np.flatnonzero(odd)])
+        words = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        cut = [self.units.findall(t) for t in texts.filter(odd).to_pylist()]
+        # the first word of a text has no space before it
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = words.flatten()
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(size) - size] = True
+        later, at_later = _numbered(flat.filter(pa.array(~first)))
+        leading, at_first = _numbered(flat.filter(pa.array(first)))
+        other, at_other = _numbered(pa.array([u for c in cut for u in c], pa.string()))
+        known = [f" {w}" for w in later] + leading + other
+        self._remember(known)
+        places = np.empty(len(flat), np.int64)
+        places[~first], places[first] = at_later, at_first + len(later)
+        places = np.concatenate([places, at_other + len(later) + len(leading)])
+        # the ids of all units side by side, then those of every place
+        each = [self.memo[u] for u in known]
+        table = np.frombuffer(b"".join(each), "<u4")
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        long = n[places]
+        stops = np.cumsum(long)
+        ids = table[np.repeat((np.cumsum(n) - n)[places] - (stops - long), long) + np.arange(stops[-1] if len(stops) else 0)]
+        units = np.concatenate([size, np.array([len(c) for c in cut], np.int64)])
+        ends = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(units)])].tolist()
+        out: list[np.ndarray] = [ids[:0]] * len(rows)
+        for i, row in enumerate(rows.tolist()):
+            out[row] = ids[ends[i] : ends[i + 1]]
+        return out
 
 
 @cache
@@ -172,19 +243,19 @@ def _pieces(
     path: str, end_id: int, capacity: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     ids_of = _ids(path)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     for batch in batches:
         for at in range(0, batch.num_rows, PART):
             part = batch.slice(at, PART)
             rows: list[tuple] = []
-            ids_by_row = ids_of(part.column("text").to_pylist())
+            ids_by_row = ids_of(part.column("text"))
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_by_row, strict=True):
-                ids += end
-                n = len(ids) // 4
+                ids = np.concatenate([ids, end])
+                n = len(ids)
                 stop = (n - 1) % capacity + 1  # the first piece takes what is over
                 start = k = 0
                 while start < n:
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[start:stop])))
                     start, stop, k = stop, stop + capacity, k + 1
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
