@@ -146,3 +146,17 @@ def test_chunks_follow_the_content():
     flat = cut_points(b"a" * (3 * LONGEST + 5))
     assert max(b - a for a, b in zip([0, *flat], flat, strict=False)) <= LONGEST
     assert cut_points(b"") == []
+
+
+def test_line_dedup_leaves_only_its_result_on_disk(spark, make_docs, monkeypatch):
+    from rankwell.llm import line_dedup
+
+    made, gone = [], []
+    write, drop = line_dedup.written, line_dedup.discard
+    monkeypatch.setattr(line_dedup, "written", lambda frame, name: made.append(name) or write(frame, name))
+    monkeypatch.setattr(line_dedup, "discard", lambda frame: gone.append(frame) or drop(frame))
+    rows = [(i, f"a b c d e f g h {i % 3}\nq r s t u v w x {i} y") for i in range(12)]
+    got = dedup_lines(make_docs(rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
+    assert len(made) - len(gone) == 1 and made[-1] == "kept"
+    assert made.index("keyed") < made.index("sets") < made.index("pairs") < made.index("later")
