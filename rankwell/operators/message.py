@@ -40,18 +40,28 @@ def initial_vectors(encoded: DataFrame, embedding: DataFrame) -> DataFrame:
     return encoded.join(F.broadcast(embedding), "symbol_id").select("graph_id", "node_id", "x")
 
 
-def incoming_sums(vectors: DataFrame, edges: DataFrame, size: int) -> DataFrame:
-    """(graph_id, node_id, kind, n, total): sum of source vectors per target and kind."""
+def incoming_sums(vectors: DataFrame, edges: DataFrame, size: int, kinds: Sequence[str]) -> DataFrame:
+    """(graph_id, node_id, counts, totals): per target, the number of messages of each kind
+    and the sums of their source vectors, kind after kind.
+
+    One grouping for all kinds, combined on the map side.
+    """
     sent = edges.join(
         vectors.withColumnRenamed("node_id", "src"), ["graph_id", "src"]
     )
-    sums = sent.groupBy("graph_id", "dst", "kind").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(size)],
+    of_kind = lambda k, value: F.when(F.col("kind") == k, value)
+    zero = F.lit(0.0)
+    sums = sent.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        *[F.count(of_kind(k, F.lit(1))).cast("double").alias(f"n{j}") for j, k in enumerate(kinds)],
+        *[
+            F.coalesce(F.sum(of_kind(k, F.get("x", F.lit(i)))), zero).alias(f"s{j}_{i}")
+            for j, k in enumerate(kinds) for i in range(size)
+        ],
     )
     return sums.select(
-        "graph_id", F.col("dst").alias("node_id"), "kind", "n",
-        F.array(*[f"s{i}" for i in range(size)]).alias("total"),
+        "graph_id", "node_id",
+        F.array(*[f"n{j}" for j in range(len(kinds))]).alias("counts"),
+        F.array(*[f"s{j}_{i}" for j in range(len(kinds)) for i in range(size)]).alias("totals"),
     )
 
 
@@ -61,17 +71,10 @@ def message_round(
     """Own transform plus incoming messages, layer norm, ReLU."""
     kinds = list(weights.by_kind)
     used = edges.filter(F.col("kind").isin(*kinds))
-    # a node has one row per edge kind, five at most
-    mail = incoming_sums(vectors, used, weights.size).groupBy("graph_id", "node_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "total")))).alias("mail")
-    )
-    joined = vectors.join(mail, ["graph_id", "node_id"], "left")
+    joined = vectors.join(incoming_sums(vectors, used, weights.size, kinds), ["graph_id", "node_id"], "left")
     update = _update(weights, kinds)
-    empty = F.array_repeat(F.lit(0.0), weights.size)
-    counts = F.array(
-        *[F.coalesce(F.col("mail")[k]["n"], F.lit(0)).cast("double") for k in kinds]
-    )
-    totals = F.flatten(F.array(*[F.coalesce(F.col("mail")[k]["total"], empty) for k in kinds]))
+    counts = F.coalesce("counts", F.array_repeat(F.lit(0.0), len(kinds)))
+    totals = F.coalesce("totals", F.array_repeat(F.lit(0.0), len(kinds) * weights.size))
     return joined.select("graph_id", "node_id", update("x", counts, totals).alias("x"))
 
 
