@@ -6,7 +6,8 @@ documents that are similar enough share a token in the prefix of that order, and
 tokens in a prefix that is k - 1 longer.  So the prefix is extended by one, its rare
 tokens are indexed one by one, and its frequent tokens (a bounded class) by all their
 pairs.  The remaining length of a document behind a shared token bounds the overlap;
-what passes is verified on the whole sets.
+what passes meets the other's sketch, which bounds the overlap from above, and is then
+verified on the whole sets.  So only pairs that are nearly all links ask for whole sets.
 
 Equal sets are one document from the start.  Copies in large groups need not meet in
 all pairs for the components to be right: first every document is compared with one hub
@@ -17,7 +18,7 @@ of a list that are still in different components.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 from itertools import combinations
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import SHINGLE_WORDS, slim
@@ -41,6 +42,9 @@ CHUNKS = 64
 FREQUENT = 1 << 14
 #: Words that a task remembers before it starts anew.
 MEMO = 300_000
+#: Bits of a sketch per token at least, and words of 64 bits in the table of wanted ids.
+SKETCH_BITS = 2
+WANTED_WORDS = 1 << 16
 #: At least 3/4: 4 * intersection >= 3 * union, or 7 * intersection >= 3 * sum of sizes.
 _SHARE, _SUM = 3, 7
 
@@ -84,7 +88,34 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-_PROFILE = "doc_id bigint, n bigint, signature binary, chunk int, counts binary"
+def sketch(tokens: np.ndarray) -> bytes:
+    """The size of a set, and for each low end of a hash the parity of its tokens.
+
+    A token on one side only flips one bit, so two sets differ in at least as many tokens
+    as their sketches in bits.  The bits are a power of two.
+    """
+    bits = 64
+    while bits < SKETCH_BITS * len(tokens):
+        bits *= 2
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes | None, y: bytes | None) -> bool:
+    """Whether sets with these sketches may be similar enough; without a sketch they may."""
+    if x is None or y is None:
+        return True
+    total = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    p, q = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
+    while len(p) != len(q):  # halves of the longer one add up to a shorter one
+        if len(p) < len(q):
+            p, q = q, p
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    differ = int(np.bitwise_count(p ^ q).sum())
+    return _SUM * (total - differ) >= 2 * _SHARE * total
+
+
+_PROFILE = "doc_id bigint, n bigint, signature binary, sketch binary, chunk int, counts binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +123,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     counts = np.zeros(1 << BUCKET_BITS, np.uint32)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()),
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary()),
          ("chunk", pa.int32()), ("counts", pa.binary())]
     )
     for batch in batches:
@@ -105,6 +136,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([sketch(s) for s in sets], pa.binary()),
                 none.cast(pa.int32()),
                 none.cast(pa.binary()),
             ],
@@ -115,7 +147,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = pa.nulls(len(full))
     yield pa.RecordBatch.from_arrays(
         [
-            none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
+            none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()),
             pa.array(full, pa.int32()),
             pa.array([zlib.compress(parts[i].tobytes(), 1) for i in full], pa.binary()),
         ],
@@ -224,40 +256,86 @@ def _possible(n: str, rest: str, other_n: str, other_rest: str):
     )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return _SUM * both >= _SHARE * (len(x) + len(y))
+
+
+def _passing(test: Callable[[bytes, bytes], bool], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(_SUM * both >= _SHARE * (len(x) + len(y)))
-        mask = pa.array(keep, pa.bool_())
+        sides = (batch.column(c).to_pylist() for c in ("held_a", "held_b"))
+        mask = pa.array([test(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
         )
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+def _tested(pairs: DataFrame, held: DataFrame, test: Callable[[bytes, bytes], bool], name: str) -> DataFrame:
+    """The pairs (a, b) whose ``held`` values pass the test; the pairs go.
 
-    ``sets`` is bucketed by rep, so only pairs move to it.  The sets of the hubs are
+    ``held`` is bucketed by rep, so only pairs move to it.  The values of the hubs are
     written plainly: the join with them then has a shuffle on either side, and a hub
     with very many pairs is split.
     """
-    pairs = written(pairs.select("a", "b"), "pairs")
-    left = sets.select(F.col("rep").alias("ra"), F.col("tokens").alias("set_a"))
+    left = held.select(F.col("rep").alias("ra"), F.col("held").alias("held_a"))
     hubs = pairs.select("a").distinct().join(left, F.col("a") == F.col("ra"))
-    hubs = written(hubs.select("ra", "set_a"), "hubs")
-    right = sets.select(F.col("rep").alias("rb"), F.col("tokens").alias("set_b"))
+    hubs = written(hubs.select("ra", "held_a"), "hubs")
+    right = held.select(F.col("rep").alias("rb"), F.col("held").alias("held_b"))
     both = pairs.join(right, F.col("b") == F.col("rb")).join(hubs, F.col("a") == F.col("ra"))
-    similar = both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a bigint, b bigint")
-    found = written(similar, "links")
+    both = both.select("a", "b", "held_a", "held_b")
+    found = written(both.mapInArrow(partial(_passing, test), "a bigint, b bigint"), name)
     discard(hubs)
-    release_shuffles(pairs.sparkSession)
+    discard(pairs)
+    release_shuffles(found.sparkSession)
+    return found
+
+
+def _bit(doc_id: str) -> tuple[Column, Column]:
+    """The word and the bit of an id in the table of wanted ids."""
+    hashed = F.xxhash64(doc_id)
+    return F.pmod(hashed, F.lit(WANTED_WORDS)).cast("int"), F.shiftrightunsigned(hashed, 58).cast("int")
+
+
+def _wanted_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids ``wanted``, the least text of each.
+
+    A table of bits, of a fixed size, first leaves out nearly all other rows where they are;
+    the join is exact.
+    """
+    word, bit = _bit("wanted")
+    one = F.lit(1).cast("bigint")
+    words = [0] * WANTED_WORDS
+    for r in wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folds to one literal
+    word, bit = _bit("doc_id")
+    maybe = F.call_function("shiftright", F.get(table, word), bit).bitwiseAND(one) == 1
+    texts = rows.filter("doc_id IS NOT NULL").filter(maybe)
+    texts = texts.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough, by their sketches first."""
+    spark = rows.sparkSession
+    near = _tested(written(pairs.select("a", "b"), "pairs"), sketches, may_link, "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    # bucketed: the sets stay where they are while pairs come and go
+    sets, table = written_bucketed(_wanted_texts(rows, wanted).mapInArrow(_token_sets, _SETS), "sets", "rep")
+    release_shuffles(spark)
+    found = _tested(near, sets, _similar, "links")
+    _dropped(sets, table)
     return found
 
 
-_SETS = "rep bigint, tokens binary"
+def _dropped(frame: DataFrame, table: str) -> None:
+    discard(frame)
+    frame.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    release_shuffles(frame.sparkSession)
+
+
+_SETS = "rep bigint, held binary"
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +346,7 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([shingler(t).tobytes() for t in _bytes(batch.column("text"))], pa.binary()),
             ],
-            names=["rep", "tokens"],
+            names=["rep", "held"],
         )
 
 
@@ -314,25 +392,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes, frequent = token_classes(profile)
     lists = written(_shared_lists(rows, classes, frequent), "lists")
     release_shuffles(docs.sparkSession)
-    # sets of the documents that stand in a shared list at all
+    # sketches of the documents that stand in a shared list at all; none of an id with several texts
     in_lists = lists.select(F.col("rep").alias("wanted")).distinct()
-    texts = rows.join(in_lists, F.col("doc_id") == F.col("wanted"), "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # bucketed: the sets stay where they are while pairs come and go
-    sets, table = written_bucketed(texts.mapInArrow(_token_sets, _SETS), "sets", "rep")
+    sketches = profile.filter("chunk IS NULL").select("doc_id", "signature", "sketch")
+    sketches = sketches.join(in_lists, F.col("doc_id") == F.col("wanted"), "left_semi").groupBy("doc_id").agg(
+        F.when(F.min("signature") == F.max("signature"), F.min("sketch")).alias("held")
+    )
+    sketches, table = written_bucketed(sketches.withColumnRenamed("doc_id", "rep"), "sketches", "rep")
     release_shuffles(docs.sparkSession)
 
     first = _hub_pairs(lists.withColumn("hub", F.col("low")))
-    found = written(_links(first, sets), "found")
-    release_shuffles(docs.sparkSession)
+    found = _links(first, sketches, rows)
     second = _hub_pairs(_with_other_hub(_open_lists(lists, components(found))))
-    found = written(found.union(_links(second, sets)), "found")
-    release_shuffles(docs.sparkSession)
+    found = _joined(found, _links(second, sketches, rows))
     open_ = written(_open_lists(lists, components(found)), "open")
-    found = written(found.union(_links(_open_pairs(open_), sets)), "found")
-    discard(sets)
-    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    discard(lists)
     release_shuffles(docs.sparkSession)
+    found = _joined(found, _links(_open_pairs(open_), sketches, rows))
+    discard(open_)
+    _dropped(sketches, table)
 
     # copies of a set are linked to the smallest id among them
     per_doc = profile.filter("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "signature")
@@ -348,6 +426,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    both = written(found.union(more), "found")
+    discard(found)
+    discard(more)
+    return both
+
+
 def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The lists that still hold members of different components."""
     labelled = _with_component(lists, comps)

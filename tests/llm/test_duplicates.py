@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
+from rankwell.llm import ngram_join
 from rankwell.llm.components import components
 from rankwell.llm.line_dedup import dedup_lines
-from rankwell.llm.ngram_join import near_duplicates
+from rankwell.llm.ngram_join import may_link, near_duplicates, sketch
 from rankwell.llm.recipe_dedup import LONGEST, cut_points, exact_duplicates
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,3 +163,38 @@ def test_line_dedup_leaves_only_its_result_on_disk(spark, make_docs, monkeypatch
     assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
     assert len(made) - len(gone) == 1 and made[-1] == "kept"
     assert made.index("keyed") < made.index("sets") < made.index("pairs") < made.index("later")
+
+
+def test_sketches_never_rule_out_a_link():
+    rnd = np.random.default_rng(3)
+    for n in (1, 4, 31, 33, 64, 700, 5000):
+        for share in (0.0, 0.5, 0.74, 0.75, 0.8, 1.0):
+            x = np.unique(rnd.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+            kept = x[: int(np.ceil(share * n))]
+            more = np.unique(rnd.integers(0, 1 << 64, max(0, int(n * 1.1) - len(kept)), np.uint64))
+            for y in (kept, np.union1d(kept, more)):
+                if len(y) and 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y)):
+                    assert may_link(sketch(x), sketch(y)) and may_link(sketch(y), sketch(x))
+    far = [np.unique(rnd.integers(0, 1 << 64, 700, np.uint64)) for _ in range(2)]
+    assert not may_link(sketch(far[0]), sketch(far[1]))
+    assert may_link(None, sketch(far[0]))
+
+
+def test_ngram_join_moves_whole_sets_of_near_pairs_only(make_docs, monkeypatch):
+    rnd = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(100))) for i in range(30)]
+    rows += [(i + 100, rows[i][1] + " one more") for i in range(3)]
+    moved = []
+    real = ngram_join.written_bucketed
+
+    def counted(frame, name, *keys):
+        table = real(frame, name, *keys)
+        moved.append((name, table[0].count()))
+        return table
+
+    monkeypatch.setattr(ngram_join, "written_bucketed", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    # six documents are links; the others share a passage with all
+    assert max(n for name, n in moved if name == "sets") == 6
