@@ -10,13 +10,13 @@ hash of the id; prediction reads every text whole.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,8 +172,8 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
 
 def labelled_sample(
     docs: DataFrame, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
-) -> pd.DataFrame:
-    """At most ``rows`` labelled texts that are not held out, evenly over languages.
+) -> DataFrame:
+    """(doc_id, text, lang): at most ``rows`` labelled texts that are not held out, evenly over languages.
 
     Only ids are ordered, by their hash; texts are joined to the chosen ids.
     """
@@ -188,10 +188,28 @@ def labelled_sample(
     drawn = drawn.filter(F.col("u") * F.col("n") < share).orderBy("u", "doc_id").limit(rows)
     chosen = drawn.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     texts = slim(docs, id=doc_id, text=text)
-    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(
         F.min("text").alias("text"), F.first("lang").alias("lang")
     )
-    return found.toPandas().sort_values("doc_id", ignore_index=True)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, langs = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        langs += batch.column("lang").to_pylist()
+    model = pickle.dumps(fit_languages(texts, langs))
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+
+def language_model(sample: DataFrame) -> Model:
+    """Fit on the rows of :func:`labelled_sample`, a bounded number, in one task.
+
+    Neither the texts nor their features come to the driver, only the weights do.
+    """
+    ordered = sample.coalesce(1).sortWithinPartitions("doc_id")
+    found = ordered.select("text", "lang").mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit_languages([], [])
 
 
 def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +244,7 @@ def identified_documents(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame
 
     doc_id, held_out, lang_pred, score.  A NULL id counts as held out.
     """
-    sample = labelled_sample(docs, fit_rows)
-    model = fit_languages(sample["text"].tolist(), sample["lang"].tolist())
+    model = language_model(labelled_sample(docs, fit_rows))
     return predict_languages(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
@@ -248,8 +265,7 @@ def keep_identified(
     letters, and those between languages.  Without labelled rows nothing is known of
     any language, and only texts without letters go.
     """
-    sample = labelled_sample(docs, fit_rows, doc_id, text, lang)
-    model = fit_languages(sample["text"].tolist(), sample["lang"].tolist())
+    model = language_model(labelled_sample(docs, fit_rows, doc_id, text, lang))
     if not model.families:
         return rows_passing(docs, _lettered, text)
     return rows_passing(docs, partial(_identified, model, least), text)

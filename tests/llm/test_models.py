@@ -184,3 +184,18 @@ def test_a_family_of_three_votes():
     model = langid.fit_languages([t for t, _ in rows], [g for _, g in rows])
     assert model.families == ("germanic",) and len(model.pairs) == 3
     assert langid.predict(model, text("en", 4))[0] == "en"
+
+
+def test_language_fit_keeps_texts_off_the_driver(spark, monkeypatch):
+    rows = [(i, text(lang, 2), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.labelled_sample(docs)
+    chosen = sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.collect())
+    want = langid.fit_languages([t for _, t, _ in chosen], [g for _, _, g in chosen])
+    fits = []
+    monkeypatch.setattr(langid, "fit_languages", lambda *a: fits.append(a) or want)
+    got = langid.language_model(sample)
+    # the fit ran in a task, not here
+    assert not fits and got.families == want.families and got.pairs == want.pairs
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.bias, want.bias)
+    assert langid.identified_documents(docs).count() == 80 and not fits
