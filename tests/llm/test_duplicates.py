@@ -198,3 +198,35 @@ def test_ngram_join_moves_whole_sets_of_near_pairs_only(make_docs, monkeypatch):
     assert got == {i: i % 100 for i, _ in rows}
     # six documents are links; the others share a passage with all
     assert max(n for name, n in moved if name == "sets") == 6
+
+
+def test_line_dedup_shingles_again_only_lines_that_can_match(make_docs, monkeypatch):
+    from rankwell.llm import line_dedup
+
+    again = []
+    write = line_dedup.written
+
+    def counted(frame, name):
+        table = write(frame, name)
+        if name == "tokens":
+            again.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    rnd = random.Random(5)
+    own = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(36))
+    # every two lines of a group share one passage, too short for a link
+    rows = [(i, f"p{i % 20} q r s t{i % 20} {own()}") for i in range(40)]
+    rows += [(i + 100, rows[i][1] + " more") for i in range(3)]
+    got = dedup_lines(make_docs(rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
+    assert sum(r["text"] == "" for r in got) == 3
+    assert sum(again) <= 12
+
+
+def test_line_dedup_on_odd_white_space_and_letters(make_docs):
+    words = [f"É{i} Σ" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, "\t\v" + "\f".join(words) + "\r"), (3, "  ".join(words).lower()),
+            (4, "\t \r\n\v\nx\ty"), (5, "X Y\n ")]
+    got = dedup_lines(make_docs(rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
