@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -230,3 +231,32 @@ def test_line_dedup_on_odd_white_space_and_letters(make_docs):
             (4, "\t \r\n\v\nx\ty"), (5, "X Y\n ")]
     got = dedup_lines(make_docs(rows)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
+
+
+def test_line_dedup_bounds_the_disk_of_pairs_and_shingles(make_docs, monkeypatch):
+    from rankwell.llm import line_dedup
+
+    made, gone, shingles_left = [], [], []
+    write, drop = line_dedup.written, line_dedup.discard
+
+    def counted(frame, name):
+        made.append((name, table := write(frame, name)))
+        if name == "keyed":
+            lines = next(t for n, t in made if n == "lines").inputFiles()
+            shingles_left.append(sum(Path(f.removeprefix("file:")).exists() for f in lines))
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    monkeypatch.setattr(line_dedup, "discard", lambda frame: gone.append(frame) or drop(frame))
+    rnd = random.Random(4)
+    pool = [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(6)]
+    # lines of passages in any order: most share tokens with many others, and few are similar
+    rows = [(i, " ".join(rnd.sample(pool, 4))) for i in range(80)]
+    rows += [(i + 100, rows[i][1] + " more") for i in range(5)]
+    got = dedup_lines(make_docs(rows).repartition(8)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_lines(rows)
+    names = [name for name, _ in made]
+    assert names.count("pairs") > 1 and names.count("later") > 1 and names.count("index") > 1
+    assert len(made) - len(gone) == 1
+    # a part of the shingles is gone when the next prefixes are written
+    assert len(shingles_left) > 2 and sorted(set(shingles_left), reverse=True) == shingles_left
